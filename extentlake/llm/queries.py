@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, sharding
+from . import bpe, decontam, langid, sharding
 from .common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,14 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~held_out).select("doc_id", "text", "lang"))
+    found = langid.predict(docs.select("doc_id", "text"), model, keep_text=False)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = table(spark, sf_dir, "documents").select(
@@ -63,7 +71,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_byte_level_bpe, op5_benchmark_decontamination, op10_sharding]
+    found = [op1_byte_level_bpe, op5_benchmark_decontamination, op7_language_id, op10_sharding]
     return {f.__name__: f for f in found}
 
 
