@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html_extract, langid, sharding
+from . import bpe, decontam, html_extract, iblt, langid, sharding
 from .common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op1_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.versions(table(spark, sf_dir, "documents"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     found = html_extract.extract(pages, html_extract.fit(pages))
@@ -77,7 +81,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_byte_level_bpe, op4_html_extraction, op5_benchmark_decontamination, op7_language_id, op10_sharding]
+    found = [op1_byte_level_bpe, op3_document_fingerprints, op4_html_extraction, op5_benchmark_decontamination, op7_language_id, op10_sharding]
     return {f.__name__: f for f in found}
 
 
