@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html_extract, iblt, langid, sharding
+from . import bpe, decontam, html_extract, iblt, langid, sharding, warc
 from .common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,17 @@ def op1_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return records.select(
+        F.col("key").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.versions(table(spark, sf_dir, "documents"))
 
@@ -81,7 +92,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_byte_level_bpe, op3_document_fingerprints, op4_html_extraction, op5_benchmark_decontamination, op7_language_id, op10_sharding]
+    found = [op1_byte_level_bpe, op2_warc, op3_document_fingerprints, op4_html_extraction, op5_benchmark_decontamination, op7_language_id, op10_sharding]
     return {f.__name__: f for f in found}
 
 
