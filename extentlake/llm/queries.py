@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html_extract, iblt, langid, sharding, warc
+from . import bpe, decontam, html_extract, iblt, langid, ngram_join, sharding, warc
 from .common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = table(spark, sf_dir, "documents").select(
@@ -92,7 +96,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_byte_level_bpe, op2_warc, op3_document_fingerprints, op4_html_extraction, op5_benchmark_decontamination, op7_language_id, op10_sharding]
+    found = [op1_byte_level_bpe, op2_warc, op3_document_fingerprints, op4_html_extraction, op5_benchmark_decontamination, op7_language_id, op9_ngram_jaccard_join, op10_sharding]
     return {f.__name__: f for f in found}
 
 
