@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html_extract, iblt, langid, ngram_join, sharding, warc
+from . import bpe, decontam, html_extract, iblt, langid, line_dedup, ngram_join, sharding, warc
 from .common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,19 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.removed_lines(docs).select(F.col("doc").alias("_doc"), "lines")
+    counted = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    none = F.array().cast("array<int>")
+    return counted.join(found, F.col("doc_id") == F.col("_doc"), "left").select(
+        "doc_id",
+        "n_lines",
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("lines", none).alias("removed_lines"),
+    )
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
     docs = table(spark, sf_dir, "documents")
@@ -96,7 +109,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_byte_level_bpe, op2_warc, op3_document_fingerprints, op4_html_extraction, op5_benchmark_decontamination, op7_language_id, op9_ngram_jaccard_join, op10_sharding]
+    found = [op1_byte_level_bpe, op2_warc, op3_document_fingerprints, op4_html_extraction, op5_benchmark_decontamination, op6_line_dedup, op7_language_id, op9_ngram_jaccard_join, op10_sharding]
     return {f.__name__: f for f in found}
 
 
