@@ -69,14 +69,16 @@ def removed_lines(
     """(doc, lines): for each document with such lines the sorted numbers (from 0) of the lines to remove."""
     levels = written(_levels(docs, text, bins), "rarity")
     lines = _lines(docs, key, text)
-    distinct = lines.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("times"), F.first("norm").alias("norm"))
+    firsts = lines.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("times"))
+    # All three uses of this need the same columns, so that its exchange, the only one of whole lines, is made once.
+    distinct = lines.groupBy("h1", "h2").agg(F.first("norm").alias("norm"))
 
     hashed = F.array_distinct(F.transform(F.filter(F.split("norm", NOT_WORD), lambda w: w != ""), lambda w: F.xxhash64(w)))
     ranked = F.transform(
         hashed,
         lambda h: F.shiftleft(F.get("levels", F.pmod(h, F.lit(bins)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW56))),
     )
-    sets = distinct.withColumn("levels", levels.scalar()).select("h1", "h2", "first", F.sort_array(ranked).alias("words"))
+    sets = distinct.withColumn("levels", levels.scalar()).select("h1", "h2", F.sort_array(ranked).alias("words"))
 
     size = F.size("words")
     prefix = size - F.expr(f"cast((size(words) * {num} + {den - 1}) div {den} as int)") + 1
@@ -98,18 +100,28 @@ def removed_lines(
         return sets.select(*(F.col(c).alias(f"_{c}{s}") for c in sets.columns))
 
     common = F.size(F.array_intersect("_wordsa", "_wordsb"))
-    near = (
+    matched = (
         pairs.join(whole("a"), (F.col("h1a") == F.col("_h1a")) & (F.col("h2a") == F.col("_h2a")))
-        .select("h1a", "h2a", "h1b", "h2b", "_firsta", "_wordsa")
+        .select("h1a", "h2a", "h1b", "h2b", "_wordsa")
         .join(whole("b"), (F.col("h1b") == F.col("_h1b")) & (F.col("h2b") == F.col("_h2b")))
         .where(common * den >= (F.size("_wordsa") + F.size("_wordsb") - common) * num)
-        .select(F.explode(F.when(F.col("_firsta") < F.col("_firstb"), F.array(F.struct("h1b", "h2b"))).when(F.col("_firstb") < F.col("_firsta"), F.array(F.struct(F.col("h1a").alias("h1b"), F.col("h2a").alias("h2b"))))).alias("later"))
-        .select(F.col("later.h1b").alias("g1"), F.col("later.h2b").alias("g2"))
+        .select("h1a", "h2a", "h1b", "h2b")
+    )
+
+    def since(s: str) -> DataFrame:
+        return firsts.select(*(F.col(c).alias(f"_{c}{s}") for c in ("h1", "h2", "first")))
+
+    a_later = F.col("_firsta") > F.col("_firstb")
+    near = (
+        matched.join(since("a"), (F.col("h1a") == F.col("_h1a")) & (F.col("h2a") == F.col("_h2a")))
+        .select("h1a", "h2a", "h1b", "h2b", "_firsta")
+        .join(since("b"), (F.col("h1b") == F.col("_h1b")) & (F.col("h2b") == F.col("_h2b")))
+        .where("_firsta <> _firstb")
+        .select(F.when(a_later, F.col("h1a")).otherwise(F.col("h1b")).alias("g1"), F.when(a_later, F.col("h2a")).otherwise(F.col("h2b")).alias("g2"))
         .distinct()
     )
     judged = (
-        distinct.select("h1", "h2", "first", "times")
-        .join(near, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
+        firsts.join(near, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
         .where((F.col("times") > 1) | F.col("g1").isNotNull())
         .select(F.col("h1").alias("d1"), F.col("h2").alias("d2"), F.when(F.col("g1").isNull(), F.col("first")).alias("stays"))
     )
