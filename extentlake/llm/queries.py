@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html_extract, iblt, langid, line_dedup, ngram_join, sharding, warc
+from . import bpe, decontam, html_extract, iblt, langid, line_dedup, ngram_join, quality, sharding, warc
 from .common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,24 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    good, toxic = quality.fit(docs, table(spark, sf_dir, "labels"), ["quality", "toxic"])
+    scored = quality.score(docs, [good, toxic])
+
+    def one(scorer: int, view: int) -> F.Column:
+        return F.col("scores")[scorer][view]
+
+    return scored.select(
+        "doc_id",
+        one(0, 0).alias("text_score"),
+        one(0, 1).alias("meta_score"),
+        one(0, 2).alias("quality_score"),
+        one(1, 2).alias("toxic_score"),
+        ((one(0, 2) >= good.threshold) & (one(1, 2) <= 0.5)).alias("keep"),
+    )
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
 
@@ -109,7 +127,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_byte_level_bpe, op2_warc, op3_document_fingerprints, op4_html_extraction, op5_benchmark_decontamination, op6_line_dedup, op7_language_id, op9_ngram_jaccard_join, op10_sharding]
+    found = [op1_byte_level_bpe, op2_warc, op3_document_fingerprints, op4_html_extraction, op5_benchmark_decontamination, op6_line_dedup, op7_language_id, op8_quality_classifier, op9_ngram_jaccard_join, op10_sharding]
     return {f.__name__: f for f in found}
 
 
