@@ -28,6 +28,7 @@ fewer words than a shingle are one shingle.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, written
+from .common import map_rows, partitions, shared_path, written
 from .components import components
+from .shingling import mix, shingle_sets
 
 #: Long words of the fixed sketch that candidates are checked with.
 SKETCH_WORDS = 32
@@ -45,41 +47,10 @@ STARS = 2
 #: Bits of a part's sketch.
 PART_BITS = 1 << 16
 
-_M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit values."""
-    x = (x ^ (x >> np.uint64(30))) * _M2
-    x = (x ^ (x >> np.uint64(27))) * _M3
-    return x ^ (x >> np.uint64(31))
-
-
-class _Hashes(dict):
-    """64-bit hashes of words, kept for the worker's life up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return value
-
-
-_hashes = _Hashes()
-
-
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles of ``size`` words."""
-    words = (text or "").encode().translate(_FOLD).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    n = min(size, len(h))
-    out = np.full(len(h) - n + 1, n, np.uint64)
-    for k in range(n):
-        out = mix(out * _M1 + h[k : len(h) - n + 1 + k])
-    return np.unique(out)
+_M1 = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a shingle's hash that sets are compared by; sizes and names use all 64.
+_COMPARED = np.uint64((1 << 48) - 1)
+_KEY_BITS = np.uint64((1 << 48) - 1)
 
 
 class Join:
@@ -109,38 +80,64 @@ class Join:
         spare = 0 if need == 1 else need // 16 + 2
         return need + spare, spare
 
-    def keys(self, found: np.ndarray) -> np.ndarray:
-        """The join keys of a set."""
-        k = int(np.searchsorted(self.tops(), len(found)))
-        out = []
-        for band in (k, k + 1):
-            # In the next band the set only meets sets that are larger than this band's.
-            if band > k and len(found) * self.den < (self.top(k) + 1) * self.num:
+    def keys(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The owners (positions in ``sets``) and values of all join keys of some sets."""
+        sizes = np.array([len(s) for s in sets], np.int64)
+        own = np.searchsorted(self.tops(), sizes)
+        owners, values = [], []
+        for ahead in (0, 1):
+            band = own + ahead
+            need = np.array([self.parts(k) for k in band.tolist()], np.int64).reshape(-1, 2)
+            # One part would only join equal sets; the next band only has sets that are larger than this band's.
+            use = (sizes > 0) & (need[:, 0] > 1)
+            if ahead:
+                above = np.array([self.top(k) + 1 for k in own.tolist()], np.int64)
+                use &= sizes * self.den >= above * self.num
+            chosen = np.flatnonzero(use)
+            if not len(chosen):
                 continue
-            count, spare = self.parts(band)
-            if count == 1:
-                continue  # such sets are only similar if they are equal
-            seed = mix(np.full(1, band, np.uint64))
-            part = ((found >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
+            found = np.concatenate([sets[i] for i in chosen])
+            of = np.repeat(np.arange(len(chosen)), sizes[chosen])
+            count = need[chosen, 0].astype(np.uint64)
+            part = (found >> np.uint64(32)) * count[of] >> np.uint64(32)
             bit = mix((found & np.uint64(PART_BITS - 1)) + _M1)
-            # The set is sorted, so parts are runs.
-            here, starts, held = np.unique(part, return_index=True, return_counts=True)
+            # Sets are sorted, so a set's parts are runs.
+            starts = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (part[1:] != part[:-1]))))
+            held = np.diff(np.append(starts, len(found)))
             sketch = np.bitwise_xor.reduceat(bit, starts)
-            weak = count - int((held > 1).sum())
-            name = mix(here.astype(np.uint64) + seed)
-            if weak <= spare and (held > 1).any():
-                strong = held > 1
-                out.append(mix(name[strong] + sketch[strong] * _M1))
-            else:
-                out.append(mix(name + sketch * _M1))
+            of, part = of[starts], part[starts]
+            seed = mix(band[chosen].astype(np.uint64) + _M1)
+            value = mix(mix(part + seed[of]) + sketch * _M1)
+            strong = np.bincount(of[held > 1], minlength=len(chosen))
+            lean = (need[chosen, 0] - strong <= need[chosen, 1]) & (strong > 0)
+            keep = ~lean[of] | (held > 1)
+            owners.append(chosen[of[keep]])
+            values.append(value[keep])
+            for i in np.flatnonzero(~lean):
                 # Empty parts have a key as well.
-                empty = np.setdiff1d(np.arange(count), here).astype(np.uint64)
-                out.append(mix(mix(empty + seed)))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+                empty = np.setdiff1d(np.arange(need[chosen[i], 0]).astype(np.uint64), part[of == i])
+                owners.append(np.full(len(empty), chosen[i]))
+                values.append(mix(mix(empty + seed[i])))
+        if not owners:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.concatenate(owners), np.concatenate(values) & _KEY_BITS
+
+    def similar(self, x: bytes, y: bytes, both: int) -> bool:
+        """Whether two packed sets of so many shingles together are similar."""
+        merged = np.sort(np.concatenate([unpacked(x), unpacked(y)]), kind="stable")
+        common = int((merged[1:] == merged[:-1]).sum())
+        return self.den * common >= self.num * (both - common)
 
-    def similar(self, x: np.ndarray, y: np.ndarray) -> bool:
-        common = len(np.intersect1d(x, y, assume_unique=True))
-        return self.den * common >= self.num * (len(x) + len(y) - common)
+
+def packed(found: np.ndarray) -> bytes:
+    """The compared bits of a set's hashes, six bytes each."""
+    return np.unique(found & _COMPARED).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8")[:, 0]
 
 
 def sketch(found: np.ndarray) -> bytes:
@@ -154,11 +151,12 @@ def node_of(found: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _profiles(docs: DataFrame, key: str, text: str, join: Join) -> DataFrame:
-    """(doc, n, node, sketch) of every row."""
+def _profiles(docs: DataFrame, join: Join) -> DataFrame:
+    """(doc, id, n, node, check, sketch) of every row."""
     schema = T.StructType(
         [
-            T.StructField("doc", docs.schema[key].dataType),
+            docs.schema["doc"],
+            T.StructField("id", T.LongType()),
             T.StructField("n", T.LongType()),
             T.StructField("node", T.LongType()),
             T.StructField("check", T.BinaryType()),
@@ -167,10 +165,11 @@ def _profiles(docs: DataFrame, key: str, text: str, join: Join) -> DataFrame:
     )
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, join.size) for t in batch.column(1).to_pylist()]
+        sets = shingle_sets(batch.column(2), join.size)
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
+                batch.column(1),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16, key=b"check").digest() if len(s) else None for s in sets], pa.binary()),
@@ -179,95 +178,101 @@ def _profiles(docs: DataFrame, key: str, text: str, join: Join) -> DataFrame:
             names=schema.names,
         )
 
-    return map_rows(docs.select(key, text), schema, run)
+    return map_rows(docs.select("doc", "id", "text"), schema, run)
 
 
-def _keyed(docs: DataFrame, text: str, join: Join) -> DataFrame:
+def _keyed(docs: DataFrame, join: Join) -> DataFrame:
     """(key, node) of every set."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nodes, keys = [], []
-        for t in batch.column(0).to_pylist():
-            found = shingles(t, join.size)
-            if len(found):
-                nodes.append(node_of(found))
-                keys.append(join.keys(found).view(np.int64))
-        offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-        values = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["node", "keys"]
-        )
+        sets = shingle_sets(batch.column(0), join.size)
+        names = np.array([node_of(x) for x in sets], np.int64)
+        owners, values = join.keys(sets)
+        return pa.RecordBatch.from_arrays([pa.array(names[owners]), pa.array(values.view(np.int64))], names=["node", "key"])
 
-    found = map_rows(docs.select(text), "node long, keys array<long>", run)
-    return found.select("node", F.explode("keys").alias("key"))
+    return map_rows(docs.select("text"), "node long, key long", run)
 
 
-def _sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, join: Join) -> DataFrame:
-    """(node, set) for the wanted (doc, node) rows."""
-    rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).join(wanted.withColumnRenamed("doc", "_doc"), F.col("doc") == F.col("_doc"))
+def _sets(docs: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
+    """A table (id, set) of the wanted (id, node) rows, bucketed by id: joins on it move the other side only."""
+    spark = docs.sparkSession
+    rows = docs.join(wanted.select(F.col("id").alias("_id"), "node"), F.col("id") == F.col("_id"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, join.size) for t in batch.column(1).to_pylist()]
+        sets = shingle_sets(batch.column(2), join.size)
         # Rows that share a key may have other texts: only the wanted set is kept.
-        right = [i for i, (s, n) in enumerate(zip(sets, batch.column(0).to_pylist())) if len(s) and node_of(s) == n]
+        right = [i for i, (s, n) in enumerate(zip(sets, batch.column(1).to_pylist())) if len(s) and node_of(s) == n]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(right, pa.int64())), pa.array([sets[i].tobytes() for i in right], pa.binary())], names=["node", "set"]
+            [batch.column(0).take(pa.array(right, pa.int64())), pa.array([packed(sets[i]) for i in right], pa.binary())], names=["id", "set"]
         )
 
-    return map_rows(rows.select("node", "text"), "node long, set binary", run)
+    found = map_rows(rows.select("id", "node", "text"), "id long, set binary", run)
+    name, path = f"shingle_sets_{uuid.uuid4().hex}", shared_path(spark, "sets")
+    found.write.option("path", path).bucketBy(partitions(spark), "id").sortBy("id").format("parquet").saveAsTable(name)
+    return spark.table(name)
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     """The (a, b) of ``pairs`` that are similar: by sizes, by sketches, then by sets."""
 
     def side(name: str) -> DataFrame:
-        return nodes.select(F.col("node").alias(f"_{name}"), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
-
-    drawn = pairs.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b"))
-    fits = (F.least("n_a", "n_b") * join.den >= F.greatest("n_a", "n_b") * join.num)
-    drawn = drawn.where(fits).select("a", "b", "n_a", "n_b", "s_a", "s_b")
+        return nodes.select(*(F.col(c).alias(f"{c}_{name}") for c in ("node", "id", "n", "sketch")))
+
+    fits = F.least("n_a", "n_b") * join.den >= F.greatest("n_a", "n_b") * join.num
+    drawn = (
+        pairs.join(side("a"), F.col("a") == F.col("node_a"))
+        .join(side("b"), F.col("b") == F.col("node_b"))
+        .where(fits)
+        .select("a", "b", "id_a", "id_b", (F.col("n_a") + F.col("n_b")).alias("both"), "sketch_a", "sketch_b")
+    )
 
     def near(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (4, 5))
-        apart = np.bitwise_count(x ^ y).sum(axis=1)
-        sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-        return batch.select(["a", "b"]).filter(pa.array(apart <= join.differ(sizes)))
-
-    close = map_rows(drawn, "a long, b long", near)
-    # The side with few partners is joined first, and its set travels to the other's.
-    with_b = close.join(sets.select(F.col("node").alias("_b"), F.col("set").alias("set_b")), F.col("b") == F.col("_b")).drop("_b")
-    both = with_b.join(sets.select(F.col("node").alias("_a"), F.col("set").alias("set_a")), F.col("a") == F.col("_a")).select("a", "b", "set_a", "set_b")
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (5, 6))
+        apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        return batch.select(["a", "b", "id_a", "id_b", "both"]).filter(pa.array(apart <= join.differ(batch.column(4).to_numpy())))
+
+    def side_set(name: str) -> DataFrame:
+        return sets.select(F.col("id").alias(f"_{name}"), F.col("set").alias(f"set_{name}"))
+
+    close = map_rows(drawn, "a long, b long, id_a long, id_b long, both long", near)
+    compared = (
+        close.join(side_set("b"), F.col("id_b") == F.col("_b"))
+        .select("a", "b", "id_a", "both", "set_b")
+        .join(side_set("a"), F.col("id_a") == F.col("_a"))
+        .select("a", "b", "both", "set_a", "set_b")
+    )
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-        ok = [join.similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in pairs]
+        ok = [join.similar(x, y, n) for n, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
         return batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return map_rows(both, "a long, b long", verify)
+    return map_rows(compared, "a long, b long", verify)
 
 
 def similar_groups(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100
 ) -> DataFrame:
     """(key, n_shingles, component_id) for every row: the number of its shingles, and the least key that is
-    reachable over links of at least ``num / den`` similarity."""
+    reachable over links of at least ``num / den`` similarity.  Keys are integers."""
     join = Join(size, num, den)
-    profiles = written(_profiles(docs, key, text, join), "profiles")
-    sets = profiles.where("node IS NOT NULL").groupBy("node").agg(
-        F.min("doc").alias("doc"),
-        F.first("n").alias("n"),
-        F.first("sketch").alias("sketch"),
-        F.min("check").alias("low"),
-        F.max("check").alias("high"),
+    # Rows without a key go by a hash of their text; their component is named by those with a key.
+    docs = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).withColumn(
+        "id", F.coalesce(F.col("doc").cast("long"), F.xxhash64(F.lit("no key"), "text"))
+    )
+    profiles = written(_profiles(docs, join), "profiles")
+    nodes = (
+        profiles.where("node IS NOT NULL")
+        .groupBy("node")
+        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     )
-    nodes = written(sets, "nodes")
-    if nodes.where("low <> high").limit(1).count():
+    names = profiles.where("node IS NOT NULL").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high"))
+    if names.where("low <> high").limit(1).count():
         raise ValueError("two shingle sets have the same 64-bit name")
 
     # Keys that two nodes or more share.
     group = Window.partitionBy("key")
     shared = (
-        _keyed(docs, text, join)
+        _keyed(docs, join)
         .repartition(F.col("key"))
         .withColumn("low", F.min("node").over(group))
         .withColumn("high", F.max("node").over(group))
@@ -276,8 +281,9 @@ def similar_groups(
         .dropDuplicates(["key", "node"])
     )
     shared = written(shared, "keys")
-    wanted = nodes.select("node", "doc").join(shared.select(F.col("node").alias("_n")).distinct(), F.col("node") == F.col("_n"), "left_semi")
-    shingle_sets = written(_sets(docs, key, text, wanted, join), "sets")
+    # Only these nodes are looked at again.
+    nodes = written(nodes.join(shared.select(F.col("node").alias("_n")).distinct(), F.col("node") == F.col("_n"), "left_semi"), "nodes")
+    shingle_table = _sets(docs.select("id", "text"), nodes, join)
 
     links: DataFrame | None = None
     roots: DataFrame | None = None
@@ -306,7 +312,7 @@ def similar_groups(
                 .select("a", F.col("node").alias("b"))
                 .distinct()
             )
-        found = written(_linked(pairs, nodes, shingle_sets, join), "links")
+        found = written(_linked(pairs, nodes, shingle_table, join), "links")
         links = found if links is None else links.unionByName(found)
         if found.limit(1).count():
             roots = components(links)
