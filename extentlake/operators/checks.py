@@ -42,12 +42,13 @@ def data_violations(contents: DataFrame) -> DataFrame:
     sums = contents.groupBy("id").agg(
         F.max("length").alias("length"), F.sum(F.col("stop") - F.col("start")).alias("stored"), F.count("*").alias("parts"), F.max("seq").alias("last")
     )
-    first = F.col("seq") == 1
+    length, digest = F.col("length").isNotNull(), F.col("hash").isNotNull()
+    misplaced = F.when(F.col("seq") == 1, ~(length & digest)).otherwise(length | digest)
     pairs = overlapping_pairs(contents)
     found = [
         _named("unique part", _repeated(contents, ["id", "seq"]), F.concat_ws("/", "id", "seq")),
         _named("part bounds", contents.where("start < 0 OR stop < start"), F.concat_ws("/", "id", "seq")),
-        _named("length and hash with the first part only", contents.where(first != (F.col("length").isNotNull() & F.col("hash").isNotNull())), F.concat_ws("/", "id", "seq")),
+        _named("length and hash with the first part only", contents.where(misplaced), F.concat_ws("/", "id", "seq")),
         _named("stored size", sums.where("stored > 0 AND stored <> length"), F.col("id")),
         _named("parts without gaps in their numbers", sums.where("parts <> last"), F.col("id")),
         _named("no overlap", pairs, F.concat_ws("/", "a.id", "a.seq", "b.id", "b.seq")),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from ..model import FILE_BYTES, MAX_POSITION
+from ..sources.storage import written
 
 #: Ranges of an ordering key that prefix sums are computed in; their totals are summed in one small window.
 RANGES = 4096
@@ -17,9 +18,9 @@ def prefix_axis(df: DataFrame, order: str, size: str, begin: str = "axis_from",
     row covers [begin, end) of one axis.
 
     Rows are summed inside ranges of ``order``; only the ranges' totals, at most ``ranges`` rows, meet in one task."""
-    low, high = df.agg(F.min(order)).scalar(), df.agg(F.max(order)).scalar()
-    placed = df.withColumn("_low", low).withColumn("_wide", high - F.col("_low"))
-    placed = placed.withColumn("_range", F.expr(f"cast(({order} - _low) div (_wide div {ranges} + 1) as int)")).drop("_low", "_wide")
+    bounds = df.agg(F.struct(F.min(order).alias("low"), F.max(order).alias("high"))).scalar()
+    placed = df.withColumn("_b", bounds)
+    placed = placed.withColumn("_range", F.expr(f"cast(({order} - _b.low) div ((_b.high - _b.low) div {ranges} + 1) as int)")).drop("_b")
     totals = placed.groupBy("_range").agg(F.sum(size).alias("_total"))
     before = totals.select(
         F.col("_range").alias("_r"),
@@ -74,10 +75,11 @@ def gaps(extents: DataFrame) -> DataFrame:
     """The gaps (start, stop) before and between non-overlapping extents.
 
     Anti joins leave the bounds of contiguous areas; the n-th area's stop and the next one's start are matched
-    by rank, so nothing is ordered in a single task."""
+    by rank, so nothing is ordered in a single task.  The bounds, few against the extents, are written once."""
     one = F.lit(1).cast("long")
-    starts = prefix_axis(area_starts(extents).withColumn("one", one), "start", "one", "rank", "_to").select("rank", F.col("start").alias("gap_stop"))
-    stops = prefix_axis(area_stops(extents).withColumn("one", one), "stop", "one", "_from", "rank").select("rank", F.col("stop").alias("gap_start"))
+    starts, stops = written(area_starts(extents), "starts"), written(area_stops(extents), "stops")
+    starts = prefix_axis(starts.withColumn("one", one), "start", "one", "rank", "_to").select("rank", F.col("start").alias("gap_stop"))
+    stops = prefix_axis(stops.withColumn("one", one), "stop", "one", "_from", "rank").select("rank", F.col("stop").alias("gap_start"))
     between = starts.join(stops, "rank", "left").select(F.coalesce("gap_start", F.lit(0)).cast("long").alias("start"), F.col("gap_stop").alias("stop"))
     return between.where("stop > start")
 

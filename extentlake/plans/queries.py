@@ -161,7 +161,7 @@ def _used(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(FA_SQL + _GAPS + "SELECT start, stop FROM free")
 def storage_gaps(spark: SparkSession, folder: str) -> DataFrame:
-    return extents.free_areas(_used(spark, folder))
+    return extents.free_areas(written(_used(spark, folder), "used"))
 
 
 @query(FA_SQL + _GAPS + "SELECT count(*) AS gaps, CAST(coalesce(sum(stop - start), 0) AS BIGINT) AS free_bytes, (SELECT max(stop) FROM used) AS storage_end FROM gaps")
