@@ -42,8 +42,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
     groups = ngram_join.similar_groups(docs)
     # Only those that are not the first of their group are looked up; rows without a key stay.
-    others = groups.where("component_id < doc_id").select(F.col("doc_id").alias("_other"))
-    return docs.join(others, F.col("doc_id") == F.col("_other"), "left_anti")
+    others = groups.where("component_id < doc_id").select("doc_id")
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

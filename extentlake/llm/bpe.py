@@ -17,6 +17,7 @@ Texts of up to one chunk, nearly all, are encoded where they are, without a shuf
 up each id's bytes and concatenates them; only whole texts are valid UTF-8, so bytes are returned.
 
 Null texts encode to no ids, as empty ones.  Row keys may repeat or be null.
+Columns named like the added one are replaced.
 """
 
 from __future__ import annotations
@@ -107,8 +108,7 @@ def encode(
     """
     if not 2 * _MARGIN < overlap < chunk:
         raise ValueError("the overlap must be shorter than a chunk")
-    if ids in df.columns:
-        raise ValueError(f"the column {ids} is taken")
+    df = df.drop(ids)
     at = df.columns.index(text)
     kept = [i for i, c in enumerate(df.columns) if keep_text or i != at]
     schema = T.StructType([*(df.schema.fields[i] for i in kept), T.StructField(ids, T.BinaryType())])
@@ -210,6 +210,7 @@ def _encode_long(
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with a binary column ``out``: the bytes that the ids stand for."""
+    df = df.drop(out)
     at = df.columns.index(ids)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())])
 

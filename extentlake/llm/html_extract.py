@@ -13,7 +13,8 @@ labelled pages the prior scores hold.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined
 by one space.  Null, empty and text-less pages give an empty text.  Unclosed comments, scripts and tags
-reach to the end of the page, as in browsers.  Repeated rows give repeated results; extra columns stay.
+reach to the end of the page, as in browsers.  Repeated rows give repeated results; extra columns
+stay, but one that is named like the text is replaced.
 """
 
 from __future__ import annotations
@@ -249,9 +250,7 @@ def main_text(page: str | None, scores: Scores) -> str:
 def extract(pages: DataFrame, scores: Scores, *, html_column: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with the main text in column ``out`` in place of the html."""
     at = pages.columns.index(html_column)
-    kept = [i for i in range(len(pages.columns)) if i != at]
-    if out in [pages.columns[i] for i in kept]:
-        raise ValueError(f"the column {out} is taken")
+    kept = [i for i, c in enumerate(pages.columns) if i != at and c.lower() != out.lower()]
     schema = T.StructType([*(pages.schema.fields[i] for i in kept), T.StructField(out, T.StringType())])
     held = pages.sparkSession.sparkContext.broadcast(scores)
 

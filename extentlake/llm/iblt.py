@@ -97,7 +97,7 @@ class Sketches:
         """The HASHES cells of each value: one in each third of its owner's sketch."""
         third = (self.cells[owner] // HASHES).astype(np.uint64)
         return np.stack(
-            [self.at[owner] + ((mix(values + np.uint64(k + 1) * _M1) % third) + np.uint64(k) * third).astype(np.int64) for k in range(HASHES)]
+            [self.at[owner] + ((mix(values + np.uint64((k + 1) * int(_M1) % (1 << 64))) % third) + np.uint64(k) * third).astype(np.int64) for k in range(HASHES)]
         )
 
     def add(self, owner: np.ndarray, values: np.ndarray, sign: np.ndarray | int = 1) -> None:

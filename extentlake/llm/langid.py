@@ -12,8 +12,8 @@ n-gram counts, not its texts, come to the driver.
 
 A null text and one without any letter are ``und`` with score 0.  Null labels are not learned.  With
 no labelled rows every text is ``und``; with one label every text with letters has that label.  Very
-long texts are counted in pieces.  Extra columns are carried on, so long as they do not clash with
-``lang_pred``, ``score`` and ``ambiguous``.
+long texts are counted in pieces.  Extra columns are carried on; those named
+like the added ones (``lang_pred``, ``score``, ``ambiguous``) are replaced.
 """
 
 from __future__ import annotations
@@ -155,7 +155,8 @@ def predict(df: DataFrame, model: Model | None, *, text: str = "text", keep_text
     """``df`` with lang_pred, score (0 to 1) and ambiguous."""
     held = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text)
-    kept = [i for i in range(len(df.columns)) if keep_text or i != at]
+    names = ("lang_pred", "score", "ambiguous")
+    kept = [i for i, c in enumerate(df.columns) if (keep_text or i != at) and c.lower() not in names]
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
     schema = T.StructType([*(df.schema.fields[i] for i in kept), *added])
 
@@ -173,7 +174,7 @@ def predict(df: DataFrame, model: Model | None, *, text: str = "text", keep_text
         unsure = [lang != UNDETERMINED and s < AMBIGUOUS for lang, s in zip(langs, scores)]
         return pa.RecordBatch.from_arrays(
             [*(batch.column(i) for i in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())],
-            names=[*(batch.schema.names[i] for i in kept), "lang_pred", "score", "ambiguous"],
+            names=[*(batch.schema.names[i] for i in kept), *names],
         )
 
     return map_rows(df, schema, run)

@@ -133,18 +133,20 @@ def removed_lines(
     return gone.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
-def marked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
-    """``docs`` with ``removed_lines``, null if none."""
-    doc, gone = fresh(docs, "doc"), removed_lines(docs, key=key, text=text, **options)
+def marked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", out: str = "removed_lines", **options: int) -> DataFrame:
+    """``docs`` with ``out``: the numbers of the lines to remove, null if none.  A column of that name is replaced."""
+    docs = docs.drop(out)
+    doc, gone = fresh(docs, "_doc"), removed_lines(docs.select(key, text), key=key, text=text, **options)
     lowest = F.lit(-(1 << 63)).cast("long")
     own = docs.withColumn(doc, F.coalesce(F.col(key).cast("long"), lowest))
-    return own.join(gone.select(F.col("doc").alias("_doc"), F.col("lines").alias("removed_lines")), F.col(doc) == F.col("_doc"), "left").drop(doc, "_doc")
+    return own.join(gone.select(F.col("doc").alias(doc), F.col("lines").alias(out)), doc, "left").drop(doc)
 
 
 def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
     """``docs`` without the repeated lines in their texts, all columns kept.  A document of which nothing with
     a word remains is dropped: all of it is in earlier documents."""
-    found = marked(docs, key=key, text=text, **options)
-    kept = F.concat_ws("\n", F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("removed_lines", i)))
-    changed = F.when(F.col("removed_lines").isNull(), F.col(text)).otherwise(kept)
-    return found.withColumn(text, changed).where(F.col("removed_lines").isNull() | F.col(text).rlike(_WORD)).select(*docs.columns)
+    out = fresh(docs, "_removed")
+    found = marked(docs, key=key, text=text, out=out, **options)
+    kept = F.concat_ws("\n", F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col(out), i)))
+    changed = F.when(F.col(out).isNull(), F.col(text)).otherwise(kept)
+    return found.withColumn(text, changed).where(F.col(out).isNull() | F.col(text).rlike(_WORD)).select(*docs.columns)

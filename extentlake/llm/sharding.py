@@ -13,7 +13,7 @@ permutations are done in cells of bounded expected size: a row's slot is the row
 plus its rank in its cell.  No task holds a shard.
 
 Null keys, null texts and repeated rows are rows like others.  Rows that are equal in every used
-column are interchangeable, so it does not matter which of them gets which slot.
+column are interchangeable, so it does not matter which of them gets which slot.  Columns named ``shard`` or ``slot`` are replaced.
 """
 
 from __future__ import annotations
@@ -84,7 +84,10 @@ def shuffle(
     if single keys may be very frequent, name more columns.
     """
     spark = df.sparkSession
-    block, cell, order, rank = (fresh(df, c) for c in ("block", "cell", "order_key", "rank"))
+    df = df.drop("shard", "slot")
+    block, cell, order, rank, ends_, shard_, cell_, before_ = (
+        fresh(df, c) for c in ("_block", "_cell", "_order", "_rank", "_ends", "_in_shard", "_in_cell", "_before")
+    )
 
     def rnd(salt: str) -> F.Column:
         return F.xxhash64(F.lit(seed), F.lit(salt), *key)
@@ -95,7 +98,7 @@ def shuffle(
     total = sum(counts)
     sizes = [total // shards + (j < total % shards) for j in range(shards)]
     ends = np.cumsum(communication_matrix(counts, sizes, seed), axis=1)
-    deal = spark.createDataFrame([(b, ends[b].tolist()) for b in range(blocks)], f"{block} int, _ends array<long>")
+    deal = spark.createDataFrame([(b, ends[b].tolist()) for b in range(blocks)], f"{block} int, {ends_} array<long>")
 
     # Permute each block and deal it out by its row of the matrix.
     local = Window.partitionBy(block).orderBy(order, *key)
@@ -103,8 +106,8 @@ def shuffle(
         placed.withColumn(order, rnd("local"))
         .withColumn(rank, F.row_number().over(local))
         .join(F.broadcast(deal), block)
-        .withColumn("shard", F.size(F.filter("_ends", lambda e: e < F.col(rank))).cast("int"))
-        .drop("_ends", rank, order, block)
+        .withColumn("shard", F.size(F.filter(ends_, lambda e: e < F.col(rank))).cast("int"))
+        .drop(ends_, rank, order, block)
     )
 
     # Exchange and permute each shard: cells in the order of a random key, and ranks inside a cell.
@@ -114,14 +117,14 @@ def shuffle(
     )
     filled = spread.groupBy("shard", cell).agg(F.count("*").alias("n"))
     before = filled.select(
-        F.col("shard").alias("_shard"),
-        F.col(cell).alias("_cell"),
-        (F.sum("n").over(Window.partitionBy("shard").orderBy(cell)) - F.col("n")).alias("_before"),
+        F.col("shard").alias(shard_),
+        F.col(cell).alias(cell_),
+        (F.sum("n").over(Window.partitionBy("shard").orderBy(cell)) - F.col("n")).alias(before_),
     )
     inside = F.row_number().over(Window.partitionBy("shard", cell).orderBy(order, *key)) - 1
     return (
         spread.withColumn(rank, inside)
-        .join(F.broadcast(before), (F.col("shard") == F.col("_shard")) & (F.col(cell) == F.col("_cell")))
-        .withColumn("slot", (F.col("_before") + F.col(rank)).cast("long"))
-        .drop(order, cell, rank, "_shard", "_cell", "_before")
+        .join(F.broadcast(before), (F.col("shard") == F.col(shard_)) & (F.col(cell) == F.col(cell_)))
+        .withColumn("slot", (F.col(before_) + F.col(rank)).cast("long"))
+        .drop(order, cell, rank, shard_, cell_, before_)
     )
