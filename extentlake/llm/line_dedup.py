@@ -1,6 +1,6 @@
 """Removal of repeated and nearly repeated lines by an exact set-similarity join, in DataFrame functions only.
 
-A line is the set of its words (runs of letters and digits, lower case).  Of lines whose sets have a Jaccard
+A line is the set of its words, what blanks part, in lower case.  Of lines whose sets have a Jaccard
 similarity of at least ``num / den``, only the first stays; lines are ordered by document key and line
 number.  A line is removed if any earlier line matches it, whether or not that one was removed itself.
 
@@ -8,7 +8,8 @@ Lines that are equal but for case are one line for the join, with their first oc
 frequencies are counted over all documents in ``RARITY_BINS`` hash bins, whose rounded logarithms give each word
 a rarity; a line's words are ordered by rarity, ties by hash.  Two similar sets share a word in their prefixes of
 n - ceil(t n) + 1 words, so lines are joined on their prefix words, filtered by length and by
-position (what can still match behind the shared word), and then compared as whole sets.  Any order gives the
+position (what can still match behind the shared word) and by the parity sketches of the lines' words, whose
+Hamming distance bounds the symmetric difference from below, and then compared as whole sets.  Any order gives the
 same result; a rare-first order only keeps the candidates few.
 
 Null texts and lines without letters and digits are left alone.  Repeated rows with one key are the same document:
@@ -24,15 +25,18 @@ from .common import fresh, written
 
 #: Bins of the word frequencies; the table of their levels is one byte a bin.
 RARITY_BINS = 1 << 20
-#: Splits a line into words.
-NOT_WORD = r"[^\p{L}\p{N}]+"
 _WORD = r"[\p{L}\p{N}]"
 _LOW56 = (1 << 56) - 1
 
 
+def _words(line: str) -> F.Column:
+    """A line's words: what blanks part."""
+    return F.filter(F.split(line, " "), lambda w: w != "")
+
+
 def _levels(docs: DataFrame, text: str, bins: int) -> DataFrame:
     """One row with the array of all bins' frequency levels."""
-    words = docs.select(F.explode(F.split(F.lower(F.col(text)), NOT_WORD)).alias("w"))
+    words = docs.select(F.explode(F.split(F.lower(F.translate(F.col(text), "\n", " ")), " ")).alias("w"))
     counted = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(bins)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
     level = F.least(F.lit(120), F.floor(F.log2("n") * 4)).cast("tinyint")
     # Bins in order, with level 0 where no word fell: at most ``bins`` rows meet here, whatever the corpus.
@@ -47,19 +51,18 @@ def _levels(docs: DataFrame, text: str, bins: int) -> DataFrame:
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, line, at, h1, h2, norm) of every line with a word; ``at`` orders all lines."""
+    """(doc, line, norm, h1, h2) of every line with a letter or digit.  h1 is a hash of the line and h2 the parity sketch of
+    its words, which also tells lines with equal h1 apart."""
     lowest = F.lit(-(1 << 63)).cast("long")
+    hashes = F.array_distinct(F.transform(_words("norm"), lambda w: F.xxhash64(w)))
+    one = F.lit(1).cast("long")
+    parity = F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))))
     return (
         docs.select(F.coalesce(F.col(key).cast("long"), lowest).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "raw"))
         .where(F.col("raw").rlike(_WORD))
-        .select(
-            "doc",
-            "line",
-            (F.col("doc").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("line")).cast("decimal(38,0)").alias("at"),
-            F.lower(F.trim("raw")).alias("norm"),
-        )
+        .select("doc", "line", F.lower(F.trim("raw")).alias("norm"))
         .withColumn("h1", F.xxhash64("norm"))
-        .withColumn("h2", F.xxhash64(F.lit(2), "norm"))
+        .withColumn("h2", parity)
     )
 
 
@@ -69,11 +72,14 @@ def removed_lines(
     """(doc, lines): for each document with such lines the sorted numbers (from 0) of the lines to remove."""
     levels = written(_levels(docs, text, bins), "rarity")
     lines = _lines(docs, key, text)
-    firsts = lines.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("times"))
-    # All three uses of this need the same columns, so that its exchange, the only one of whole lines, is made once.
-    distinct = lines.groupBy("h1", "h2").agg(F.first("norm").alias("norm"))
+    # All uses of this read all of its columns, so that its exchange, the only one of whole lines, is made once.
+    distinct = (
+        lines.groupBy("h1", "h2")
+        .agg(F.first("norm").alias("norm"), F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("times"))
+        .where("norm IS NOT NULL AND first IS NOT NULL AND times > 0")
+    )
 
-    hashed = F.array_distinct(F.transform(F.filter(F.split("norm", NOT_WORD), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    hashed = F.array_distinct(F.transform(_words("norm"), lambda w: F.xxhash64(w)))
     ranked = F.transform(
         hashed,
         lambda h: F.shiftleft(F.get("levels", F.pmod(h, F.lit(bins)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW56))),
@@ -94,7 +100,10 @@ def removed_lines(
     order = (F.col("h1a") < F.col("h1b")) | ((F.col("h1a") == F.col("h1b")) & (F.col("h2a") < F.col("h2b")))
     fits = F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num
     reach = F.least(n_a - p_a, n_b - p_b) * (num + den) >= (n_a + n_b) * num
-    pairs = side("a").join(side("b"), (F.col("worda") == F.col("wordb")) & order & fits & reach).select("h1a", "h2a", "h1b", "h2b").distinct()
+    # A word in one set only flips one bit of the sketches' difference at most.
+    apart = F.bit_count(F.col("h2a").bitwiseXOR(F.col("h2b"))) * (num + den) <= (n_a + n_b) * (den - num)
+    met = side("a").join(side("b"), (F.col("worda") == F.col("wordb")) & order & fits & reach & apart)
+    pairs = met.select("h1a", "h2a", "h1b", "h2b").distinct()
 
     def whole(s: str) -> DataFrame:
         return sets.select(*(F.col(c).alias(f"_{c}{s}") for c in sets.columns))
@@ -109,7 +118,7 @@ def removed_lines(
     )
 
     def since(s: str) -> DataFrame:
-        return firsts.select(*(F.col(c).alias(f"_{c}{s}") for c in ("h1", "h2", "first")))
+        return distinct.select(*(F.col(c).alias(f"_{c}{s}") for c in ("h1", "h2", "first")))
 
     a_later = F.col("_firsta") > F.col("_firstb")
     near = (
@@ -121,14 +130,14 @@ def removed_lines(
         .distinct()
     )
     judged = (
-        firsts.join(near, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
+        distinct.join(near, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
         .where((F.col("times") > 1) | F.col("g1").isNotNull())
         .select(F.col("h1").alias("d1"), F.col("h2").alias("d2"), F.when(F.col("g1").isNull(), F.col("first")).alias("stays"))
     )
     gone = (
-        lines.select("h1", "h2", "doc", "line", "at")
+        lines.select("h1", "h2", "doc", "line")
         .join(judged, (F.col("h1") == F.col("d1")) & (F.col("h2") == F.col("d2")))
-        .where(~F.col("at").eqNullSafe(F.col("stays")))
+        .where(~F.struct("doc", "line").eqNullSafe(F.col("stays")))
     )
     return gone.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 

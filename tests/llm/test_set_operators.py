@@ -134,8 +134,8 @@ def lines_brute(docs):
     seen, inv, out = [], defaultdict(list), defaultdict(list)
     for d, text in sorted(docs, key=lambda x: (x[0] is not None, x[0])):
         for i, line in enumerate((text or "").split("\n") if text is not None else []):
-            words = frozenset(x for x in regex.split(r"[^\p{L}\p{N}]+", line.lower()) if x)
-            if not words:
+            words = frozenset(x for x in line.lower().split(" ") if x)
+            if not regex.search(r"[\p{L}\p{N}]", line):
                 continue
             counts = Counter(j for w in words for j in inv[w])
             if any(5 * c >= 4 * (len(words) + len(seen[j]) - c) for j, c in counts.items()):
