@@ -17,9 +17,10 @@ equal parts is not weak, so no pair is lost.
 
 Candidates are checked by the Hamming distance of a fixed parity sketch, which bounds the symmetric
 difference from below, and then by the shingle sets themselves.  Since only components are wanted, groups
-with one key are first joined as stars around a few of their sets; all remaining pairs of sets that are in
-different components then follow, so a large group of near copies is not spelled out as pairs and no
-link between components is missed.
+with one key are first joined as stars: one set of each component that the group spans, around one of them,
+in several rounds with ever more different choices.  All remaining pairs of sets that are in different components then
+follow, filtered inside the join by the sketches folded to fewer bits.  So a large group of near copies is not
+spelled out as pairs, and no link between components is missed.
 
 Null and empty documents have no shingles and no links.  Repeated rows are equal sets.  Documents with
 fewer words than a shingle are one shingle.
@@ -42,8 +43,10 @@ from .shingling import mix, shingle_sets
 
 #: Long words of the fixed sketch that candidates are checked with.
 SKETCH_WORDS = 32
-#: Star rounds before all remaining pairs.
-STARS = 2
+#: Star rounds before all remaining pairs, by how many different sets a group's stars may be around.
+STARS = (1, 4, 16)
+#: Long words that the fixed sketch is folded to for the filter inside the join of the remaining pairs.
+FOLDED = 8
 #: Bits of a part's sketch.
 PART_BITS = 1 << 16
 
@@ -146,6 +149,11 @@ def sketch(found: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def folded(raw: bytes) -> list[int]:
+    """A sketch of FOLDED long words: the parity of those of the whole one."""
+    return np.bitwise_xor.reduce(np.frombuffer(raw, np.int64).reshape(-1, FOLDED), axis=0).tolist()
+
+
 def node_of(found: np.ndarray) -> int:
     """A signed 64-bit name of a set."""
     return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
@@ -161,11 +169,13 @@ def _profiles(docs: DataFrame, join: Join) -> DataFrame:
             T.StructField("node", T.LongType()),
             T.StructField("check", T.BinaryType()),
             T.StructField("sketch", T.BinaryType()),
+            T.StructField("folded", T.ArrayType(T.LongType())),
         ]
     )
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(2), join.size)
+        sketches = [sketch(s) if len(s) else None for s in sets]
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
@@ -173,7 +183,8 @@ def _profiles(docs: DataFrame, join: Join) -> DataFrame:
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16, key=b"check").digest() if len(s) else None for s in sets], pa.binary()),
-                pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()),
+                pa.array(sketches, pa.binary()),
+                pa.array([s and folded(s) for s in sketches], pa.list_(pa.int64())),
             ],
             names=schema.names,
         )
@@ -249,6 +260,28 @@ def _linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, join: Join) ->
     return map_rows(compared, "a long, b long", verify)
 
 
+def _stars(open_keys: DataFrame, hubs: int) -> DataFrame:
+    """One set of each component of a key's group, paired with one of them all; which sets depends on the key, in ``hubs`` ways."""
+    turn = F.xxhash64("node", F.pmod("key", F.lit(hubs)), F.lit(hubs))
+    one = open_keys.groupBy("key", "root").agg(F.min(F.struct(turn.alias("turn"), "node")).alias("own"))
+    hub = F.min("own").over(Window.partitionBy("key"))
+    starred = one.withColumn("hub", hub).where("own <> hub")
+    return starred.select(F.col("hub.node").alias("a"), F.col("own.node").alias("b")).distinct()
+
+
+def _remaining(open_keys: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
+    """All pairs of sets of different components with a common key, but those that sizes or folded sketches rule out."""
+    profile = nodes.select(F.col("node").alias("_n"), "n", *(F.col("folded")[i].alias(f"f{i}") for i in range(FOLDED)))
+    rows = open_keys.join(profile, F.col("node") == F.col("_n")).drop("_n")
+    l, r = (rows.select(*(F.col(c).alias(f"{c}_{s}") for c in rows.columns)) for s in "lr")
+    both = F.col("n_l") + F.col("n_r")
+    apart = sum((F.bit_count(F.col(f"f{i}_l").bitwiseXOR(F.col(f"f{i}_r"))) for i in range(FOLDED)), F.lit(0))
+    near = apart * (join.den + join.num) <= both * (join.den - join.num)
+    fits = F.least("n_l", "n_r") * join.den >= F.greatest("n_l", "n_r") * join.num
+    met = l.join(r, (F.col("key_l") == F.col("key_r")) & (F.col("root_l") != F.col("root_r")) & (F.col("node_l") < F.col("node_r")) & fits & near)
+    return met.select(F.col("node_l").alias("a"), F.col("node_r").alias("b")).distinct()
+
+
 def similar_groups(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100
 ) -> DataFrame:
@@ -263,7 +296,7 @@ def similar_groups(
     nodes = (
         profiles.where("node IS NOT NULL")
         .groupBy("node")
-        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("folded").alias("folded"))
     )
     names = profiles.where("node IS NOT NULL").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high"))
     if names.where("low <> high").limit(1).count():
@@ -287,31 +320,15 @@ def similar_groups(
 
     links: DataFrame | None = None
     roots: DataFrame | None = None
-    for turn in range(STARS + 1):
+    for hubs in (*STARS, 0):
         placed = shared.withColumn("root", F.col("node"))
         if roots is not None:
             own = roots.select(F.col("node").alias("_n"), F.col("root").alias("_root"))
             placed = shared.join(own, F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("_root", "node").alias("root"))
         # Only keys that still span components.
-        open_keys = (
-            placed.withColumn("low", F.min("root").over(group)).withColumn("high", F.max("root").over(group)).where("low <> high").drop("low", "high")
-        )
-        if turn < STARS:
-            order = F.xxhash64("node", F.lit(turn))
-            hub = F.min(F.struct(order.alias("o"), F.col("node").alias("hub"), F.col("root").alias("hub_root"))).over(group)
-            pairs = (
-                open_keys.withColumn("h", hub)
-                .where("root <> h.hub_root")
-                .select(F.col("h.hub").alias("a"), F.col("node").alias("b"))
-                .distinct()
-            )
-        else:
-            other = open_keys.select(F.col("key").alias("_key"), F.col("node").alias("a"), F.col("root").alias("_root"))
-            pairs = (
-                open_keys.join(other, (F.col("key") == F.col("_key")) & (F.col("root") != F.col("_root")) & (F.col("a") < F.col("node")))
-                .select("a", F.col("node").alias("b"))
-                .distinct()
-            )
+        spread = placed.repartition(F.col("key")).withColumn("low", F.min("root").over(group)).withColumn("high", F.max("root").over(group))
+        open_keys = spread.where("low <> high").drop("low", "high")
+        pairs = _stars(open_keys, hubs) if hubs else _remaining(open_keys, nodes, join)
         found = written(_linked(pairs, nodes, shingle_table, join), "links")
         links = found if links is None else links.unionByName(found)
         if found.limit(1).count():
