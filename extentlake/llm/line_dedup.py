@@ -27,6 +27,8 @@ from .common import fresh, written
 RARITY_BINS = 1 << 20
 _WORD = r"[\p{L}\p{N}]"
 _LOW56 = (1 << 56) - 1
+#: Sizes and places of words from here on are not told apart by the filters.
+LONGEST = 4095
 
 
 def _words(line: str) -> F.Column:
@@ -51,18 +53,14 @@ def _levels(docs: DataFrame, text: str, bins: int) -> DataFrame:
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, line, norm, h1, h2) of every line with a letter or digit.  h1 is a hash of the line and h2 the parity sketch of
-    its words, which also tells lines with equal h1 apart."""
+    """(doc, line, norm, h1, h2) of every line with a letter or digit; h1 and h2 together name the line."""
     lowest = F.lit(-(1 << 63)).cast("long")
-    hashes = F.array_distinct(F.transform(_words("norm"), lambda w: F.xxhash64(w)))
-    one = F.lit(1).cast("long")
-    parity = F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))))
     return (
         docs.select(F.coalesce(F.col(key).cast("long"), lowest).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "raw"))
         .where(F.col("raw").rlike(_WORD))
         .select("doc", "line", F.lower(F.trim("raw")).alias("norm"))
         .withColumn("h1", F.xxhash64("norm"))
-        .withColumn("h2", parity)
+        .withColumn("h2", F.xxhash64(F.lit(2), "norm"))
     )
 
 
@@ -88,21 +86,30 @@ def removed_lines(
 
     size = F.size("words")
     prefix = size - F.expr(f"cast((size(words) * {num} + {den - 1}) div {den} as int)") + 1
+    # The sketch, the line's size and the word's place share one value of 40, 12 and 12 bits.
+    one, most = F.lit(1).cast("long"), F.lit(LONGEST)
+    parity = F.aggregate(
+        "words", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", one, F.pmod(w, F.lit(40)).cast("int")))
+    )
+    head = F.shiftleft(parity, 24).bitwiseOR(F.shiftleft(F.least(size, most).cast("long"), 12))
     posted = sets.select(
-        "h1", "h2", size.alias("n"), F.posexplode(F.slice("words", F.lit(1), prefix)).alias("pos", "word")
-    ).select(F.col("word"), "h1", "h2", (F.col("n") * 65536 + F.least("pos", F.lit(65535))).alias("place"))
+        "h1", "h2", head.alias("head"), F.posexplode(F.slice("words", F.lit(1), prefix)).alias("pos", "word")
+    ).select("word", "h1", "h2", F.col("head").bitwiseOR(F.least("pos", most).cast("long")).alias("place"))
 
     def side(s: str) -> DataFrame:
         return posted.select(*(F.col(c).alias(c + s) for c in posted.columns))
 
-    n_a, n_b = (F.expr(f"place{s} div 65536") for s in "ab")
-    p_a, p_b = (F.expr(f"place{s} % 65536") for s in "ab")
+    n_a, n_b = (F.shiftright(f"place{s}", 12).bitwiseAND(most) for s in "ab")
+    p_a, p_b = (F.col(f"place{s}").bitwiseAND(most) for s in "ab")
     order = (F.col("h1a") < F.col("h1b")) | ((F.col("h1a") == F.col("h1b")) & (F.col("h2a") < F.col("h2b")))
     fits = F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num
     reach = F.least(n_a - p_a, n_b - p_b) * (num + den) >= (n_a + n_b) * num
     # A word in one set only flips one bit of the sketches' difference at most.
-    apart = F.bit_count(F.col("h2a").bitwiseXOR(F.col("h2b"))) * (num + den) <= (n_a + n_b) * (den - num)
-    met = side("a").join(side("b"), (F.col("worda") == F.col("wordb")) & order & fits & reach & apart)
+    flips = F.bit_count(F.shiftrightunsigned(F.col("placea").bitwiseXOR(F.col("placeb")), 24))
+    apart = flips * (num + den) <= (n_a + n_b) * (den - num)
+    # Sizes from LONGEST on are not told apart, so such lines are only compared as whole sets.
+    long_ones = (n_a == most) | (n_b == most)
+    met = side("a").join(side("b"), (F.col("worda") == F.col("wordb")) & order & (long_ones | (fits & reach & apart)))
     pairs = met.select("h1a", "h2a", "h1b", "h2b").distinct()
 
     def whole(s: str) -> DataFrame:

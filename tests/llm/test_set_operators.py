@@ -160,7 +160,7 @@ def line_case():
             lines.append(rng.choice([" ", ", "]).join(words))
         lines += ["", "***", "THE SAME LINE"][: rng.randint(0, 3)]
         docs.append((d, "\n".join(lines)))
-    return [*docs, (90, None), (91, ""), (92, "\n\n"), (None, "the same line\nalone " + "z " * 5000)]
+    return [*docs, (90, None), (91, ""), (92, "\n\n"), (93, " ".join(f"u{i}" for i in range(4700))), (None, "the same line\nalone " + "z " * 5000)]
 
 
 def test_line_dedup(spark):
