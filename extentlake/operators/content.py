@@ -127,14 +127,16 @@ def unfitting(chunks: DataFrame, areas: DataFrame) -> DataFrame:
 
 def read_contents(parts: DataFrame, store: DataFrame, width: int = FILE_BYTES) -> DataFrame:
     """(id, pos, bytes): the bytes of contents' parts (id, seq, start, stop) from a store (start, bytes), in pieces.  What the
-    store has not is missing here, and zeros when put together by ``assemble``."""
+    store has not is missing here, and zeros when put together by ``assemble``.  If the store says whose bytes it has (id),
+    only a content's own count: space that was given out again may still hold older ones."""
     order = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     size = F.col("stop") - F.col("start")
     wanted = parts.where("stop > start").withColumn("_upto", F.sum(size).over(order)).select(
         "id", F.col("start").alias("l_start"), F.col("stop").alias("l_stop"), (F.col("_upto") - size).alias("_pos")
     )
-    held = store.select(F.col("start").alias("r_start"), (F.col("start") + F.octet_length("bytes")).alias("r_stop"), "bytes")
-    met = overlap_join(wanted, held, [], width)
+    own = ["id"] if "id" in store.columns else []
+    held = store.select(*own, F.col("start").alias("r_start"), (F.col("start") + F.octet_length("bytes")).alias("r_stop"), "bytes")
+    met = overlap_join(wanted, held, own, width)
     lo, hi = F.greatest("l_start", "r_start"), F.least("l_stop", "r_stop")
     return met.select(
         "id",

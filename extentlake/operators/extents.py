@@ -20,7 +20,9 @@ def prefix_axis(df: DataFrame, order: str, size: str, begin: str = "axis_from",
     Rows are summed inside ranges of ``order``; only the ranges' totals, at most ``ranges`` rows, meet in one task."""
     bounds = df.agg(F.struct(F.min(order).alias("low"), F.max(order).alias("high"))).scalar()
     placed = df.withColumn("_b", bounds)
-    placed = placed.withColumn("_range", F.expr(f"cast(({order} - _b.low) div ((_b.high - _b.low) div {ranges} + 1) as int)")).drop("_b")
+    # The optimizer may compute this for rows that a join drops later, so it must not fail outside the bounds.
+    at = f"try_subtract({order}, _b.low) div (try_subtract(_b.high, _b.low) div {ranges} + 1)"
+    placed = placed.withColumn("_range", F.expr(f"coalesce(greatest(0L, least({ranges}L, {at})), 0L)")).drop("_b")
     totals = placed.groupBy("_range").agg(F.sum(size).alias("_total"))
     before = totals.select(
         F.col("_range").alias("_r"),

@@ -125,7 +125,7 @@ def read_store(spark: SparkSession, folder: str, width: int) -> DataFrame:
 
 
 def write_store(pieces: DataFrame, folder: str, width: int) -> None:
-    """Write (start, bytes) as a table partitioned by the store file each piece lies in; pieces do not cross files."""
+    """Write (id, start, bytes) as a table partitioned by the store file each piece lies in; pieces do not cross files."""
     named = pieces.withColumn("file", F.replace(address_file_column(F.col("start"), width), F.lit("/"), F.lit("_")))
     named.repartition("file").sortWithinPartitions("file", "start").write.mode("append").partitionBy("file").parquet(folder)
 
