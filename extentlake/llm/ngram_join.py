@@ -41,11 +41,13 @@ from .common import map_rows, partitions, shared_path, written
 from .components import components
 from .shingling import mix, shingle_sets
 
-#: Long words of the fixed sketch that candidates are checked with.
+#: Long words of a set's whole parity sketch.
 SKETCH_WORDS = 32
 #: Star rounds before all remaining pairs, by how many different sets a group's stars may be around.
 STARS = (1, 4, 16)
-#: Long words that the fixed sketch is folded to for the filter inside the join of the remaining pairs.
+#: Components of a group from which more than one star round is made.
+MANY = 16
+#: Long words that it is folded to for the filter inside the joins of candidates.
 FOLDED = 8
 #: Bits of a part's sketch.
 PART_BITS = 1 << 16
@@ -160,7 +162,7 @@ def node_of(found: np.ndarray) -> int:
 
 
 def _profiles(docs: DataFrame, join: Join) -> DataFrame:
-    """(doc, id, n, node, check, sketch) of every row."""
+    """(doc, id, n, node, check, folded) of every row."""
     schema = T.StructType(
         [
             docs.schema["doc"],
@@ -168,14 +170,12 @@ def _profiles(docs: DataFrame, join: Join) -> DataFrame:
             T.StructField("n", T.LongType()),
             T.StructField("node", T.LongType()),
             T.StructField("check", T.BinaryType()),
-            T.StructField("sketch", T.BinaryType()),
             T.StructField("folded", T.ArrayType(T.LongType())),
         ]
     )
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(2), join.size)
-        sketches = [sketch(s) if len(s) else None for s in sets]
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
@@ -183,8 +183,7 @@ def _profiles(docs: DataFrame, join: Join) -> DataFrame:
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16, key=b"check").digest() if len(s) else None for s in sets], pa.binary()),
-                pa.array(sketches, pa.binary()),
-                pa.array([s and folded(s) for s in sketches], pa.list_(pa.int64())),
+                pa.array([folded(sketch(s)) if len(s) else None for s in sets], pa.list_(pa.int64())),
             ],
             names=schema.names,
         )
@@ -224,28 +223,21 @@ def _sets(docs: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """The (a, b) of ``pairs`` that are similar: by sizes, by sketches, then by sets."""
+    """The (a, b) of ``pairs`` that are similar: by sizes and sketches, inside the join, then by sets."""
 
     def side(name: str) -> DataFrame:
-        return nodes.select(*(F.col(c).alias(f"{c}_{name}") for c in ("node", "id", "n", "sketch")))
+        return _profile(nodes, f"_{name}", "id")
 
-    fits = F.least("n_a", "n_b") * join.den >= F.greatest("n_a", "n_b") * join.num
-    drawn = (
+    close = (
         pairs.join(side("a"), F.col("a") == F.col("node_a"))
-        .join(side("b"), F.col("b") == F.col("node_b"))
-        .where(fits)
-        .select("a", "b", "id_a", "id_b", (F.col("n_a") + F.col("n_b")).alias("both"), "sketch_a", "sketch_b")
+        .drop("node_a")
+        .join(side("b"), (F.col("b") == F.col("node_b")) & _may_be_similar("_a", "_b", join))
+        .select("a", "b", "id_a", "id_b", (F.col("n_a") + F.col("n_b")).alias("both"))
     )
 
-    def near(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (5, 6))
-        apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-        return batch.select(["a", "b", "id_a", "id_b", "both"]).filter(pa.array(apart <= join.differ(batch.column(4).to_numpy())))
-
     def side_set(name: str) -> DataFrame:
         return sets.select(F.col("id").alias(f"_{name}"), F.col("set").alias(f"set_{name}"))
 
-    close = map_rows(drawn, "a long, b long, id_a long, id_b long, both long", near)
     compared = (
         close.join(side_set("b"), F.col("id_b") == F.col("_b"))
         .select("a", "b", "id_a", "both", "set_b")
@@ -260,25 +252,38 @@ def _linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, join: Join) ->
     return map_rows(compared, "a long, b long", verify)
 
 
+def _profile(nodes: DataFrame, suffix: str, *more: str) -> DataFrame:
+    """The nodes' names, sizes and folded sketches in columns with a suffix."""
+    plain = [F.col(c).alias(c + suffix) for c in ("node", "n", *more)]
+    return nodes.select(*plain, *(F.col("folded")[i].alias(f"f{i}{suffix}") for i in range(FOLDED)))
+
+
+def _may_be_similar(x: str, y: str, join: Join) -> F.Column:
+    """Whether sizes and folded sketches allow two sets to be similar."""
+    n_x, n_y = F.col("n" + x), F.col("n" + y)
+    apart = sum((F.bit_count(F.col(f"f{i}{x}").bitwiseXOR(F.col(f"f{i}{y}"))) for i in range(FOLDED)), F.lit(0))
+    near = apart * (join.den + join.num) <= (n_x + n_y) * (join.den - join.num)
+    return (F.least(n_x, n_y) * join.den >= F.greatest(n_x, n_y) * join.num) & near
+
+
 def _stars(open_keys: DataFrame, hubs: int) -> DataFrame:
-    """One set of each component of a key's group, paired with one of them all; which sets depends on the key, in ``hubs`` ways."""
+    """One set of each component of a key's group, paired with one of them all; which sets depends on the key, in ``hubs`` ways.
+    After the first round only groups of many components are worth it: the others have few pairs."""
     turn = F.xxhash64("node", F.pmod("key", F.lit(hubs)), F.lit(hubs))
     one = open_keys.groupBy("key", "root").agg(F.min(F.struct(turn.alias("turn"), "node")).alias("own"))
-    hub = F.min("own").over(Window.partitionBy("key"))
-    starred = one.withColumn("hub", hub).where("own <> hub")
+    whole = Window.partitionBy("key")
+    starred = one.withColumn("hub", F.min("own").over(whole)).withColumn("spans", F.count("*").over(whole)).where("own <> hub")
+    if hubs > 1:
+        starred = starred.where(F.col("spans") >= MANY)
     return starred.select(F.col("hub.node").alias("a"), F.col("own.node").alias("b")).distinct()
 
 
 def _remaining(open_keys: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
     """All pairs of sets of different components with a common key, but those that sizes or folded sketches rule out."""
-    profile = nodes.select(F.col("node").alias("_n"), "n", *(F.col("folded")[i].alias(f"f{i}") for i in range(FOLDED)))
-    rows = open_keys.join(profile, F.col("node") == F.col("_n")).drop("_n")
+    rows = open_keys.join(_profile(nodes, "").withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n")
     l, r = (rows.select(*(F.col(c).alias(f"{c}_{s}") for c in rows.columns)) for s in "lr")
-    both = F.col("n_l") + F.col("n_r")
-    apart = sum((F.bit_count(F.col(f"f{i}_l").bitwiseXOR(F.col(f"f{i}_r"))) for i in range(FOLDED)), F.lit(0))
-    near = apart * (join.den + join.num) <= both * (join.den - join.num)
-    fits = F.least("n_l", "n_r") * join.den >= F.greatest("n_l", "n_r") * join.num
-    met = l.join(r, (F.col("key_l") == F.col("key_r")) & (F.col("root_l") != F.col("root_r")) & (F.col("node_l") < F.col("node_r")) & fits & near)
+    apart = (F.col("root_l") != F.col("root_r")) & (F.col("node_l") < F.col("node_r"))
+    met = l.join(r, (F.col("key_l") == F.col("key_r")) & apart & _may_be_similar("_l", "_r", join))
     return met.select(F.col("node_l").alias("a"), F.col("node_r").alias("b")).distinct()
 
 
@@ -296,7 +301,7 @@ def similar_groups(
     nodes = (
         profiles.where("node IS NOT NULL")
         .groupBy("node")
-        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("folded").alias("folded"))
+        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("folded").alias("folded"))
     )
     names = profiles.where("node IS NOT NULL").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high"))
     if names.where("low <> high").limit(1).count():
