@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,11 +36,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts the lineage and survives lost executors."""
+    """``df`` written to the shared folder and read back: cuts the lineage and survives lost executors.
+
+    Spark deletes a shuffle's files once the driver's garbage collection finds it unused, by default every half hour.
+    What was written needs them no more, so the collection is asked for here."""
     spark = df.sparkSession
     path = shared_path(spark, name)
+    schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:

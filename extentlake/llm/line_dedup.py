@@ -146,7 +146,8 @@ def removed_lines(
         .join(judged, (F.col("h1") == F.col("d1")) & (F.col("h2") == F.col("d2")))
         .where(~F.struct("doc", "line").eqNullSafe(F.col("stays")))
     )
-    return gone.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    # Written, so that the exchanges above are not kept for as long as the result is.
+    return written(gone.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines")), "removed")
 
 
 def marked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", out: str = "removed_lines", **options: int) -> DataFrame:
