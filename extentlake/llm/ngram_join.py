@@ -162,7 +162,7 @@ def node_of(found: np.ndarray) -> int:
 
 
 def _profiles(docs: DataFrame, join: Join) -> DataFrame:
-    """(doc, id, n, node, check, folded) of every row."""
+    """(doc, id, n, node, check, sketch, folded) of every row."""
     schema = T.StructType(
         [
             docs.schema["doc"],
@@ -170,12 +170,14 @@ def _profiles(docs: DataFrame, join: Join) -> DataFrame:
             T.StructField("n", T.LongType()),
             T.StructField("node", T.LongType()),
             T.StructField("check", T.BinaryType()),
+            T.StructField("sketch", T.BinaryType()),
             T.StructField("folded", T.ArrayType(T.LongType())),
         ]
     )
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(2), join.size)
+        sketches = [sketch(s) if len(s) else None for s in sets]
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
@@ -183,7 +185,8 @@ def _profiles(docs: DataFrame, join: Join) -> DataFrame:
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16, key=b"check").digest() if len(s) else None for s in sets], pa.binary()),
-                pa.array([folded(sketch(s)) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                pa.array(sketches, pa.binary()),
+                pa.array([s and folded(s) for s in sketches], pa.list_(pa.int64())),
             ],
             names=schema.names,
         )
@@ -228,13 +231,27 @@ def _linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, join: Join) ->
     def side(name: str) -> DataFrame:
         return _profile(nodes, f"_{name}", "id")
 
-    close = (
+    possible = (
         pairs.join(side("a"), F.col("a") == F.col("node_a"))
         .drop("node_a")
         .join(side("b"), (F.col("b") == F.col("node_b")) & _may_be_similar("_a", "_b", join))
         .select("a", "b", "id_a", "id_b", (F.col("n_a") + F.col("n_b")).alias("both"))
     )
 
+    # Folded sketches say nothing about long texts, whose sets are large: the whole ones are compared before any set moves.
+    def whole(name: str) -> DataFrame:
+        return nodes.select(F.col("node").alias(f"_{name}"), F.col("sketch").alias(f"sketch_{name}"))
+
+    drawn = possible.join(whole("a"), F.col("a") == F.col("_a")).drop("_a").join(whole("b"), F.col("b") == F.col("_b")).drop("_b")
+
+    def near(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (5, 6))
+        apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        return batch.select(["a", "b", "id_a", "id_b", "both"]).filter(pa.array(apart <= join.differ(batch.column(4).to_numpy())))
+
+    drawn = drawn.select("a", "b", "id_a", "id_b", "both", "sketch_a", "sketch_b")
+    close = map_rows(drawn, "a long, b long, id_a long, id_b long, both long", near)
+
     def side_set(name: str) -> DataFrame:
         return sets.select(F.col("id").alias(f"_{name}"), F.col("set").alias(f"set_{name}"))
 
@@ -301,7 +318,7 @@ def similar_groups(
     nodes = (
         profiles.where("node IS NOT NULL")
         .groupBy("node")
-        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("folded").alias("folded"))
+        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("folded").alias("folded"))
     )
     names = profiles.where("node IS NOT NULL").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high"))
     if names.where("low <> high").limit(1).count():
