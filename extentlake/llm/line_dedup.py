@@ -1,8 +1,8 @@
 """Removal of repeated and nearly repeated lines by an exact set-similarity join, in DataFrame functions only.
 
 A line is the set of its words, what blanks part, in lower case.  Of lines whose sets have a Jaccard
-similarity of at least ``num / den``, only the first stays; lines are ordered by document key and line
-number.  A line is removed if any earlier line matches it, whether or not that one was removed itself.
+similarity of at least ``num / den``, only the first stays; lines are ordered by document key, hash of the
+document's text and line number.  A line is removed if any earlier line matches it, whether or not that one was removed itself.
 
 Lines that are equal but for case are one line for the join, with their first occurrence.  Word
 frequencies are counted over all documents in ``RARITY_BINS`` hash bins, whose rounded logarithms give each word
@@ -12,8 +12,9 @@ position (what can still match behind the shared word) and by the parity sketche
 Hamming distance bounds the symmetric difference from below, and then compared as whole sets.  Any order gives the
 same result; a rare-first order only keeps the candidates few.
 
-Null texts and lines without letters and digits are left alone.  Repeated rows with one key are the same document:
-their lines are each other's equals and stay or go together.  Null keys come first and are one document's.
+Null texts and lines without letters and digits are left alone.  A document is named by its key and two hashes of its
+text.  Rows that repeat both are the same document: their lines are each other's equals and stay or go together.  Rows
+with one key, or none, and different texts are different documents.  Null keys come first.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import fresh, written
 
+#: What names a document.
+NAMES = ("doc", "own", "own2")
+
 #: Bins of the word frequencies; the table of their levels is one byte a bin.
 RARITY_BINS = 1 << 20
 _WORD = r"[\p{L}\p{N}]"
@@ -52,13 +56,18 @@ def _levels(docs: DataFrame, text: str, bins: int) -> DataFrame:
     )
 
 
+def names(key: str = "doc_id", text: str = "text") -> tuple[F.Column, F.Column, F.Column]:
+    """``NAMES`` of a row.  Few rows have one key, so that the second hash is only needed without one."""
+    doc = F.col(key).cast("long")
+    return doc, F.xxhash64(F.col(text)), F.when(doc.isNull(), F.xxhash64(F.lit(2), F.col(text))).otherwise(F.lit(0).cast("long"))
+
+
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, line, norm, h1, h2) of every line with a letter or digit; h1 and h2 together name the line."""
-    lowest = F.lit(-(1 << 63)).cast("long")
+    """``NAMES`` and (line, norm, h1, h2) of every line with a letter or digit; h1 and h2 together name the line."""
     return (
-        docs.select(F.coalesce(F.col(key).cast("long"), lowest).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "raw"))
+        docs.select(*(c.alias(n) for c, n in zip(names(key, text), NAMES)), F.posexplode(F.split(F.col(text), "\n")).alias("line", "raw"))
         .where(F.col("raw").rlike(_WORD))
-        .select("doc", "line", F.lower(F.trim("raw")).alias("norm"))
+        .select(*NAMES, "line", F.lower(F.trim("raw")).alias("norm"))
         .withColumn("h1", F.xxhash64("norm"))
         .withColumn("h2", F.xxhash64(F.lit(2), "norm"))
     )
@@ -67,13 +76,13 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 def removed_lines(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", num: int = 80, den: int = 100, bins: int = RARITY_BINS
 ) -> DataFrame:
-    """(doc, lines): for each document with such lines the sorted numbers (from 0) of the lines to remove."""
+    """``NAMES`` and lines: for each document with such lines the sorted numbers (from 0) of the lines to remove."""
     levels = written(_levels(docs, text, bins), "rarity")
     lines = _lines(docs, key, text)
     # All uses of this read all of its columns, so that its exchange, the only one of whole lines, is made once.
     distinct = (
         lines.groupBy("h1", "h2")
-        .agg(F.first("norm").alias("norm"), F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("times"))
+        .agg(F.first("norm").alias("norm"), F.min(F.struct(*NAMES, "line")).alias("first"), F.count("*").alias("times"))
         .where("norm IS NOT NULL AND first IS NOT NULL AND times > 0")
     )
 
@@ -142,21 +151,30 @@ def removed_lines(
         .select(F.col("h1").alias("d1"), F.col("h2").alias("d2"), F.when(F.col("g1").isNull(), F.col("first")).alias("stays"))
     )
     gone = (
-        lines.select("h1", "h2", "doc", "line")
+        lines.select("h1", "h2", *NAMES, "line")
         .join(judged, (F.col("h1") == F.col("d1")) & (F.col("h2") == F.col("d2")))
-        .where(~F.struct("doc", "line").eqNullSafe(F.col("stays")))
+        .where(~F.struct(*NAMES, "line").eqNullSafe(F.col("stays")))
     )
     # Written, so that the exchanges above are not kept for as long as the result is.
-    return written(gone.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines")), "removed")
+    return written(gone.groupBy(*NAMES).agg(F.sort_array(F.collect_set("line")).alias("lines")), "removed")
 
 
 def marked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", out: str = "removed_lines", **options: int) -> DataFrame:
     """``docs`` with ``out``: the numbers of the lines to remove, null if none.  A column of that name is replaced."""
     docs = docs.drop(out)
-    doc, gone = fresh(docs, "_doc"), removed_lines(docs.select(key, text), key=key, text=text, **options)
-    lowest = F.lit(-(1 << 63)).cast("long")
-    own = docs.withColumn(doc, F.coalesce(F.col(key).cast("long"), lowest))
-    return own.join(gone.select(F.col("doc").alias(doc), F.col("lines").alias(out)), doc, "left").drop(doc)
+    gone = removed_lines(docs.select(key, text), key=key, text=text, **options)
+    return with_removed(docs, gone, names(key, text), out)
+
+
+def with_removed(docs: DataFrame, gone: DataFrame, named: tuple[F.Column, F.Column, F.Column], out: str) -> DataFrame:
+    """``docs`` with the lines of ``gone`` in ``out``; ``named`` are the documents' ``NAMES``."""
+    own = [fresh(docs, f"_{n}") for n in NAMES]
+    found = gone.select(*(F.col(n).alias(f"{o}_g") for n, o in zip(NAMES, own)), F.col("lines").alias(out))
+    # Keys can be null.
+    same = F.lit(True)
+    for o in own:
+        same = same & F.col(o).eqNullSafe(F.col(f"{o}_g"))
+    return docs.withColumns(dict(zip(own, named))).join(found, same, "left").drop(*own, *(f"{o}_g" for o in own))
 
 
 def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options: int) -> DataFrame:

@@ -65,10 +65,12 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = line_dedup.removed_lines(docs).select(F.col("doc").alias("_doc"), "lines")
-    counted = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    named = dict(zip(line_dedup.NAMES, line_dedup.names()))
+    n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
+    counted = docs.select("doc_id", n_lines.alias("n_lines"), *(c.alias(n) for n, c in named.items()))
     none = F.array().cast("array<int>")
-    return counted.join(found, F.col("doc_id") == F.col("_doc"), "left").select(
+    found = line_dedup.with_removed(counted, line_dedup.removed_lines(docs), tuple(F.col(n) for n in named), "lines")
+    return found.select(
         "doc_id",
         "n_lines",
         F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"),

@@ -184,6 +184,18 @@ def test_repeated_rows_are_one_document(spark):
     assert [(r["doc"], list(r["lines"])) for r in line_dedup.removed_lines(df, bins=16).collect()] == [(2, [0])]
 
 
+def test_rows_of_one_key_or_none_are_told_apart(spark):
+    def left(rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        return sorted(line for r in line_dedup.without_repeats(docs).collect() for line in r["text"].split("\n"))
+
+    for key in (None, 7):
+        texts = ["x\nunique words here", "q\nx", "other words\nlast line"]
+        assert left([(key, t) for t in texts]) == ["last line", "other words", "q", "unique words here", "x"]
+    # Repeats at the same line number, and a null key beside the least one.
+    assert left([(None, "a b\nc d"), (None, "a b\ne f"), (-(1 << 63), "a b\nc d")]) == ["a b", "c d", "e f"]
+
+
 def groups_brute(docs, size, num, den):
     def shingles(t):
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
