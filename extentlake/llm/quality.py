@@ -1,13 +1,14 @@
 """Quality scores by co-training a text classifier and a page-metadata classifier.
 
 The views are the text (shares of hashed words and character statistics) and the metadata (source, language,
-length).  Each has a logistic regression.  In each round both score a pool of unlabelled documents, and the
-documents each is surest of, good and bad, join the other's training set with those labels.  At the end each view
-is calibrated on labelled documents that were kept apart, and a regression on both calibrated views gives
-the score of every document.
+length).  Each has a logistic regression.  All documents are the unlabelled side: they are dealt by hash to pools of about
+``POOL``.  In each round both views score a pool, and the documents each is surest of, good and bad, join the other's
+training set of that pool with those labels.  The regressions of all pools are averaged by their numbers of documents.
+At the end each view is calibrated on labelled documents that were kept apart, and a regression on both calibrated views
+gives the score of every document.
 
-Fitting uses bounded samples: the ``LABELLED`` labels and ``POOL`` documents with the smallest key hashes.  Only
-their feature vectors come to the driver.  Scoring covers every whole text.
+The labels are a bounded sample: those ``LABELLED`` with the smallest key hashes.  Only their feature vectors and
+the sums of the pools' weights come to the driver.  Pools and scores cover every document and its whole text.
 
 A null text has the features of an empty one; null metadata are a value of their own.  With no labels, or
 labels of one kind, there is nothing to tell apart: the score is the share of good labels, or 0.5.
@@ -17,6 +18,7 @@ Labels of unknown documents are ignored; repeated labels count repeatedly.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows
+from .common import map_rows, partitions
 from .linear import balanced, logistic, margins, sigmoid
 
-#: Labels that are used, at most, and documents of the unlabelled pool.
-LABELLED, POOL = 3000, 2000
+#: Labels that are used, at most, and documents of one unlabelled pool, about; all documents are in a pool.
+LABELLED, POOL = 3000, 16_000
+#: The weights of the pools are summed in units of this, so that sums do not depend on the order.
+UNIT = 2.0**-32
 #: Rounds, and the share of the pool that a view passes on in each.
 ROUNDS, SHARE = 4, 0.05
 #: Hash bins of words, sources, languages and lengths.
@@ -107,33 +111,36 @@ class Scorer:
         return sigmoid(calibrated[:, 0]), sigmoid(calibrated[:, 1]), sigmoid(margins(calibrated, self.mixed)[:, 0])
 
 
-def cotrain(x: np.ndarray, m: np.ndarray, y: np.ndarray, pool_x: np.ndarray, pool_m: np.ndarray) -> Scorer:
-    """Fit a scorer on labelled rows (views x and m, labels y) and a pool of unlabelled ones."""
-    if len(y) < 8 or y.min() == y.max():
-        return Scorer(None, None, None, None, float(y.mean()) if len(y) else 0.5, 0.0)
-    # Every fourth row of either label is for calibration.
+def _apart(y: np.ndarray) -> np.ndarray:
+    """Every fourth row of either label is for calibration."""
     apart = np.zeros(len(y), bool)
     for label in (0, 1):
         apart[np.flatnonzero(y == label)[::4]] = True
-    views = [x, m]
-    pools = [pool_x, pool_m]
-    extra: list[tuple[list[int], list[float]]] = [([], []), ([], [])]
-    free = np.ones(len(pool_x), bool)
-    share = max(1, int(SHARE * len(pool_x)))
-    good = float(y.mean())
+    return apart
+
+
+def _known(y: np.ndarray) -> bool:
+    """Whether there are labels enough of both kinds to learn from."""
+    return len(y) >= 8 and y.min() < y.max()
+
 
-    def train(v: int) -> np.ndarray:
-        own = np.vstack([views[v][~apart], pools[v][extra[v][0]]]) if extra[v][0] else views[v][~apart]
-        labels = np.concatenate([y[~apart], extra[v][1]])
-        return logistic(own, labels, balanced(labels), l2=1e-3)
+def _train(rows: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    return logistic(rows, labels, balanced(labels), l2=1e-3)
 
+
+def cotrain(views: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray], first: list[np.ndarray]) -> list[np.ndarray]:
+    """Both views' weights from labelled rows and a pool of unlabelled ones; ``first`` are those of the labelled rows alone."""
+    extra: list[tuple[list[int], list[float]]] = [([], []), ([], [])]
+    free = np.ones(len(pools[0]), bool)
+    share = max(1, int(SHARE * len(free)))
+    good = float(y.mean())
+    weights = first
     for _ in range(ROUNDS):
-        weights = [train(v) for v in (0, 1)]
         for v in (0, 1):
             left = np.flatnonzero(free)
             if not len(left):
                 break
-            z = margins(pools[v][left], weights[v])[:, 0]
+            z = margins(pools[v], weights[v])[left, 0]
             order = np.argsort(z, kind="stable")
             n_good = min(max(1, round(share * good)), len(left))
             n_bad = min(max(1, round(share * (1 - good))), len(left) - n_good)
@@ -142,21 +149,29 @@ def cotrain(x: np.ndarray, m: np.ndarray, y: np.ndarray, pool_x: np.ndarray, poo
                 extra[1 - v][0].extend(rows.tolist())
                 extra[1 - v][1].extend([label] * len(rows))
                 free[rows] = False
-    weights = [train(v) for v in (0, 1)]
-    z = np.stack([margins(views[v][apart], weights[v])[:, 0] for v in (0, 1)], axis=1)
-    platt = np.stack([logistic(z[:, v : v + 1], y[apart], l2=1e-3, rounds=300)[:, 0] for v in (0, 1)])
+        weights = [_train(np.vstack([views[v], pools[v][extra[v][0]]]), np.concatenate([y, extra[v][1]])) for v in (0, 1)]
+    return weights
+
+
+def combined(x: np.ndarray, m: np.ndarray, y: np.ndarray, weights: list[np.ndarray], good: float) -> Scorer:
+    """The scorer of two views' weights, calibrated on the labelled rows that were kept apart."""
+    z = np.stack([margins(rows, w)[:, 0] for rows, w in zip((x, m), weights)], axis=1)
+    platt = np.stack([logistic(z[:, v : v + 1], y, l2=1e-3, rounds=300)[:, 0] for v in (0, 1)])
     calibrated = np.stack([z[:, v] * platt[v, 0] + platt[v, 1] for v in (0, 1)], axis=1)
-    mixed = logistic(calibrated, y[apart], l2=1e-3, rounds=300)
+    mixed = logistic(calibrated, y, l2=1e-3, rounds=300)
     final = sigmoid(margins(calibrated, mixed)[:, 0])
-    threshold = min(0.5, float(np.quantile(final[y[apart] > 0], 1 - KEPT)))
+    threshold = min(0.5, float(np.quantile(final[y > 0], 1 - KEPT)))
     return Scorer(weights[0], weights[1], platt, mixed, good, threshold)
 
 
 _VIEWS = "label double, x binary, m binary"
 
 
-def _views(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Labels and both views of rows (label, text, source, lang, length), in a fixed order."""
+WIDTHS = (STATISTICS + WORD_BINS, SOURCE_BINS + LANG_BINS + LENGTH_BINS)
+
+
+def _viewed(rows: DataFrame) -> DataFrame:
+    """Labels and both views of rows (label, text, source, lang, length)."""
 
     def view(batch: pa.RecordBatch) -> pa.RecordBatch:
         label, text, source, lang, length = (c.to_pylist() for c in batch.columns)
@@ -169,12 +184,64 @@ def _views(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             names=["label", "x", "m"],
         )
 
-    found = sorted((r["label"], bytes(r["x"]), bytes(r["m"])) for r in map_rows(rows, _VIEWS, view).collect())
+    return map_rows(rows, _VIEWS, view)
+
+
+def _matrices(rows: list[tuple[bytes, bytes]]) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(r[k] for r in rows), np.float32).reshape(-1, WIDTHS[k]) for k in (0, 1)]
+
+
+def _views(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels and both views of rows, in a fixed order."""
+    found = sorted((r["label"], bytes(r["x"]), bytes(r["m"])) for r in _viewed(rows).collect())
     # Equal labels would stand together in the order of their features: mix them by content.
     found.sort(key=lambda r: zlib.crc32(r[1] + r[2]))
-    widths = (STATISTICS + WORD_BINS, SOURCE_BINS + LANG_BINS + LENGTH_BINS)
-    x, m = (np.frombuffer(b"".join(r[k + 1] for r in found), np.float32).reshape(-1, widths[k]) for k in (0, 1))
-    return np.array([r[0] for r in found]), x, m
+    return np.array([r[0] for r in found]), *_matrices([r[1:] for r in found])
+
+
+def _pooled(rows: DataFrame, tasks: list[tuple], pool: int) -> list[list[np.ndarray]]:
+    """For each task (labelled views, labels, first weights) the mean of all pools' weights."""
+    spark = rows.sparkSession
+    held = spark.sparkContext.broadcast(tasks)
+    count = max(1, -(-rows.count() // pool))
+    # The label's place holds the pool.  Few pools would fall on one task by their hashes: ranges deal them evenly.
+    number = F.pmod(F.xxhash64("key", "text", "source", "lang"), F.lit(count)).cast("double")
+    viewed = _viewed(rows.select(number.alias("label"), "text", "source", "lang", "length"))
+    dealt = viewed.repartitionByRange(min(count, 4 * partitions(spark)), "label").sortWithinPartitions("label")
+
+    def learn(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        pools = _matrices(sorted(found))
+        flat = [w.ravel() for views, y, first in held.value for w in cotrain(views, y, pools, first)]
+        sums = np.rint(np.concatenate(flat).astype(np.float64) * (len(found) / UNIT)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([len(found)], pa.int64()), pa.array([sums.tolist()], pa.list_(pa.int64()))], names=["n", "sums"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, found = None, []
+        for batch in batches:
+            for number, x, m in zip(*(c.to_pylist() for c in batch.columns)):
+                # Very many equal rows have one number: they are cut into pools of the same size.
+                if found and (number != own or len(found) >= 2 * pool):
+                    yield learn(found)
+                    found = []
+                own = number
+                found.append((x, m))
+        if found:
+            yield learn(found)
+
+    learned = dealt.mapInArrow(run, "n long, sums array<long>")
+    # One row of each weight comes back, whatever the number of pools; the first is the number of documents.
+    parts = learned.select(F.posexplode(F.concat(F.array("n"), "sums")).alias("at", "value"))
+    total = {r["at"]: int(r["value"]) for r in parts.groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value")).collect()}
+    if not total:
+        return [first for _, _, first in tasks]
+    mean = np.array([total[i] for i in range(1, len(total))], dtype=np.float64) * UNIT / total[0]
+    out, at = [], 0
+    for _, _, first in tasks:
+        out.append([])
+        for w in first:
+            out[-1].append(mean[at : at + w.size].reshape(w.shape).astype(np.float32))
+            at += w.size
+    return out
 
 
 def _narrow(docs: DataFrame, key: str) -> DataFrame:
@@ -192,12 +259,23 @@ def fit(docs: DataFrame, labels: DataFrame, targets: list[str], *, key: str = "d
     packed = sum((F.col(t).cast("long") * (1 << i) for i, t in enumerate(targets)), F.lit(0))
     known = labels.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), packed.cast("double").alias("label")).where("label IS NOT NULL")
     picked = known.orderBy(F.xxhash64("_key"), "label").limit(labelled)
-    others = rows.select(F.col("key").alias("_key")).where("_key IS NOT NULL").orderBy(F.xxhash64(F.lit("pool"), "_key")).limit(pool)
     columns = ["label", "text", "source", "lang", "length"]
-    # Both are at most as long as their limits.
-    y, x, m = _views(rows.join(F.broadcast(picked), F.col("key") == F.col("_key")).select(*columns))
-    _, px, pm = _views(rows.join(F.broadcast(others.distinct().withColumn("label", F.lit(0.0))), F.col("key") == F.col("_key")).select(*columns))
-    return [cotrain(x, m, (y.astype(np.int64) >> i & 1).astype(float), px, pm) for i in range(len(targets))]
+    # At most as long as its limit.
+    packs, x, m = _views(rows.join(F.broadcast(picked), F.col("key") == F.col("_key")).select(*columns))
+    labels_of = [(packs.astype(np.int64) >> i & 1).astype(float) for i in range(len(targets))]
+    tasks = []
+    for y in labels_of:
+        if _known(y):
+            views, own = [rows_of[~_apart(y)] for rows_of in (x, m)], y[~_apart(y)]
+            tasks.append((views, own, [_train(v, own) for v in views]))
+    weights = iter(_pooled(rows, tasks, pool) if tasks else [])
+    found = []
+    for y in labels_of:
+        if _known(y):
+            found.append(combined(x[_apart(y)], m[_apart(y)], y[_apart(y)], next(weights), float(y.mean())))
+        else:
+            found.append(Scorer(None, None, None, None, float(y.mean()) if len(y) else 0.5, 0.0))
+    return found
 
 
 def score(docs: DataFrame, scorers: list[Scorer], *, key: str = "doc_id") -> DataFrame:

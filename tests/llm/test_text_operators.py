@@ -178,6 +178,29 @@ def test_quality(spark):
     assert quality.fit(docs, labels.limit(0), ["quality"])[0].prior == 0.5
 
 
+def test_every_document_is_in_a_pool(spark, monkeypatch):
+    rng = random.Random(4)
+    words = lambda: " ".join(rng.choice(["river", "stone", "under"]) for _ in range(20))
+    rows = [(i, words(), "en", f"s{i % 5}") for i in range(2300)] + [(None, "no key", "en", "s0")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    seen = []
+    kept = quality._pooled
+
+    def pooled(found, tasks, pool):
+        seen.append((found.count(), found.where("key IS NULL").count()))
+        return kept(found, tasks, pool)
+
+    monkeypatch.setattr(quality, "_pooled", pooled)
+    one, again, many = (quality.fit(d, labels, ["quality"], pool=n)[0] for d, n in ((docs, 5000), (docs.repartition(7), 5000), (docs, 500)))
+    assert seen == [(2303, 3)] * 3
+    assert np.array_equal(one.text, again.text) and np.array_equal(one.meta, again.meta)
+    assert one.text.shape == many.text.shape and not np.array_equal(one.text, many.text)
+    # Documents beyond the first thousands teach, too.
+    fewer = quality.fit(docs.where("doc_id < 2200"), labels, ["quality"], pool=5000)[0]
+    assert not np.array_equal(one.text, fewer.text)
+
+
 def test_hashes_of_the_contract(spark, library):
     text = "Ein Test, zwei Tests."
     row = bpe.encode(documents(spark, [text]), RANKS, PATTERN).select(F.sha2("ids", 256).alias("h")).first()
