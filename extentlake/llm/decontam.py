@@ -8,8 +8,8 @@ Offsets in the normalised text lead back to words and from there to the original
 
 The automaton is built once per Python worker from a broadcast list of windows.  The list's bytes
 are checked: a benchmark above ``block_bytes`` is cut into blocks by item, each with an automaton
-of its own; documents are then scanned once per block and the findings are merged, so nothing that
-is broadcast grows with the benchmark.
+of its own; each row is then scanned by one block after the other and carries its findings along, so
+nothing that is broadcast grows with the benchmark.
 
 Null or word-less documents have no hits; null or word-less items have no windows.  Repeated items
 and repeated windows are legal: an occurrence counts for every item that has the window.  An empty
@@ -22,7 +22,6 @@ import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -66,6 +65,10 @@ def windows(words: list[bytes], size: int = WINDOW) -> list[bytes]:
     return list(dict.fromkeys(b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))))
 
 
+def _sorted_ids(ids: set[str | None]) -> list[str | None]:
+    return sorted(ids)
+
+
 class Automaton:
     """An Aho-Corasick automaton over the windows of some items."""
 
@@ -127,48 +130,49 @@ def _automaton(key: str, items: list[tuple[str, str | None]], size: int) -> Auto
     return _built[key]
 
 
-def _scan(docs: DataFrame, key_col: str, text_col: str, items: list[tuple[str, str | None]], size: int) -> DataFrame:
-    """key, n_words, spans of words [first, last) that are hit, and item ids."""
+def _runs(hit: np.ndarray) -> list[dict]:
+    """Runs [start, end) of hit words."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))).reshape(-1, 2)
+    return [{"start": int(a), "end": int(b)} for a, b in edges]
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _scan(rows: DataFrame, items: list[tuple[str, str | None]], size: int, last: bool) -> DataFrame:
+    """``rows`` (key, text and, behind an earlier block, items and runs of hit words) with the findings of one more block;
+    key, n_words, n_hit, items and spans behind the last."""
     key = hashlib.sha256(repr((items, size)).encode()).hexdigest()
-    held = docs.sparkSession.sparkContext.broadcast(items)
-    schema = T.StructType(
-        [
-            T.StructField("key", docs.schema[key_col].dataType),
-            T.StructField("n_words", T.LongType()),
-            T.StructField("n_hit", T.LongType()),
-            T.StructField("items", T.ArrayType(T.StringType())),
-            T.StructField("spans", FOUND),
-            T.StructField("word_runs", FOUND),
-        ]
-    )
-    out = pa.schema(
-        [
-            ("key", pa.null()),
-            ("n_words", pa.int64()),
-            ("n_hit", pa.int64()),
-            ("items", pa.list_(pa.string())),
-            ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-            ("word_runs", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-        ]
-    )
+    held = rows.sparkSession.sparkContext.broadcast(items)
+    ids_type = T.StructField("items", T.ArrayType(T.StringType()))
+    if last:
+        added = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), ids_type, T.StructField("spans", FOUND)]
+        types = [pa.int64(), pa.int64(), pa.list_(pa.string()), _SPANS]
+    else:
+        added = [ids_type, T.StructField("runs", FOUND)]
+        types = [pa.list_(pa.string()), _SPANS]
+    kept = 1 if last else 2
+    schema = T.StructType([*rows.schema.fields[:kept], *added])
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         machine = _automaton(key, held.value, size)
-        keys, texts = batch.column(0), batch.column(1)
-        rows = []
-        for text in texts.to_pylist():
+        none = [[]] * batch.num_rows
+        before = [c.to_pylist() for c in batch.columns[2:]] or [none, none]
+        out = []
+        for text, ids, runs in zip(batch.column(1).to_pylist(), *before):
             words = normalised(text)
-            hit, ids = machine.scan(words)
-            if ids:
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))).reshape(-1, 2)
-                runs = [{"start": int(a), "end": int(b)} for a, b in edges]
-                rows.append((len(words), int(hit.sum()), sorted(ids), original_spans(text, hit), runs))
+            hit, found = machine.scan(words)
+            for run in runs:
+                hit[run["start"] : run["end"]] = True
+            found = _sorted_ids(found.union(ids))
+            if last:
+                out.append((len(words), int(hit.sum()), found, original_spans(text, hit) if hit.any() else []))
             else:
-                rows.append((len(words), 0, [], [], []))
-        columns = [pa.array(c, type=f.type) for c, f in zip(zip(*rows), list(out)[1:])]
-        return pa.RecordBatch.from_arrays([keys, *columns], schema=out.set(0, pa.field("key", keys.type)))
+                out.append((found, _runs(hit)))
+        columns = [pa.array(c, type=t) for c, t in zip(zip(*out), types)]
+        return pa.RecordBatch.from_arrays([*batch.columns[:kept], *columns], names=schema.names)
 
-    return map_rows(docs.select(key_col, text_col), schema, scan)
+    return map_rows(rows, schema, scan)
 
 
 def _blocks(
@@ -200,33 +204,13 @@ def contaminated(
     """For each row of ``docs``: its key, n_words, n_hit, the items found (as sorted strings) and the
     code point spans of the original text that are hit.
 
-    With more than one block the findings of a key are merged, so keys must then be unique; with
-    one block rows are only mapped and repeated or null keys stay as they are.
+    Rows are only mapped, whatever the number of blocks: repeated and null keys stay as they are.
     """
-    parts = [_scan(docs, key, text, b, window) for b in _blocks(benchmark, item, item_text, window, block_bytes)]
-    if len(parts) == 1:
-        return parts[0].withColumnRenamed("key", key).drop("word_runs")
-    merged = (
-        reduce(DataFrame.unionByName, parts)
-        .groupBy("key")
-        .agg(
-            F.max("n_words").alias("n_words"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("word_runs")))).alias("word_runs"),
-        )
-    )
-    # Runs come sorted by start; each adds what reaches beyond the furthest end so far.
-    covered = F.aggregate(
-        "word_runs",
-        F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")),
-        lambda s, r: F.struct(
-            (s["n"] + F.greatest(F.lit(0), r["end"] - F.greatest(s["upto"], r["start"]))).alias("n"),
-            F.greatest(s["upto"], r["end"]).alias("upto"),
-        ),
-        lambda s: s["n"].cast("long"),
-    )
-    return merged.select(F.col("key").alias(key), "n_words", covered.alias("n_hit"), "items", "spans")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    blocks = list(_blocks(benchmark, item, item_text, window, block_bytes))
+    for b, items in enumerate(blocks):
+        rows = _scan(rows, items, window, b == len(blocks) - 1)
+    return rows.withColumnRenamed("key", key)
 
 
 def clean(

@@ -91,6 +91,16 @@ def test_decontamination_spans_lead_to_the_original(spark):
     assert [(s["start"], s["end"]) for s in row["spans"]] == [(10, 19)]
 
 
+def test_blocks_keep_repeated_and_null_keys(spark):
+    docs, items = contamination_case()
+    hit = items[4][1] or "cat cat sat"
+    rows = [(None, hit), (None, "clean words"), (7, "clean words"), (7, "clean words"), (7, f"Pre, {hit}!"), (None, "cat, cat sat " + hit)]
+    df = spark.createDataFrame([*docs, *rows], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(repr, decontam.contaminated(df, bench, block_bytes=n).collect())) for n in (decontam.BLOCK_BYTES, 400))
+    assert len(one) == len(docs) + len(rows) and one == many
+
+
 def test_decontamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminated(documents(spark, ["a b"]), none).first()["n_hit"] == 0
