@@ -11,7 +11,8 @@ are checked: a benchmark above ``block_bytes`` is cut into blocks by item, each
 of its own; each row is then scanned by one block after the other and carries its findings along, so
 nothing that is broadcast grows with the benchmark.
 
-Null or word-less documents have no hits; null or word-less items have no windows.  Repeated items
+Null or word-less documents have no hits; items of null text or without words have no windows.  Items
+without an id count as one item, whose id is null and comes last in the list.  Repeated items
 and repeated windows are legal: an occurrence counts for every item that has the window.  An empty
 benchmark leaves every document clean.
 """
@@ -66,16 +67,16 @@ def windows(words: list[bytes], size: int = WINDOW) -> list[bytes]:
 
 
 def _sorted_ids(ids: set[str | None]) -> list[str | None]:
-    return sorted(ids)
+    return sorted(ids, key=lambda i: (i is None, i or ""))
 
 
 class Automaton:
     """An Aho-Corasick automaton over the windows of some items."""
 
-    def __init__(self, items: list[tuple[str, str | None]], size: int) -> None:
+    def __init__(self, items: list[tuple[str | None, str | None]], size: int) -> None:
         import ahocorasick
 
-        owners: dict[bytes, set[str]] = defaultdict(set)
+        owners: dict[bytes, set[str | None]] = defaultdict(set)
         for item, text in items:
             for window in windows(normalised(text), size):
                 owners[window].add(item)
@@ -83,15 +84,15 @@ class Automaton:
         for window, ids in owners.items():
             # Blanks at both ends keep a match from starting or ending inside a word.
             padded = b" " + window + b" "
-            self.machine.add_word(padded.decode("latin-1"), (len(padded), window.count(b" ") + 1, tuple(sorted(ids))))
+            self.machine.add_word(padded.decode("latin-1"), (len(padded), window.count(b" ") + 1, tuple(_sorted_ids(ids))))
         self.empty = not owners
         if owners:
             self.machine.make_automaton()
 
-    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str | None]]:
         """Which words lie in an occurrence of a window, and the items those windows belong to."""
         hit = np.zeros(len(words) + 1, dtype=np.int32)
-        found: set[str] = set()
+        found: set[str | None] = set()
         if self.empty or not words:
             return hit[:-1] > 0, found
         text = (b" " + b" ".join(words) + b" ").decode("latin-1")
@@ -123,7 +124,7 @@ def original_spans(text: str, hit: np.ndarray) -> list[dict]:
 _built: dict[str, Automaton] = {}
 
 
-def _automaton(key: str, items: list[tuple[str, str | None]], size: int) -> Automaton:
+def _automaton(key: str, items: list[tuple[str | None, str | None]], size: int) -> Automaton:
     if key not in _built:
         _built.clear()
         _built[key] = Automaton(items, size)
@@ -139,7 +140,7 @@ def _runs(hit: np.ndarray) -> list[dict]:
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _scan(rows: DataFrame, items: list[tuple[str, str | None]], size: int, last: bool) -> DataFrame:
+def _scan(rows: DataFrame, items: list[tuple[str | None, str | None]], size: int, last: bool) -> DataFrame:
     """``rows`` (key, text and, behind an earlier block, items and runs of hit words) with the findings of one more block;
     key, n_words, n_hit, items and spans behind the last."""
     key = hashlib.sha256(repr((items, size)).encode()).hexdigest()
@@ -177,17 +178,17 @@ def _scan(rows: DataFrame, items: list[tuple[str, str | None]], size: int, last:
 
 def _blocks(
     benchmark: DataFrame, item: str, item_text: str, window: int, block_bytes: int
-) -> Iterator[list[tuple[str, str | None]]]:
+) -> Iterator[list[tuple[str | None, str | None]]]:
     """The benchmark's items in blocks whose windows together hold about ``block_bytes``, at least one block."""
     items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).where(
-        F.col("item").isNotNull() & F.col("text").isNotNull()
+        F.col("text").isNotNull()
     )
     # A word is in as many windows as a window has words.
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"] * window
     count = max(1, -(-size // block_bytes))
     for b in range(count):
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == b) if count > 1 else items
-        yield sorted((r["item"], r["text"]) for r in own.collect())
+        yield sorted(((r["item"], r["text"]) for r in own.collect()), key=lambda r: (r[0] is None, r[0] or "", r[1]))
 
 
 def contaminated(

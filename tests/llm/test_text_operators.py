@@ -101,6 +101,26 @@ def test_blocks_keep_repeated_and_null_keys(spark):
     assert len(one) == len(docs) + len(rows) and one == many
 
 
+def test_items_without_an_id(spark, tmp_path):
+    import duckdb
+
+    from extentlake.llm import queries
+
+    rows = [(1, "see the red fox run"), (2, "blue fish swim"), (3, "nothing here"), (4, "red fox and blue fish")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(None, "red fox"), (None, "blue fish"), (5, "blue fish"), (None, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    found = con.execute(queries.oracle_sql()["op5_benchmark_decontamination"])
+    names = [d[0] for d in found.description]
+    got = queries.op5_benchmark_decontamination(spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(found.fetchall())
+    docs, bench = (spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("documents", "benchmark"))
+    assert [r["doc_id"] for r in decontam.clean(docs, bench).collect()] == [3]
+
+
 def test_decontamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminated(documents(spark, ["a b"]), none).first()["n_hit"] == 0
