@@ -22,3 +22,11 @@ def test_odd_documents_pass(spark, sf, empty):
         docs = stage(spark, docs, sf)
     assert docs.columns == ["doc_id", "n_tokens", "ids"]
     assert docs.count() == 0 if empty else docs.count() >= 1
+
+
+def test_one_row_of_each_group(spark, sf):
+    long_text = " ".join(f"w{i}" for i in range(60))
+    rows = [(2, long_text), (2, long_text), (3, long_text), (None, long_text + " end"), (None, "other " * 3), (None, "other " * 3), (5, ""), (5, ""), (6, ""), (5, "own words of this row alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_each_group(spark, docs, sf).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [(2, long_text), (None, "other " * 3), (5, ""), (6, ""), (5, "own words of this row alone")]))
