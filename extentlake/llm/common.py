@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,19 +35,63 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts the lineage and survives lost executors.
+#: Spark deletes a write's shuffle files at its end if this is set.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def settings(spark: SparkSession, changed: dict[str, str]) -> Iterator[None]:
+    """Settings of the session that hold for a while."""
+    before = {k: spark.conf.get(k, None) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
-    Spark deletes a shuffle's files once the driver's garbage collection finds it unused, by default every half hour.
-    What was written needs them no more, so the collection is asked for here."""
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts the lineage and survives lost executors.
+    What was written needs its shuffles no more, so Spark deletes their files as the write ends."""
     spark = df.sparkSession
-    path = shared_path(spark, name)
-    schema = df.schema
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    spark._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    path = path or shared_path(spark, name)
+    with settings(spark, {_CLEANUP: "true"}):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """The intermediate tables of an operator, deleted as soon as they are dropped or the block ends."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(self.spark, name)
+        found = written(df, name, path)
+        self.paths[id(found)] = (found, path)
+        return found
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            _, path = self.paths.pop(id(t))
+            _delete(self.spark, path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop(*(t for t, _ in list(self.paths.values())))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
@@ -90,3 +134,29 @@ def fresh(df: DataFrame, base: str) -> str:
 def text_bytes(column: str = "text") -> F.Column:
     """The UTF-8 bytes of a text, none for null."""
     return F.coalesce(F.octet_length(column), F.lit(0))
+
+
+#: Long words of a bit map of hashes: 1 MB, whatever is entered.
+MAP_WORDS = 1 << 17
+
+
+def bit_map(hashes: DataFrame, column: str) -> DataFrame:
+    """One row ``bits``: a map of the 64-bit hashes in ``column``, one bit each.  A full map lets more through."""
+    place = F.pmod(F.shiftrightunsigned(column, 6), F.lit(MAP_WORDS)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(column).bitwiseAND(F.lit(63)).cast("int"))
+    every = hashes.sparkSession.range(MAP_WORDS).select(F.col("id").cast("int").alias("place"), F.lit(0).cast("long").alias("bits"))
+    return (
+        hashes.select(place.alias("place"), bit.alias("bits"))
+        .groupBy("place")
+        .agg(F.bit_or("bits").alias("bits"))
+        .unionByName(every)
+        .groupBy("place")
+        .agg(F.bit_or("bits").alias("bits"))
+        .agg(F.array_sort(F.collect_list(F.struct("place", "bits")))["bits"].alias("bits"))
+    )
+
+
+def on_map(bits: Column, value: Column) -> Column:
+    """Whether a hash may be on the map."""
+    word = F.get(bits, F.pmod(F.shiftrightunsigned(value, 6), F.lit(MAP_WORDS)).cast("int"))
+    return F.call_function("shiftrightunsigned", word, value.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch
 
 
 def _hooked(pairs: DataFrame) -> DataFrame:
@@ -15,11 +15,11 @@ def _hooked(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, F.col("u") == F.col("_u")).select("u", "v", "m")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node that has an edge: root is the least node of its component.
 
     Each round is written to the shared folder, so neither lineage nor driver state grows."""
-    current = written(
+    current = scratch.written(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
     )
     before = None
@@ -34,7 +34,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        current = written(small, "edges")
+        last, current = current, scratch.written(small, "edges")
+        scratch.drop(last)
         state = current.agg(
             F.count("*").alias("n"),
             F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),

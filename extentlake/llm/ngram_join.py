@@ -15,45 +15,54 @@ d + 1: then several parts are equal, and a set with no more such weak parts than
 out.  Sets with more weak parts keep them.  If either of two similar sets leaves them out, one of their
 equal parts is not weak, so no pair is lost.
 
-Candidates are checked by the Hamming distance of a fixed parity sketch, which bounds the symmetric
-difference from below, and then by the shingle sets themselves.  Since only components are wanted, groups
+Keys are sorted in ranges of key and set, so that a key that very many sets share is no single task's; those of
+one set only go.  Candidates are checked by the Hamming distance of whole parity sketches, whose length follows the set's,
+which bounds the symmetric difference from below, and then by the shingle sets themselves, which are made anew
+for the documents in question.  Since only components are wanted, groups
 with one key are first joined as stars: one set of each component that the group spans, around one of them,
 in several rounds with ever more different choices.  All remaining pairs of sets that are in different components then
 follow, filtered inside the join by the sketches folded to fewer bits.  So a large group of near copies is not
 spelled out as pairs, and no link between components is missed.
 
 Null and empty documents have no shingles and no links.  Repeated rows are equal sets.  Documents with
-fewer words than a shingle are one shingle.
+fewer words than a shingle are one shingle.  Very long texts are worked on in pieces; their sets, six bytes a shingle,
+are one cell.  An empty table gives an empty result.  Only key and text are read, so further columns may have any name.
+
+Sets are equal if the 128-bit digests of their sorted 64-bit shingle hashes are.  Within a key two sets count as one if 64 bits
+of the digest are equal, and two sets are compared by 48 bits of their shingles' hashes: a pair of sets of n shingles
+together is misjudged with a probability of about n^2 / 2^49.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, partitions, shared_path, written
+from .common import Scratch, bit_map, fresh, map_rows, on_map, partitions, settings, small_batches, written
 from .components import components
 from .shingling import mix, shingle_sets
 
-#: Long words of a set's whole parity sketch.
-SKETCH_WORDS = 32
 #: Star rounds before all remaining pairs, by how many different sets a group's stars may be around.
 STARS = (1, 4, 16)
 #: Components of a group from which more than one star round is made.
 MANY = 16
-#: Long words that it is folded to for the filter inside the joins of candidates.
+#: Long words that a whole parity sketch is folded to for the filter inside the joins of candidates; also its least length.
 FOLDED = 8
+#: Bits of the longest whole sketches.  Those of longer sets only rule out less.
+LONGEST = 1 << 20
 #: Bits of a part's sketch.
 PART_BITS = 1 << 16
+#: Keys handed to a Python worker at a time.
+KEY_ROWS = "65536"
 
 _M1 = np.uint64(0x9E3779B97F4A7C15)
-#: Bits of a shingle's hash that sets are compared by; sizes and names use all 64.
+#: Bits of a shingle's hash that sets are compared by.
 _COMPARED = np.uint64((1 << 48) - 1)
 _KEY_BITS = np.uint64((1 << 48) - 1)
 
@@ -146,96 +155,112 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 
 def sketch(found: np.ndarray) -> bytes:
-    """The fixed parity sketch of a set."""
-    bits = np.bincount((found >> np.uint64(20)).astype(np.int64) % (64 * SKETCH_WORDS), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    """The whole parity sketch of a set, of about as many bits as it has shingles."""
+    bits = min(LONGEST, max(64 * FOLDED, 1 << (len(found) - 1).bit_length()))
+    flips = np.bincount((found >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8)).tobytes()
+
+
+def shortened(raw: bytes, size: int) -> np.ndarray:
+    """A whole sketch as long words, folded to so many bytes."""
+    return np.bitwise_xor.reduce(np.frombuffer(raw, np.uint64).reshape(-1, size // 8), axis=0)
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """The Hamming distance of two sketches in the bits of the shorter."""
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(shortened(x, size) ^ shortened(y, size)).sum(dtype=np.int64))
 
 
 def folded(raw: bytes) -> list[int]:
     """A sketch of FOLDED long words: the parity of those of the whole one."""
-    return np.bitwise_xor.reduce(np.frombuffer(raw, np.int64).reshape(-1, FOLDED), axis=0).tolist()
+    return shortened(raw, 8 * FOLDED).view(np.int64).tolist()
 
 
-def node_of(found: np.ndarray) -> int:
-    """A signed 64-bit name of a set."""
-    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
+def name_of(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
 def _profiles(docs: DataFrame, join: Join) -> DataFrame:
-    """(doc, id, n, node, check, sketch, folded) of every row."""
-    schema = T.StructType(
-        [
-            docs.schema["doc"],
-            T.StructField("id", T.LongType()),
-            T.StructField("n", T.LongType()),
-            T.StructField("node", T.LongType()),
-            T.StructField("check", T.BinaryType()),
-            T.StructField("sketch", T.BinaryType()),
-            T.StructField("folded", T.ArrayType(T.LongType())),
-        ]
-    )
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(batch.column(2), join.size)
-        sketches = [sketch(s) if len(s) else None for s in sets]
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                batch.column(1),
+    """(doc, t, t2, id, n, name, short, sketch, folded, keys) of every row: n shingles, the set's name and its first half.  The last three
+    are there once for each set and task."""
+    own = [docs.schema["doc"], *(T.StructField(c, T.LongType()) for c in ("t", "t2", "id"))]
+    longs = T.ArrayType(T.LongType())
+    more = {"n": T.LongType(), "name": T.BinaryType(), "short": T.LongType(), "sketch": T.BinaryType(), "folded": longs, "keys": longs}
+    schema = T.StructType([*own, *(T.StructField(c, t) for c, t in more.items())])
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            sets = shingle_sets(batch.column(4), join.size)
+            names = [name_of(s) if len(s) else None for s in sets]
+            new = np.zeros(len(sets), bool)
+            for i, name in enumerate(names):
+                if name is not None and name not in seen:
+                    seen.add(name)
+                    new[i] = True
+            owners, values = join.keys([s if x else s[:0] for s, x in zip(sets, new)])
+            order = np.argsort(owners, kind="stable")
+            bounds = np.concatenate(([0], np.cumsum(np.bincount(owners, minlength=len(sets))))).astype(np.int32)
+            sketches = [sketch(s) if x else None for s, x in zip(sets, new)]
+            columns = [
                 pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
-                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16, key=b"check").digest() if len(s) else None for s in sets], pa.binary()),
+                pa.array(names, pa.binary()),
+                pa.array([x and int.from_bytes(x[:8], "little", signed=True) for x in names], pa.int64()),
                 pa.array(sketches, pa.binary()),
-                pa.array([s and folded(s) for s in sketches], pa.list_(pa.int64())),
-            ],
-            names=schema.names,
-        )
-
-    return map_rows(docs.select("doc", "id", "text"), schema, run)
-
-
-def _keyed(docs: DataFrame, join: Join) -> DataFrame:
-    """(key, node) of every set."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(batch.column(0), join.size)
-        names = np.array([node_of(x) for x in sets], np.int64)
-        owners, values = join.keys(sets)
-        return pa.RecordBatch.from_arrays([pa.array(names[owners]), pa.array(values.view(np.int64))], names=["node", "key"])
-
-    return map_rows(docs.select("text"), "node long, key long", run)
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
-    """A table (id, set) of the wanted (id, node) rows, bucketed by id: joins on it move the other side only."""
-    spark = docs.sparkSession
-    rows = docs.join(wanted.select(F.col("id").alias("_id"), "node"), F.col("id") == F.col("_id"))
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(batch.column(2), join.size)
-        # Rows that share a key may have other texts: only the wanted set is kept.
-        right = [i for i, (s, n) in enumerate(zip(sets, batch.column(1).to_pylist())) if len(s) and node_of(s) == n]
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(right, pa.int64())), pa.array([packed(sets[i]) for i in right], pa.binary())], names=["id", "set"]
-        )
-
-    found = map_rows(rows.select("id", "node", "text"), "id long, set binary", run)
-    name, path = f"shingle_sets_{uuid.uuid4().hex}", shared_path(spark, "sets")
-    found.write.option("path", path).bucketBy(partitions(spark), "id").sortBy("id").format("parquet").saveAsTable(name)
-    return spark.table(name)
-
-
-def _linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """The (a, b) of ``pairs`` that are similar: by sizes and sketches, inside the join, then by sets."""
-
-    def side(name: str) -> DataFrame:
-        return _profile(nodes, f"_{name}", "id")
-
+                pa.array([x and folded(x) for x in sketches], pa.list_(pa.int64())),
+                pa.ListArray.from_arrays(pa.array(bounds), pa.array(values[order].view(np.int64))),
+            ]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *columns], names=schema.names)
+
+    numbered = docs.select("doc", F.xxhash64("text").alias("t"), F.xxhash64(F.lit(2), "text").alias("t2"), F.monotonically_increasing_id().alias("id"), "text")
+    return numbered.mapInArrow(run, schema)
+
+
+def _shared(profiles: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, short) of the keys that several sets share, with few others: the keys at the ends of a range are not known to be shared."""
+    spark = profiles.sparkSession
+    keyed = profiles.select(F.explode("keys").alias("key"), "short")
+    ordered = keyed.repartitionByRange(partitions(spark), "key", "short").sortWithinPartitions("key", "short")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The row before and whether it stays, that is, whether its key was the first of the range or stood before it.
+        held: tuple[int, int] | None = None
+        kept = True
+        for batch in batches:
+            keys, shorts = (batch.column(i).to_numpy() for i in (0, 1))
+            if not len(keys):
+                continue
+            if held is not None:
+                keys, shorts = np.append(held[0], keys), np.append(held[1], shorts)
+            fresh = np.ones(len(keys), bool)
+            fresh[1:] = (keys[1:] != keys[:-1]) | (shorts[1:] != shorts[:-1])
+            if not fresh.all():
+                keys, shorts = keys[fresh], shorts[fresh]
+            equal = keys[1:] == keys[:-1]
+            stays = np.zeros(len(keys), bool)
+            stays[1:] |= equal
+            stays[:-1] |= equal
+            stays[0] |= kept
+            held, kept = (int(keys[-1]), int(shorts[-1])), bool(stays[-1])
+            stays[-1] = False
+            if stays.any():
+                yield pa.RecordBatch.from_arrays([pa.array(keys[stays]), pa.array(shorts[stays])], names=["key", "short"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], names=["key", "short"])
+
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": KEY_ROWS}):
+        return scratch.written(ordered.mapInArrow(run, "key long, short long"), "shared")
+
+
+def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, join: Join, scratch: Scratch) -> DataFrame:
+    """The (a, b) of ``pairs`` that are similar: by sizes and folded sketches, inside the join, by whole sketches, then by sets."""
     possible = (
-        pairs.join(side("a"), F.col("a") == F.col("node_a"))
+        pairs.join(_profile(nodes, "_a"), F.col("a") == F.col("node_a"))
         .drop("node_a")
-        .join(side("b"), (F.col("b") == F.col("node_b")) & _may_be_similar("_a", "_b", join))
-        .select("a", "b", "id_a", "id_b", (F.col("n_a") + F.col("n_b")).alias("both"))
+        .join(_profile(nodes, "_b"), (F.col("b") == F.col("node_b")) & _may_be_similar("_a", "_b", join))
+        .select("a", "b", (F.col("n_a") + F.col("n_b")).alias("both"))
     )
 
     # Folded sketches say nothing about long texts, whose sets are large: the whole ones are compared before any set moves.
@@ -245,20 +270,26 @@ def _linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, join: Join) ->
     drawn = possible.join(whole("a"), F.col("a") == F.col("_a")).drop("_a").join(whole("b"), F.col("b") == F.col("_b")).drop("_b")
 
     def near(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (5, 6))
-        apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-        return batch.select(["a", "b", "id_a", "id_b", "both"]).filter(pa.array(apart <= join.differ(batch.column(4).to_numpy())))
+        both, x, y = (batch.column(i).to_pylist() for i in (2, 3, 4))
+        ok = [apart(p, q) <= join.differ(n) for n, p, q in zip(both, x, y)]
+        return batch.select(["a", "b", "both"]).filter(pa.array(ok, pa.bool_()))
+
+    close = scratch.written(map_rows(drawn.select("a", "b", "both", "sketch_a", "sketch_b"), "a long, b long, both long", near), "close")
+    if not close.limit(1).count():
+        return close.select("a", "b")
+    asked = close.select(F.col("a").alias("_n")).union(close.select(F.col("b").alias("_n"))).distinct()
+    wanted = scratch.written(nodes.join(asked, F.col("node") == F.col("_n")).select("node", "t", F.col("name").alias("_name")), "wanted")
+    bits = scratch.written(bit_map(wanted, "t"), "bits")
+    sets = scratch.written(_sets(docs.where(on_map(bits.scalar(), F.xxhash64("text"))), wanted, join), "sets")
 
-    drawn = drawn.select("a", "b", "id_a", "id_b", "both", "sketch_a", "sketch_b")
-    close = map_rows(drawn, "a long, b long, id_a long, id_b long, both long", near)
-
-    def side_set(name: str) -> DataFrame:
-        return sets.select(F.col("id").alias(f"_{name}"), F.col("set").alias(f"set_{name}"))
+    def side(name: str) -> DataFrame:
+        return sets.select(F.col("node").alias(f"_{name}"), F.col("set").alias(f"set_{name}"))
 
+    # A star's hub is on the left, and one set can be the hub of very many: its rows can be split, and its partners' sets move first.
     compared = (
-        close.join(side_set("b"), F.col("id_b") == F.col("_b"))
-        .select("a", "b", "id_a", "both", "set_b")
-        .join(side_set("a"), F.col("id_a") == F.col("_a"))
+        close.join(side("b"), F.col("b") == F.col("_b"))
+        .select("a", "b", "both", "set_b")
+        .join(side("a"), F.col("a") == F.col("_a"))
         .select("a", "b", "both", "set_a", "set_b")
     )
 
@@ -266,103 +297,149 @@ def _linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, join: Join) ->
         ok = [join.similar(x, y, n) for n, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
         return batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return map_rows(compared, "a long, b long", verify)
+    links = scratch.written(map_rows(compared, "a long, b long", verify), "links")
+    scratch.drop(close, wanted, bits, sets)
+    return links
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
+    """(node, set) of the wanted nodes, from documents that include theirs."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            for s in shingle_sets(batch.column(0), join.size):
+                name = name_of(s)
+                if len(s) and name not in seen:
+                    seen.add(name)
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.binary()), pa.array([packed(s)], pa.binary())], names=["name", "set"])
 
+    found = docs.select("text").mapInArrow(run, "name binary, set binary").groupBy("name").agg(F.first("set").alias("set"))
+    return found.join(wanted, F.col("name") == F.col("_name")).select("node", "set")
 
-def _profile(nodes: DataFrame, suffix: str, *more: str) -> DataFrame:
+
+def _profile(nodes: DataFrame, suffix: str) -> DataFrame:
     """The nodes' names, sizes and folded sketches in columns with a suffix."""
-    plain = [F.col(c).alias(c + suffix) for c in ("node", "n", *more)]
+    plain = [F.col(c).alias(c + suffix) for c in ("node", "n")]
     return nodes.select(*plain, *(F.col("folded")[i].alias(f"f{i}{suffix}") for i in range(FOLDED)))
 
 
-def _may_be_similar(x: str, y: str, join: Join) -> F.Column:
+def _may_be_similar(x: str, y: str, join: Join) -> Column:
     """Whether sizes and folded sketches allow two sets to be similar."""
     n_x, n_y = F.col("n" + x), F.col("n" + y)
-    apart = sum((F.bit_count(F.col(f"f{i}{x}").bitwiseXOR(F.col(f"f{i}{y}"))) for i in range(FOLDED)), F.lit(0))
-    near = apart * (join.den + join.num) <= (n_x + n_y) * (join.den - join.num)
+    flips = sum((F.bit_count(F.col(f"f{i}{x}").bitwiseXOR(F.col(f"f{i}{y}"))) for i in range(FOLDED)), F.lit(0))
+    near = flips * (join.den + join.num) <= (n_x + n_y) * (join.den - join.num)
     return (F.least(n_x, n_y) * join.den >= F.greatest(n_x, n_y) * join.num) & near
 
 
-def _stars(open_keys: DataFrame, hubs: int) -> DataFrame:
+def _stars(open_keys: DataFrame, hubs: int, scratch: Scratch) -> DataFrame:
     """One set of each component of a key's group, paired with one of them all; which sets depends on the key, in ``hubs`` ways.
     After the first round only groups of many components are worth it: the others have few pairs."""
     turn = F.xxhash64("node", F.pmod("key", F.lit(hubs)), F.lit(hubs))
-    one = open_keys.groupBy("key", "root").agg(F.min(F.struct(turn.alias("turn"), "node")).alias("own"))
-    whole = Window.partitionBy("key")
-    starred = one.withColumn("hub", F.min("own").over(whole)).withColumn("spans", F.count("*").over(whole)).where("own <> hub")
-    if hubs > 1:
-        starred = starred.where(F.col("spans") >= MANY)
-    return starred.select(F.col("hub.node").alias("a"), F.col("own.node").alias("b")).distinct()
+    one = scratch.written(open_keys.groupBy("key", "root").agg(F.min(F.struct(turn.alias("turn"), "node")).alias("own")), "one")
+    hub = one.groupBy("key").agg(F.min("own").alias("hub"), F.count("*").alias("spans")).where(F.col("spans") >= (2 if hubs == 1 else MANY))
+    hub = scratch.written(hub.select(F.col("key").alias("_key"), "hub"), "hubs")
+    starred = one.join(hub, F.col("key") == F.col("_key")).where("own <> hub")
+    pairs = scratch.written(starred.select(F.col("hub.node").alias("a"), F.col("own.node").alias("b")).distinct(), "stars")
+    scratch.drop(one, hub)
+    return pairs
 
 
-def _remaining(open_keys: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
+def _remaining(open_keys: DataFrame, nodes: DataFrame, join: Join, scratch: Scratch) -> DataFrame:
     """All pairs of sets of different components with a common key, but those that sizes or folded sketches rule out."""
     rows = open_keys.join(_profile(nodes, "").withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n")
+    rows = scratch.written(rows, "rows")
     l, r = (rows.select(*(F.col(c).alias(f"{c}_{s}") for c in rows.columns)) for s in "lr")
-    apart = (F.col("root_l") != F.col("root_r")) & (F.col("node_l") < F.col("node_r"))
-    met = l.join(r, (F.col("key_l") == F.col("key_r")) & apart & _may_be_similar("_l", "_r", join))
-    return met.select(F.col("node_l").alias("a"), F.col("node_r").alias("b")).distinct()
+    different = (F.col("root_l") != F.col("root_r")) & (F.col("node_l") < F.col("node_r"))
+    met = l.join(r, (F.col("key_l") == F.col("key_r")) & different & _may_be_similar("_l", "_r", join))
+    pairs = scratch.written(met.select(F.col("node_l").alias("a"), F.col("node_r").alias("b")).distinct(), "pairs")
+    scratch.drop(rows)
+    return pairs
 
 
-def similar_groups(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100
-) -> DataFrame:
-    """(key, n_shingles, component_id) for every row: the number of its shingles, and the least key that is
-    reachable over links of at least ``num / den`` similarity.  Keys are integers."""
-    join = Join(size, num, den)
-    # Rows without a key go by a hash of their text; their component is named by those with a key.
-    docs = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).withColumn(
-        "id", F.coalesce(F.col("doc").cast("long"), F.xxhash64(F.lit("no key"), "text"))
-    )
-    profiles = written(_profiles(docs, join), "profiles")
-    nodes = (
-        profiles.where("node IS NOT NULL")
-        .groupBy("node")
-        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("folded").alias("folded"))
-    )
-    names = profiles.where("node IS NOT NULL").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high"))
-    if names.where("low <> high").limit(1).count():
-        raise ValueError("two shingle sets have the same 64-bit name")
-
-    # Keys that two nodes or more share.
-    group = Window.partitionBy("key")
-    shared = (
-        _keyed(docs, join)
-        .repartition(F.col("key"))
-        .withColumn("low", F.min("node").over(group))
-        .withColumn("high", F.max("node").over(group))
-        .where("low <> high")
-        .select("key", "node")
-        .dropDuplicates(["key", "node"])
+def _open(keys: DataFrame, roots: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """(key, node, root) of those ``keys`` that still span components.  ``keys`` is dropped."""
+    if roots is None:
+        placed = scratch.written(keys.select("key", "node", F.col("node").alias("root")), "placed")
+    else:
+        own = roots.select(F.col("node").alias("_n"), F.col("root").alias("_root"))
+        merged = keys.join(own, F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("_root", "root").alias("root"))
+        placed = scratch.written(merged, "placed")
+    spread = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    spread = scratch.written(spread.select(F.col("key").alias("_key")), "spread")
+    found = scratch.written(placed.join(spread, F.col("key") == F.col("_key"), "left_semi"), "open")
+    scratch.drop(keys, placed, spread)
+    return found
+
+
+def classes(docs: DataFrame, join: Join, scratch: Scratch) -> DataFrame:
+    """(doc, t, t2, n, root) of every row of ``docs`` (doc, text): two hashes of the text, how many shingles it has, and a number that
+    exactly those rows share whose sets are linked, null without shingles."""
+    profiles = scratch.written(_profiles(docs, join), "profiles")
+    # The first half of a name can be that of several sets: then each gets the keys of all.
+    once = profiles.where("sketch IS NOT NULL").groupBy("name").agg(
+        F.min("id").alias("node"), *(F.first(c).alias(c) for c in ("short", "n", "sketch", "folded", "t"))
     )
-    shared = written(shared, "keys")
+    all_nodes = scratch.written(once, "nodes")
+    shared = _shared(profiles, scratch)
+    keyed = shared.join(all_nodes.select(F.col("short").alias("_s"), "node"), F.col("short") == F.col("_s")).select("key", "node")
+    keys = _open(scratch.written(keyed, "keys"), None, scratch)
+    scratch.drop(shared)
     # Only these nodes are looked at again.
-    nodes = written(nodes.join(shared.select(F.col("node").alias("_n")).distinct(), F.col("node") == F.col("_n"), "left_semi"), "nodes")
-    shingle_table = _sets(docs.select("id", "text"), nodes, join)
+    nodes = scratch.written(all_nodes.join(keys.select(F.col("node").alias("_n")).distinct(), F.col("node") == F.col("_n"), "left_semi"), "open_nodes")
 
     links: DataFrame | None = None
     roots: DataFrame | None = None
     for hubs in (*STARS, 0):
-        placed = shared.withColumn("root", F.col("node"))
-        if roots is not None:
-            own = roots.select(F.col("node").alias("_n"), F.col("root").alias("_root"))
-            placed = shared.join(own, F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("_root", "node").alias("root"))
-        # Only keys that still span components.
-        spread = placed.repartition(F.col("key")).withColumn("low", F.min("root").over(group)).withColumn("high", F.max("root").over(group))
-        open_keys = spread.where("low <> high").drop("low", "high")
-        pairs = _stars(open_keys, hubs) if hubs else _remaining(open_keys, nodes, join)
-        found = written(_linked(pairs, nodes, shingle_table, join), "links")
-        links = found if links is None else links.unionByName(found)
+        pairs = _stars(keys, hubs, scratch) if hubs else _remaining(keys, nodes, join, scratch)
+        found = _linked(pairs, nodes, docs, join, scratch)
+        scratch.drop(pairs)
         if found.limit(1).count():
-            roots = components(links)
+            links = found if links is None else links.unionByName(found)
+            roots = components(links, scratch)
+            if hubs:
+                keys = _open(keys, roots, scratch)
 
-    grouped = profiles.select("doc", "n", "node")
+    named = all_nodes.select(F.col("name").alias("_name"), "node")
     if roots is not None:
         own = roots.select(F.col("node").alias("_n"), "root")
-        grouped = grouped.join(own, F.col("node") == F.col("_n"), "left").select("doc", "n", F.coalesce("root", "node").alias("root"))
+        named = named.join(own, F.col("node") == F.col("_n"), "left").select("_name", F.coalesce("root", "node").alias("root"))
     else:
-        grouped = grouped.withColumnRenamed("node", "root")
-    least = grouped.where("root IS NOT NULL").groupBy(F.col("root").alias("_root")).agg(F.min("doc").alias("least"))
-    return grouped.join(least, F.col("root") == F.col("_root"), "left").select(
-        F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id")
-    )
+        named = named.withColumnRenamed("node", "root")
+    named = scratch.written(named, "named")
+    return scratch.written(profiles.join(named, F.col("name") == F.col("_name"), "left").select("doc", "t", "t2", "n", "root"), "classes")
+
+
+def similar_groups(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100
+) -> DataFrame:
+    """(key, n_shingles, component_id) for every row: the number of its shingles, and the least key that is
+    reachable over links of at least ``num / den`` similarity.  Keys are integers; a row without a key has the id of
+    those that have one."""
+    with Scratch(docs.sparkSession) as scratch:
+        rows = classes(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), Join(size, num, den), scratch)
+        least = rows.where("root IS NOT NULL").groupBy(F.col("root").alias("_root")).agg(F.min("doc").alias("least"))
+        least = scratch.written(least, "least")
+        found = rows.join(least, F.col("root") == F.col("_root"), "left")
+        found = found.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id"))
+        return written(found, "groups")
+
+
+def one_of_each_group(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100
+) -> DataFrame:
+    """``docs`` with one row of each group that links make, that with the least key; of rows with that key, or if no row has one,
+    that with the least hash of its text.  Of rows without words that repeat key and text, one stays."""
+    name = ["null", "doc", "t", "t2"]
+    own = [fresh(docs, f"_{n}") for n in name]
+    with Scratch(docs.sparkSession) as scratch:
+        rows = classes(docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")), Join(size, num, den), scratch)
+        rows = rows.select("root", F.col("doc").isNull().alias("null"), F.coalesce("doc", F.lit(0)).alias("doc"), "t", "t2")
+        best = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(*name)).alias("one")).select("one.*")
+        chosen = written(best.unionByName(rows.where("root IS NULL").select(*name).distinct()), "chosen")
+    hashes = [F.col(key).isNull(), F.coalesce(F.col(key).cast("long"), F.lit(0)), F.xxhash64(text), F.xxhash64(F.lit(2), F.col(text))]
+    # Rows that repeat key and text are merged before they are exchanged.
+    merged = docs.withColumns(dict(zip(own, hashes))).dropDuplicates(own)
+    chosen = chosen.toDF(*(f"{o}_chosen" for o in own))
+    return merged.join(chosen, [F.col(o) == F.col(f"{o}_chosen") for o in own], "left_semi").select(*docs.columns)

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 import regex
 
-from extentlake.llm import components, iblt, line_dedup, ngram_join, sharding, shingling, warc
+from extentlake.llm import common, components, iblt, line_dedup, ngram_join, sharding, shingling, warc
 from pyspark.sql import functions as F
 
 
@@ -232,6 +232,9 @@ def test_jaccard_join(spark, size, num):
             docs.append((n, rng.choice([" ", "\t\n"]).join(words)))
             n += 1
     docs += [(n, None), (n + 1, ""), (n + 2, " \n"), (n + 3, docs[0][1]), (n + 4, "a b c"), (n + 5, "日 本 語 テ キ")]
+    # Longer than a piece, and longer sketches.
+    long_words = [f"L{i}" for i in range(250_000)]
+    docs += [(n + 6, " ".join(long_words)), (n + 7, " ".join(long_words[5000:])), (n + 8, " ".join(long_words[::-1]))]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("node", F.lit("clash"))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_groups(df, size=size, num=num).collect()}
     assert got == groups_brute(docs, size, num, 100)
@@ -245,6 +248,15 @@ def test_jaccard_join_of_odd_rows(spark):
     assert Counter((r["doc_id"], r["component_id"]) for r in got) == {(3, 3): 2, (None, 3): 1, (9, 3): 1, (None, None): 1}
 
 
+def test_large_group_of_near_copies(spark):
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(40)]
+    docs = [(i, " ".join(base[: 40 - rng.randint(0, 8)] + [f"own{i}"] * rng.randint(0, 1))) for i in range(400)]
+    docs += [(1000 + i, " ".join(base[rng.randint(0, 12) :])) for i in range(60)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_groups(spark.createDataFrame(docs, "doc_id long, text string"), size=4, num=85).collect()}
+    assert got == groups_brute(docs, 4, 85, 100)
+
+
 def test_keys_of_similar_sets_meet():
     rng = np.random.default_rng(3)
     join = ngram_join.Join(4, 85, 100)
@@ -257,8 +269,7 @@ def test_keys_of_similar_sets_meet():
             if 100 * len(np.intersect1d(x, y)) >= 85 * len(np.union1d(x, y)) and not np.array_equal(x, y):
                 owners, keys = join.keys([x, y])
                 assert np.intersect1d(keys[owners == 0], keys[owners == 1]).size
-                bits = [np.frombuffer(ngram_join.sketch(s), np.uint64) for s in (x, y)]
-                assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(np.setxor1d(x, y))
+                assert ngram_join.apart(*map(ngram_join.sketch, (x, y))) <= len(np.setxor1d(x, y))
 
 
 def test_shingles_do_not_depend_on_batches():
@@ -284,7 +295,8 @@ def test_components(spark):
     for a, b in edges:
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    with common.Scratch(spark) as scratch:
+        got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
 
 
