@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from extentlake.llm import bpe, decontam, langid, line_dedup, ngram_join
-from extentlake.llm.common import fresh, shared_path, table, written
+from extentlake.llm.common import shared_path, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -41,17 +41,7 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: five-word shingles, similarity of 0.8 or more."""
-    # Keys can repeat or be null, so rows are numbered; written, so that the numbers stay the same.
-    row, key = fresh(docs, "_row"), F.col("doc_id")
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    groups = ngram_join.similar_groups(rows, key=row).select(F.col(row).alias("_r"), "n_shingles", "component_id")
-    named = rows.select(F.col(row).alias("_own"), key.alias("doc"), F.xxhash64("text").alias("h"), F.xxhash64(F.lit(2), "text").alias("h2"))
-    # Rows without words are in no group.
-    wordless = F.coalesce("n_shingles", F.lit(0)) == 0
-    group = [F.when(~wordless, F.col("component_id")).alias("g0"), *(F.when(wordless, F.col(c)).alias(f"g_{c}") for c in ("doc", "h", "h2"))]
-    first = F.min(F.struct(F.col("doc").isNull(), "doc", "h", "_own"))["_own"]
-    chosen = named.join(groups, F.col("_own") == F.col("_r")).groupBy(*group).agg(first.alias("_one")).select("_one")
-    return rows.join(chosen, F.col(row) == F.col("_one"), "left_semi").select(*docs.columns)
+    return ngram_join.one_of_each_group(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
