@@ -4,40 +4,50 @@ A line is the set of its words, what blanks part, in lower case.  Of lines whose
 similarity of at least ``num / den``, only the first stays; lines are ordered by document key, hash of the
 document's text and line number.  A line is removed if any earlier line matches it, whether or not that one was removed itself.
 
-Lines that are equal but for case are one line for the join, with their first occurrence.  Word
-frequencies are counted over all documents in ``RARITY_BINS`` hash bins, whose rounded logarithms give each word
-a rarity; a line's words are ordered by rarity, ties by hash.  Two similar sets share a word in their prefixes of
-n - ceil(t n) + 1 words, so lines are joined on their prefix words, filtered by length and by
-position (what can still match behind the shared word) and by the parity sketches of the lines' words, whose
-Hamming distance bounds the symmetric difference from below, and then compared as whole sets.  Any order gives the
-same result; a rare-first order only keeps the candidates few.
+Lines that are equal but for case are one line for the join, with their first occurrence; they are numbered in the
+order of these.  Word frequencies are counted over all documents in ``RARITY_BINS`` hash bins, whose rounded
+logarithms give each word a rarity; a line's words are ordered by rarity, ties by hash.  Two similar sets share a
+word in their prefixes of n - ceil(t n) + 1 words, so lines are joined on their prefix words, filtered by length and
+by position (what can still match behind the shared word), then by parity sketches of the lines' words, whose Hamming
+distance bounds the symmetric difference from below, and then compared as whole sets, which are made anew for the lines in
+question.  Any order gives the same result; a rare-first order only keeps the candidates few.
+
+A line goes if it has one earlier match, so not all are needed.  The lines with a prefix word and a size are first
+compared with the first of them; then those still there with the first of each of ``HUBS`` parts; only what is left is
+compared with all earlier lines that share a prefix word.  So a large cluster of nearly equal lines is not spelled out as pairs.
 
 Null texts and lines without letters and digits are left alone.  A document is named by its key and two hashes of its
 text.  Rows that repeat both are the same document: their lines are each other's equals and stay or go together.  Rows
-with one key, or none, and different texts are different documents.  Null keys come first.
+with one key, or none, and different texts are different documents.  Null keys come first.  Very long lines have prefixes
+as long; a document's lines are one cell.  An empty table gives an empty result.  Only key and text are read; a further
+column that is named like the result is replaced.
+
+Lines are equal if two 64-bit hashes are, words if 56 bits of their hash are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import Scratch, bit_map, fresh, on_map, written
 
 #: What names a document.
 NAMES = ("doc", "own", "own2")
 
 #: Bins of the word frequencies; the table of their levels is one byte a bin.
 RARITY_BINS = 1 << 20
+#: Parts of a group whose first lines are each compared with the whole group in the second round.
+HUBS = 8
+#: Long words of a line's parity sketch.
+SKETCH = 2
 _WORD = r"[\p{L}\p{N}]"
 _LOW56 = (1 << 56) - 1
-#: Sizes and places of words from here on are not told apart by the filters.
-LONGEST = 4095
 
 
-def _words(line: str) -> F.Column:
-    """A line's words: what blanks part."""
-    return F.filter(F.split(line, " "), lambda w: w != "")
+def _words(line: str) -> Column:
+    """The hashes of a line's distinct words: of what blanks part."""
+    return F.array_distinct(F.transform(F.array_remove(F.split(line, " ", -1), ""), lambda w: F.xxhash64(w)))
 
 
 def _levels(docs: DataFrame, text: str, bins: int) -> DataFrame:
@@ -56,7 +66,7 @@ def _levels(docs: DataFrame, text: str, bins: int) -> DataFrame:
     )
 
 
-def names(key: str = "doc_id", text: str = "text") -> tuple[F.Column, F.Column, F.Column]:
+def names(key: str = "doc_id", text: str = "text") -> tuple[Column, Column, Column]:
     """``NAMES`` of a row.  Few rows have one key, so that the second hash is only needed without one."""
     doc = F.col(key).cast("long")
     return doc, F.xxhash64(F.col(text)), F.when(doc.isNull(), F.xxhash64(F.lit(2), F.col(text))).otherwise(F.lit(0).cast("long"))
@@ -73,90 +83,150 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def removed_lines(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", num: int = 80, den: int = 100, bins: int = RARITY_BINS
-) -> DataFrame:
-    """``NAMES`` and lines: for each document with such lines the sorted numbers (from 0) of the lines to remove."""
-    levels = written(_levels(docs, text, bins), "rarity")
-    lines = _lines(docs, key, text)
-    # All uses of this read all of its columns, so that its exchange, the only one of whole lines, is made once.
-    distinct = (
-        lines.groupBy("h1", "h2")
-        .agg(F.first("norm").alias("norm"), F.min(F.struct(*NAMES, "line")).alias("first"), F.count("*").alias("times"))
-        .where("norm IS NOT NULL AND first IS NOT NULL AND times > 0")
-    )
-
-    hashed = F.array_distinct(F.transform(_words("norm"), lambda w: F.xxhash64(w)))
+def _distinct(lines: DataFrame, levels: DataFrame, bins: int, num: int, den: int) -> DataFrame:
+    """(id, h1, h2, first, times, n, prefix, s0, ...) of every distinct line: ids follow the order of the first occurrences,
+    n is the number of words, prefix has hashes of the rarest, s0 and the rest are the parity sketch."""
     ranked = F.transform(
-        hashed,
+        _words("norm"),
         lambda h: F.shiftleft(F.get("levels", F.pmod(h, F.lit(bins)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW56))),
     )
-    sets = distinct.withColumn("levels", levels.scalar()).select("h1", "h2", F.sort_array(ranked).alias("words"))
+    sets = lines.withColumn("levels", levels.scalar()).select(*NAMES, "line", "h1", "h2", F.sort_array(ranked).alias("words"))
+    one = F.lit(1).cast("long")
+
+    def parity(k: int) -> Column:
+        def flip(a: Column, w: Column) -> Column:
+            bit = F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))
+            return F.when(F.pmod(F.shiftright(w, 6), F.lit(SKETCH)) == k, a.bitwiseXOR(bit)).otherwise(a)
+
+        return F.aggregate("words", F.lit(0).cast("long"), flip)
 
     size = F.size("words")
-    prefix = size - F.expr(f"cast((size(words) * {num} + {den - 1}) div {den} as int)") + 1
-    # The sketch, the line's size and the word's place share one value of 40, 12 and 12 bits.
-    one, most = F.lit(1).cast("long"), F.lit(LONGEST)
-    parity = F.aggregate(
-        "words", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", one, F.pmod(w, F.lit(40)).cast("int")))
+    length = size - F.expr(f"cast((size(words) * {num} + {den - 1}) div {den} as int)") + 1
+    drawn = sets.select(
+        F.struct(*NAMES, "line").alias("first"),
+        "h1",
+        "h2",
+        size.alias("n"),
+        F.transform(F.slice("words", F.lit(1), length), lambda w: F.hash(w)).alias("prefix"),
+        *(parity(k).alias(f"s{k}") for k in range(SKETCH)),
+    )
+    same = ["n", "prefix", *(f"s{k}" for k in range(SKETCH))]
+    merged = drawn.groupBy("h1", "h2").agg(
+        F.min("first").alias("first"), F.count("*").alias("times"), *(F.first(c).alias(c) for c in same)
     )
-    head = F.shiftleft(parity, 24).bitwiseOR(F.shiftleft(F.least(size, most).cast("long"), 12))
-    posted = sets.select(
-        "h1", "h2", head.alias("head"), F.posexplode(F.slice("words", F.lit(1), prefix)).alias("pos", "word")
-    ).select("word", "h1", "h2", F.col("head").bitwiseOR(F.least("pos", most).cast("long")).alias("place"))
+    return merged.orderBy("first").withColumn("id", F.monotonically_increasing_id())
 
-    def side(s: str) -> DataFrame:
+
+def _posted(lines: DataFrame) -> DataFrame:
+    """(word, id, place) of every prefix word; place has the size in its upper and the position in its lower half."""
+    places = F.transform("prefix", lambda w, i: F.struct(w.alias("word"), i.cast("long").alias("pos")))
+    rows = lines.select("id", "n", F.explode(places).alias("at"))
+    return rows.select("at.word", "id", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at.pos")).alias("place"))
+
+
+def _groups(lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """(word, n, a, b): b shares the prefix word and the size n with the earlier line a, the first that has them."""
+    posted = _posted(lines).select("word", F.shiftright("place", 32).alias("n"), "id")
+    first = posted.groupBy(F.col("word").alias("_word"), F.col("n").alias("_n")).agg(F.min("id").alias("a"), F.max("id").alias("last"))
+    first = scratch.written(first.where("a < last").drop("last"), "first")
+    met = posted.join(first, (F.col("word") == F.col("_word")) & (F.col("n") == F.col("_n")) & (F.col("a") < F.col("id")))
+    groups = scratch.written(met.select("word", "n", "a", F.col("id").alias("b")), "groups")
+    scratch.drop(first)
+    return groups
+
+
+def _parted(groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): b is in a group with the earlier line a, the first of a part of those still there."""
+    part = F.pmod(F.xxhash64("b"), F.lit(HUBS))
+    first = groups.groupBy(F.col("word").alias("_word"), F.col("n").alias("_n"), part).agg(F.min("b").alias("hub"))
+    first = scratch.written(first.select("_word", "_n", "hub"), "first")
+    met = groups.join(first, (F.col("word") == F.col("_word")) & (F.col("n") == F.col("_n")) & (F.col("hub") < F.col("b")))
+    return met.select(F.col("hub").alias("a"), "b").distinct()
+
+
+def _rest(lines: DataFrame, left: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): b is one of the lines ``left`` and shares a prefix word with the earlier line a; sizes and positions allow a match."""
+
+    def side(of: DataFrame, s: str) -> DataFrame:
+        posted = _posted(of)
         return posted.select(*(F.col(c).alias(c + s) for c in posted.columns))
 
-    n_a, n_b = (F.shiftright(f"place{s}", 12).bitwiseAND(most) for s in "ab")
-    p_a, p_b = (F.col(f"place{s}").bitwiseAND(most) for s in "ab")
-    order = (F.col("h1a") < F.col("h1b")) | ((F.col("h1a") == F.col("h1b")) & (F.col("h2a") < F.col("h2b")))
+    low = F.lit((1 << 32) - 1)
+    n_a, n_b = (F.shiftright(f"place{s}", 32) for s in "ab")
+    p_a, p_b = (F.col(f"place{s}").bitwiseAND(low) for s in "ab")
     fits = F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num
     reach = F.least(n_a - p_a, n_b - p_b) * (num + den) >= (n_a + n_b) * num
-    # A word in one set only flips one bit of the sketches' difference at most.
-    flips = F.bit_count(F.shiftrightunsigned(F.col("placea").bitwiseXOR(F.col("placeb")), 24))
-    apart = flips * (num + den) <= (n_a + n_b) * (den - num)
-    # Sizes from LONGEST on are not told apart, so such lines are only compared as whole sets.
-    long_ones = (n_a == most) | (n_b == most)
-    met = side("a").join(side("b"), (F.col("worda") == F.col("wordb")) & order & (long_ones | (fits & reach & apart)))
-    pairs = met.select("h1a", "h2a", "h1b", "h2b").distinct()
+    met = side(lines, "a").join(side(left, "b"), (F.col("worda") == F.col("wordb")) & (F.col("ida") < F.col("idb")) & fits & reach)
+    return met.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
+
+
+def _matched(pairs: DataFrame, lines: DataFrame, texts: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """The distinct b of those ``pairs`` whose lines are similar: by sizes and sketches, inside the join, then by sets."""
+    drawn = ["id", "n", *(f"s{k}" for k in range(SKETCH))]
+
+    def side(s: str) -> DataFrame:
+        return lines.select(*(F.col(c).alias(c + s) for c in drawn))
+
+    flips = sum((F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(SKETCH)), F.lit(0))
+    n_a, n_b = F.col("n_a").cast("long"), F.col("n_b").cast("long")
+    near = (flips * (num + den) <= (n_a + n_b) * (den - num)) & (F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num)
+    close = pairs.join(side("_a"), F.col("a") == F.col("id_a")).join(side("_b"), (F.col("b") == F.col("id_b")) & near).select("a", "b")
+    close = scratch.written(close, "close")
+    asked = close.select(F.col("a").alias("_id")).union(close.select(F.col("b").alias("_id"))).distinct()
+    wanted = scratch.written(lines.join(asked, F.col("id") == F.col("_id")).select("id", F.col("h1").alias("w1"), F.col("h2").alias("w2")), "wanted")
+    bits = scratch.written(bit_map(wanted, "w1"), "bits")
+    # Equal lines are merged before they are exchanged.
+    found = texts.where(on_map(bits.scalar(), F.col("h1"))).groupBy("h1", "h2").agg(F.first("norm").alias("norm"))
+    found = found.join(wanted, (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2"))).select("id", _words("norm").alias("words"))
+    sets = scratch.written(found, "sets")
 
     def whole(s: str) -> DataFrame:
-        return sets.select(*(F.col(c).alias(f"_{c}{s}") for c in sets.columns))
-
-    common = F.size(F.array_intersect("_wordsa", "_wordsb"))
-    matched = (
-        pairs.join(whole("a"), (F.col("h1a") == F.col("_h1a")) & (F.col("h2a") == F.col("_h2a")))
-        .select("h1a", "h2a", "h1b", "h2b", "_wordsa")
-        .join(whole("b"), (F.col("h1b") == F.col("_h1b")) & (F.col("h2b") == F.col("_h2b")))
-        .where(common * den >= (F.size("_wordsa") + F.size("_wordsb") - common) * num)
-        .select("h1a", "h2a", "h1b", "h2b")
+        return sets.select(F.col("id").alias(f"_id{s}"), F.col("words").alias(f"words{s}"))
+
+    common = F.size(F.array_intersect("words_a", "words_b"))
+    compared = (
+        close.join(whole("_b"), F.col("b") == F.col("_id_b"))
+        .select("a", "b", "words_b")
+        .join(whole("_a"), F.col("a") == F.col("_id_a"))
+        .where(common * den >= (F.size("words_a") + F.size("words_b") - common) * num)
     )
+    matched = scratch.written(compared.select(F.col("b").alias("id")).distinct(), "matched")
+    scratch.drop(close, wanted, bits, sets)
+    return matched
 
-    def since(s: str) -> DataFrame:
-        return distinct.select(*(F.col(c).alias(f"_{c}{s}") for c in ("h1", "h2", "first")))
-
-    a_later = F.col("_firsta") > F.col("_firstb")
-    near = (
-        matched.join(since("a"), (F.col("h1a") == F.col("_h1a")) & (F.col("h2a") == F.col("_h2a")))
-        .select("h1a", "h2a", "h1b", "h2b", "_firsta")
-        .join(since("b"), (F.col("h1b") == F.col("_h1b")) & (F.col("h2b") == F.col("_h2b")))
-        .where("_firsta <> _firstb")
-        .select(F.when(a_later, F.col("h1a")).otherwise(F.col("h1b")).alias("g1"), F.when(a_later, F.col("h2a")).otherwise(F.col("h2b")).alias("g2"))
-        .distinct()
-    )
-    judged = (
-        distinct.join(near, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
-        .where((F.col("times") > 1) | F.col("g1").isNotNull())
-        .select(F.col("h1").alias("d1"), F.col("h2").alias("d2"), F.when(F.col("g1").isNull(), F.col("first")).alias("stays"))
-    )
-    gone = (
-        lines.select("h1", "h2", *NAMES, "line")
-        .join(judged, (F.col("h1") == F.col("d1")) & (F.col("h2") == F.col("d2")))
-        .where(~F.struct(*NAMES, "line").eqNullSafe(F.col("stays")))
-    )
-    # Written, so that the exchanges above are not kept for as long as the result is.
-    return written(gone.groupBy(*NAMES).agg(F.sort_array(F.collect_set("line")).alias("lines")), "removed")
+
+def removed_lines(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", num: int = 80, den: int = 100, bins: int = RARITY_BINS
+) -> DataFrame:
+    """``NAMES`` and lines: for each document with such lines the sorted numbers (from 0) of the lines to remove."""
+    with Scratch(docs.sparkSession) as scratch:
+        levels = scratch.written(_levels(docs, text, bins), "rarity")
+        texts = _lines(docs, key, text)
+        lines = scratch.written(_distinct(texts, levels, bins, num, den), "lines")
+        groups = _groups(lines, scratch)
+        gone = _matched(groups.select("a", "b").distinct(), lines, texts, num, den, scratch)
+        left = scratch.written(groups.join(gone, F.col("b") == F.col("id"), "left_anti"), "groups")
+        gone = gone.unionByName(_matched(_parted(left, scratch), lines, texts, num, den, scratch))
+        scratch.drop(groups, left)
+        left = lines.join(gone.select(F.col("id").alias("_gone")), F.col("id") == F.col("_gone"), "left_anti")
+        pairs = scratch.written(_rest(lines, left, num, den), "pairs")
+        gone = gone.unionByName(_matched(pairs, lines, texts, num, den, scratch))
+        scratch.drop(pairs)
+        judged = (
+            lines.select("id", "h1", "h2", "first", "times")
+            .join(gone.select(F.col("id").alias("_gone")).distinct(), F.col("id") == F.col("_gone"), "left")
+            .where((F.col("times") > 1) | F.col("_gone").isNotNull())
+            .select(F.col("h1").alias("d1"), F.col("h2").alias("d2"), F.when(F.col("_gone").isNull(), F.col("first")).alias("stays"))
+        )
+        judged = scratch.written(judged, "judged")
+        bits = scratch.written(bit_map(judged, "d1"), "bits")
+        dropped = (
+            texts.select("h1", "h2", *NAMES, "line")
+            .where(on_map(bits.scalar(), F.col("h1")))
+            .join(judged, (F.col("h1") == F.col("d1")) & (F.col("h2") == F.col("d2")))
+            .where(~F.struct(*NAMES, "line").eqNullSafe(F.col("stays")))
+        )
+        return written(dropped.groupBy(*NAMES).agg(F.sort_array(F.collect_set("line")).alias("lines")), "removed")
 
 
 def marked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", out: str = "removed_lines", **options: int) -> DataFrame:
@@ -166,7 +236,7 @@ def marked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", out: str
     return with_removed(docs, gone, names(key, text), out)
 
 
-def with_removed(docs: DataFrame, gone: DataFrame, named: tuple[F.Column, F.Column, F.Column], out: str) -> DataFrame:
+def with_removed(docs: DataFrame, gone: DataFrame, named: tuple[Column, Column, Column], out: str) -> DataFrame:
     """``docs`` with the lines of ``gone`` in ``out``; ``named`` are the documents' ``NAMES``."""
     own = [fresh(docs, f"_{n}") for n in NAMES]
     found = gone.select(*(F.col(n).alias(f"{o}_g") for n, o in zip(NAMES, own)), F.col("lines").alias(out))
