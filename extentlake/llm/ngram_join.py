@@ -49,7 +49,7 @@ from .components import components
 from .shingling import mix, shingle_sets
 
 #: Star rounds before all remaining pairs, by how many different sets a group's stars may be around.
-STARS = (1, 4, 16)
+STARS = (1, 8)
 #: Components of a group from which more than one star round is made.
 MANY = 16
 #: Long words that a whole parity sketch is folded to for the filter inside the joins of candidates; also its least length.
@@ -335,15 +335,16 @@ def _may_be_similar(x: str, y: str, join: Join) -> Column:
 
 def _stars(open_keys: DataFrame, hubs: int, scratch: Scratch) -> DataFrame:
     """One set of each component of a key's group, paired with one of them all; which sets depends on the key, in ``hubs`` ways.
-    After the first round only groups of many components are worth it: the others have few pairs."""
-    turn = F.xxhash64("node", F.pmod("key", F.lit(hubs)), F.lit(hubs))
-    one = scratch.written(open_keys.groupBy("key", "root").agg(F.min(F.struct(turn.alias("turn"), "node")).alias("own")), "one")
-    hub = one.groupBy("key").agg(F.min("own").alias("hub"), F.count("*").alias("spans")).where(F.col("spans") >= (2 if hubs == 1 else MANY))
-    hub = scratch.written(hub.select(F.col("key").alias("_key"), "hub"), "hubs")
+    After the first round, in which each set is a component, only groups of many components are worth it: the others have few pairs."""
+    turn = F.struct(F.xxhash64("node", F.pmod("key", F.lit(hubs)), F.lit(hubs)).alias("turn"), "node")
+    if hubs == 1:
+        one = open_keys.select("key", turn.alias("own"))
+    else:
+        one = scratch.written(open_keys.groupBy("key", "root").agg(F.min(turn).alias("own")), "one")
+    hub = one.groupBy(F.col("key").alias("_key")).agg(F.min("own").alias("hub"), F.count("*").alias("spans"))
+    hub = scratch.written(hub.where(F.col("spans") >= (2 if hubs == 1 else MANY)).drop("spans"), "hubs")
     starred = one.join(hub, F.col("key") == F.col("_key")).where("own <> hub")
-    pairs = scratch.written(starred.select(F.col("hub.node").alias("a"), F.col("own.node").alias("b")).distinct(), "stars")
-    scratch.drop(one, hub)
-    return pairs
+    return starred.select(F.col("hub.node").alias("a"), F.col("own.node").alias("b")).distinct()
 
 
 def _remaining(open_keys: DataFrame, nodes: DataFrame, join: Join, scratch: Scratch) -> DataFrame:
@@ -353,26 +354,37 @@ def _remaining(open_keys: DataFrame, nodes: DataFrame, join: Join, scratch: Scra
     l, r = (rows.select(*(F.col(c).alias(f"{c}_{s}") for c in rows.columns)) for s in "lr")
     different = (F.col("root_l") != F.col("root_r")) & (F.col("node_l") < F.col("node_r"))
     met = l.join(r, (F.col("key_l") == F.col("key_r")) & different & _may_be_similar("_l", "_r", join))
-    pairs = scratch.written(met.select(F.col("node_l").alias("a"), F.col("node_r").alias("b")).distinct(), "pairs")
-    scratch.drop(rows)
-    return pairs
+    return met.select(F.col("node_l").alias("a"), F.col("node_r").alias("b")).distinct()
 
 
-def _open(keys: DataFrame, roots: DataFrame | None, scratch: Scratch) -> DataFrame:
+def _open(keys: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, node, root) of those ``keys`` that still span components.  ``keys`` is dropped."""
-    if roots is None:
-        placed = scratch.written(keys.select("key", "node", F.col("node").alias("root")), "placed")
-    else:
-        own = roots.select(F.col("node").alias("_n"), F.col("root").alias("_root"))
-        merged = keys.join(own, F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("_root", "root").alias("root"))
-        placed = scratch.written(merged, "placed")
-    spread = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    spread = scratch.written(spread.select(F.col("key").alias("_key")), "spread")
+    own = roots.select(F.col("node").alias("_n"), F.col("root").alias("_root"))
+    merged = keys.join(own, F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("_root", "root").alias("root"))
+    placed = scratch.written(merged, "placed")
+    spread = placed.groupBy(F.col("key").alias("_key")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    spread = scratch.written(spread.select("_key"), "spread")
     found = scratch.written(placed.join(spread, F.col("key") == F.col("_key"), "left_semi"), "open")
     scratch.drop(keys, placed, spread)
     return found
 
 
+def _merged(links: DataFrame, roots: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """(node, root) after ``links`` (a, b) are added to the components so far: only links between their roots are followed."""
+    if roots is None:
+        return scratch.written(components(links, scratch), "roots")
+    at = roots.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    for side in "ab":
+        found = links.join(at, F.col(side) == F.col("_n"), "left").withColumn(side, F.coalesce("_r", side))
+        links = found.drop("_n", "_r")
+    added = scratch.written(components(links, scratch), "added")
+    to = added.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    moved = roots.join(to, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root"))
+    # Nodes that had no link before.
+    new = added.join(roots.select(F.col("node").alias("_n")), F.col("node") == F.col("_n"), "left_anti")
+    return scratch.written(moved.unionByName(new), "roots")
+
+
 def classes(docs: DataFrame, join: Join, scratch: Scratch) -> DataFrame:
     """(doc, t, t2, n, root) of every row of ``docs`` (doc, text): two hashes of the text, how many shingles it has, and a number that
     exactly those rows share whose sets are linked, null without shingles."""
@@ -384,22 +396,20 @@ def classes(docs: DataFrame, join: Join, scratch: Scratch) -> DataFrame:
     all_nodes = scratch.written(once, "nodes")
     shared = _shared(profiles, scratch)
     keyed = shared.join(all_nodes.select(F.col("short").alias("_s"), "node"), F.col("short") == F.col("_s")).select("key", "node")
-    keys = _open(scratch.written(keyed, "keys"), None, scratch)
+    keys = scratch.written(keyed.withColumn("root", F.col("node")), "keys")
     scratch.drop(shared)
     # Only these nodes are looked at again.
     nodes = scratch.written(all_nodes.join(keys.select(F.col("node").alias("_n")).distinct(), F.col("node") == F.col("_n"), "left_semi"), "open_nodes")
 
-    links: DataFrame | None = None
     roots: DataFrame | None = None
     for hubs in (*STARS, 0):
         pairs = _stars(keys, hubs, scratch) if hubs else _remaining(keys, nodes, join, scratch)
-        found = _linked(pairs, nodes, docs, join, scratch)
-        scratch.drop(pairs)
-        if found.limit(1).count():
-            links = found if links is None else links.unionByName(found)
-            roots = components(links, scratch)
-            if hubs:
-                keys = _open(keys, roots, scratch)
+        links = _linked(pairs, nodes, docs, join, scratch)
+        if not links.limit(1).count():
+            continue
+        roots = _merged(links, roots, scratch)
+        if hubs:
+            keys = _open(keys, roots, scratch)
 
     named = all_nodes.select(F.col("name").alias("_name"), "node")
     if roots is not None:
