@@ -13,11 +13,12 @@ stitched at the first such place behind a non-space character.  If the overlap h
 longer than the overlap - the two chunks stay together as one piece, so the result is always exact.
 The pieces between stitches are then encoded in parallel and their ids put one behind the other.
 
-Texts of up to one chunk, nearly all, are encoded where they are, without a shuffle.  Decoding looks
+Texts of up to ``PARALLEL`` code points are cut, stitched and encoded in the task they are in, without a shuffle; only the chunks of
+longer ones, which are larger, go to different tasks.  Texts of up to one chunk are one piece.  Decoding looks
 up each id's bytes and concatenates them; only whole texts are valid UTF-8, so bytes are returned.
 
-Null texts encode to no ids, as empty ones.  Row keys may repeat or be null.
-Columns named like the added one are replaced.
+Null texts encode to no ids, as empty ones; an empty table gives an empty one.  Row keys may repeat or be null.  A very long text
+without any place to stitch is one piece, and so one cell.  Columns named like the added one are replaced.
 """
 
 from __future__ import annotations
@@ -34,8 +35,9 @@ from pyspark.sql import types as T
 from .common import fresh, map_rows
 
 #: Code points of a chunk, and of its overlap with the next.
-CHUNK = 1 << 16
-OVERLAP = 1 << 10
+CHUNK, OVERLAP = 1 << 11, 1 << 8
+#: Code points of the texts whose chunks go to different tasks, and of those chunks and their overlap.
+PARALLEL, FAR_OVERLAP = 1 << 16, 1 << 10
 #: Code points before a chunk's end in which a cut may still change with what follows.
 _MARGIN = 4
 #: A character after which a cut is certain whatever came before: its class differs from the next one's.
@@ -64,6 +66,24 @@ class Vocabulary:
     def encode(self, text: str) -> list[int]:
         return self.encoding.encode_ordinary(text)
 
+    def pieces(self, text: str, chunk: int, overlap: int) -> list[str]:
+        """The text in pieces that are encoded each by itself: its chunks, stitched."""
+        begin, before, out = 0, set(), []
+        for start in range(0, max(0, len(text) - overlap - 1) + 1, chunk):
+            part = text[start : start + chunk + overlap]
+            head, tail = self.ends(part, start, len(text), chunk, overlap)
+            joint = min(before.intersection(head), default=None)
+            if joint is not None:
+                out.append(text[begin:joint])
+                begin = joint
+            before = set(tail)
+        return [*out, text[begin:]]
+
+    def ends(self, part: str, start: int, size: int, chunk: int, overlap: int) -> tuple[list[int], list[int]]:
+        """A chunk's cuts in its overlap with the chunk before, and the certain ones in that with the chunk behind."""
+        found, certain = self.cuts(part, start, start + len(part) >= size)
+        return [b for b in found if b < start + overlap], [b for b in found if b >= max(certain, start + chunk)]
+
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
@@ -100,13 +120,15 @@ def encode(
     keep_text: bool = True,
     chunk: int = CHUNK,
     overlap: int = OVERLAP,
+    parallel: int = PARALLEL,
+    far_overlap: int = FAR_OVERLAP,
 ) -> DataFrame:
     """``df`` with a binary column ``ids``: the token ids as little-endian unsigned 32-bit integers.
     The text itself is only carried on if ``keep_text``.
 
     ``ranks_path`` must be readable on every executor, as part of its Python installation is.
     """
-    if not 2 * _MARGIN < overlap < chunk:
+    if not (2 * _MARGIN < overlap < chunk and 2 * _MARGIN < far_overlap < parallel):
         raise ValueError("the overlap must be shorter than a chunk")
     df = df.drop(ids)
     at = df.columns.index(text)
@@ -115,15 +137,16 @@ def encode(
 
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
         vocab = vocabulary(ranks_path, pattern)
-        values = [_ids(vocab.encode(t)) if t else b"" for t in batch.column(at).to_pylist()]
+        texts = batch.column(at).to_pylist()
+        values = [b"".join(_ids(vocab.encode(x)) for x in vocab.pieces(t, chunk, overlap)) if t else b"" for t in texts]
         return pa.RecordBatch.from_arrays(
             [*(batch.column(i) for i in kept), pa.array(values, pa.binary())],
             names=[*(batch.schema.names[i] for i in kept), ids],
         )
 
     size = F.coalesce(F.length(text), F.lit(0))
-    short = map_rows(df.where(size <= chunk), schema, whole)
-    long = _encode_long(df.where(size > chunk), ranks_path, pattern, text, ids, chunk, overlap)
+    short = map_rows(df.where(size <= parallel), schema, whole)
+    long = _encode_long(df.where(size > parallel), ranks_path, pattern, text, ids, parallel, far_overlap)
     return short.unionByName(long.select(*short.columns))
 
 
@@ -153,9 +176,9 @@ def _encode_long(
         vocab = vocabulary(ranks_path, pattern)
         heads, tails = [], []
         for start, part, size in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-            found, certain = vocab.cuts(part, start, start + len(part) >= size)
-            heads.append([b for b in found if b < start + overlap])
-            tails.append([b for b in found if b >= max(certain, start + chunk)])
+            head, tail = vocab.ends(part, start, size, chunk, overlap)
+            heads.append(head)
+            tails.append(tail)
         kind = pa.list_(pa.int32())
         return pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array(heads, kind), pa.array(tails, kind)],

@@ -2,17 +2,19 @@
 
 A page is a sequence of tags and of the words between them.  Words score positive and tags negative;
 words in places that labelled pages show to be outside the main text score negative too.  One linear
-scan finds the contiguous run with the highest sum.  If that run lies in an ``article`` or ``main``
-element, it is widened to that element, since a large insert can cut a run short.  Blocks of
-menus, headers, footers, sidebars, notices, adverts, forms and reader comments inside it are dropped.
+scan finds the contiguous run with the highest sum: the region of the main text, whatever elements it is in.  Blocks of
+menus, headers, footers, sidebars, notices, adverts, forms and reader comments inside it are dropped; their words
+score so little below zero that even a large one does not cut the run.
 
 The scores are log odds counted on labelled pages.  A page labels itself if it has exactly one
 ``article`` or, failing that, ``main`` element: its words and tags are main text but those in boilerplate
-elements.  ``fit`` counts over the at most ``SAMPLE`` labelled pages with the smallest key hashes.  Without
-labelled pages the prior scores hold.
+elements.  Boilerplate is known by element, role and by class or id; to the fixed names of the latter come those
+whose words labelled pages have outside the main text only.  ``fit`` counts over the at most ``SAMPLE`` labelled pages with
+the smallest key hashes.  Without labelled pages the prior scores hold.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined
-by one space.  Null, empty and text-less pages give an empty text.  Unclosed comments, scripts and tags
+by one space.  Null, empty and text-less pages give an empty text, an empty table an empty result.  Of equal runs the first
+counts.  Time and space are linear in the page, however long or deeply nested it is.  Unclosed comments, scripts and tags
 reach to the end of the page, as in browsers.  Repeated rows give repeated results; extra columns
 stay, but one that is named like the text is replaced.
 """
@@ -36,14 +38,14 @@ from .common import map_rows
 SAMPLE = 2000
 
 # Element and hint names.
-_RAW = "script|style|noscript|template|textarea|title|svg|math|iframe|object|select|xmp|noembed|noframes"
+_RAW = "script|style|noscript|template|textarea|title|svg|iframe|object|select|xmp|noembed|noframes"
 _INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rb rp rt ruby s samp small"
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q math rb rp rt ruby s samp small"
     " span strike strong sub sup time tt u var wbr".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _PLACE = frozenset("article main".split())
-_BOILERPLATE = frozenset("nav header footer aside form menu dialog button fieldset figcaption head".split())
+_BOILERPLATE = frozenset("nav header footer aside form menu dialog button fieldset head".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _HINTS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion comment comments reply"
@@ -59,44 +61,50 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PARTS = re.compile(r"[a-z]+")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 body".split())
+#: Words and pages that a class or id must have on labelled pages, all outside the main text, to count as boilerplate.
+SEEN_WORDS, SEEN_PAGES = 20, 3
+#: The least score of a word in boilerplate, so that a large insert does not cut the main text.
+LEAST = -0.3
 
 
 @dataclass
 class Piece:
-    """A tag, or a run of text with the place it stands in."""
+    """A tag, or a run of text with the place it stands in and the names it stands under."""
 
     tag: str = ""
     text: str = ""
     place: tuple[bool, str, bool] = (False, "", False)
     container: int = -1
     words: int = 0
+    under: tuple | None = None
 
 
-def _boilerplate(name: str, attributes: str) -> bool:
-    if name in _BOILERPLATE:
-        return True
+def _named(name: str, attributes: str) -> tuple[bool, list[str]]:
+    """Whether an element's role or state makes it boilerplate, and the parts of its classes and id."""
+    parts: list[str] = []
     for key, value in _NAMES.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if key == "role" and value in _ROLES:
-            return True
-        if key in ("class", "id") and name not in _PLACE and name != "body" and any(p in _HINTS for p in _PARTS.findall(value)):
-            return True
-    return False
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in _ROLES:
+            return True, parts
+        # Headings and sections of an article have ids by what they say.
+        if key == "class" or key == "id" and name != "section":
+            parts += _PARTS.findall(value)
+    return False, parts
 
 
-def pieces(page: str) -> tuple[list[Piece], list[str]]:
+def pieces(page: str, hints: frozenset[str] = _HINTS) -> tuple[list[Piece], list[str]]:
     """The page's tags and texts in order, and the names of its containers."""
     out: list[Piece] = []
     containers: list[str] = []
-    # Of each open block: its name, whether it or one around it is boilerplate, and its container.
-    stack: list[tuple[str, bool, int]] = [("", False, -1)]
+    # Of each open block: its name, whether it or one around it is boilerplate, its container, and what it stands under.
+    stack: list[tuple[str, bool, int, tuple | None]] = [("", False, -1, None)]
+    opened: Counter = Counter()
     link, at = False, 0
 
     def say(text: str) -> None:
-        name, dull, container = stack[-1]
-        out.append(Piece(text=text, place=(dull, name, link), container=container, words=len(text.split())))
+        name, dull, container, under = stack[-1]
+        out.append(Piece(text=text, place=(dull, name, link), container=container, words=len(text.split()), under=under))
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -118,22 +126,27 @@ def pieces(page: str) -> tuple[list[Piece], list[str]]:
                 out.append(Piece(tag=name, container=stack[-1][2]))
             continue
         if close:
-            names = [s[0] for s in stack]
-            if name in names[1:]:
+            if opened[name]:
                 while stack[-1][0] != name:
-                    stack.pop()
-                stack.pop()
+                    opened[stack.pop()[0]] -= 1
+                opened[stack.pop()[0]] -= 1
             link = False
             out.append(Piece(tag="/" + name, container=stack[-1][2]))
             continue
         # A new block ends an open paragraph, and an item or cell its open sibling.
         if stack[-1][0] == "p" or stack[-1][0] == name and name in ("li", "td", "th", "tr", "dt", "dd", "option"):
-            stack.pop()
-        _, dull, container = stack[-1]
+            opened[stack.pop()[0]] -= 1
+        _, dull, container, under = stack[-1]
         if name in _PLACE:
             containers.append(name)
             container = len(containers) - 1
-        stack.append((name, dull or _boilerplate(name, rest), container))
+        else:
+            off, parts = _named(name, rest) if rest and name not in _HEADINGS else (False, [])
+            dull = dull or name in _BOILERPLATE or off or any(p in hints for p in parts)
+            if parts:
+                under = (parts, under)
+        stack.append((name, dull, container, under))
+        opened[name] += 1
         out.append(Piece(tag=name, container=container))
     if at < len(page):
         say(page[at:])
@@ -146,10 +159,12 @@ class Scores:
 
     words: dict[tuple[bool, str, bool], float] = field(default_factory=dict)
     tags: dict[str, float] = field(default_factory=dict)
+    #: Parts of classes and ids that mark boilerplate.
+    hints: frozenset[str] = _HINTS
 
     def word(self, place: tuple[bool, str, bool]) -> float:
         dull, name, link = place
-        return self.words.get(place, -1.0 if dull else 0.2 if link or name in ("", "html", "body") else 1.0)
+        return self.words.get(place, LEAST if dull else 0.2 if link or name in ("", "html", "body") else 1.0)
 
     def tag(self, name: str) -> float:
         return self.tags.get(name, -0.5 if name in ("p", "/p", "br") else -1.5)
@@ -178,12 +193,23 @@ def fit(pages: DataFrame, *, key: str = "page_id", html_column: str = "html", sa
             own = _labelled(found, containers)
             if own is None:
                 continue
+            parts: Counter = Counter()
             for p in found:
                 if p.tag:
                     seen["tag", p.tag, False, False, p.container == own] += 1
                 elif p.words:
                     dull, name, link = p.place
                     seen["word", name, dull, link, p.container == own and not dull] += p.words
+                    # A page's names count each word once.
+                    names, under = set(), p.under
+                    while under is not None:
+                        names.update(under[0])
+                        under = under[1]
+                    for part in names:
+                        parts[part, p.container == own] += p.words
+            for (part, inside), n in parts.items():
+                seen["part", part, False, False, inside] += n
+                seen["page", part, False, False, inside] += 1
         kinds = list(zip(*seen)) or [[]] * 5
         types = (pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_())
         return pa.RecordBatch.from_arrays(
@@ -196,14 +222,19 @@ def fit(pages: DataFrame, *, key: str = "page_id", html_column: str = "html", sa
         F.sum(F.when(F.col("main"), F.col("n")).otherwise(0)).alias("inside"),
         F.sum(F.when(F.col("main"), 0).otherwise(F.col("n"))).alias("outside"),
     )
-    scores = Scores()
+    scores, names = Scores(), {}
     for r in counted.orderBy(F.desc(F.col("inside") + F.col("outside"))).limit(5000).collect():
         odds = max(-3.0, min(3.0, math.log((r["inside"] + 1) / (r["outside"] + 1))))
         if r["kind"] == "tag":
             scores.tags[r["name"]] = min(-0.1, odds - 0.5)
-        else:
+        elif r["kind"] == "word":
             # Words score positive wherever labelled pages have main text.
-            scores.words[r["dull"], r["name"], r["link"]] = max(0.3, odds) if r["inside"] > r["outside"] else min(-0.3, odds)
+            value = max(0.3, odds) if r["inside"] > r["outside"] else min(-0.3, odds)
+            scores.words[r["dull"], r["name"], r["link"]] = max(LEAST, value) if r["dull"] else value
+        elif r["inside"] == 0:
+            names.setdefault(r["name"], {})[r["kind"]] = r["outside"]
+    learned = (n for n, k in names.items() if k.get("part", 0) >= SEEN_WORDS and k.get("page", 0) >= SEEN_PAGES)
+    scores.hints = _HINTS.union(learned)
     return scores
 
 
@@ -224,24 +255,18 @@ def main_text(page: str | None, scores: Scores) -> str:
     """The main text of a page."""
     if not page:
         return ""
-    found, containers = pieces(page)
+    found, _ = pieces(page, scores.hints)
     begin, end = best_run([scores.tag(p.tag) if p.tag else p.words * scores.word(p.place) for p in found])
-    if begin == end:
-        return ""
-    words: Counter = Counter()
-    for p in found[begin:end]:
-        words[p.container] += p.words
-    container = words.most_common(1)[0][0] if words else -1
     blocks: list[str] = []
     current: list[str] = []
-    for i, p in enumerate(found):
+    for p in found[begin:end]:
         if p.tag:
             if p.tag == "br":
                 current.append(" ")
             elif p.tag not in ("a", "/a"):
                 blocks.append("".join(current))
                 current = []
-        elif not p.place[0] and (p.container == container if container >= 0 else begin <= i < end):
+        elif not p.place[0]:
             current.append(p.text)
     blocks.append("".join(current))
     return " ".join(t for b in blocks if (t := " ".join(html.unescape(b).split())))

@@ -9,11 +9,13 @@ cells, and so on: peeling recovers the digests that differ, and on which side.
 
 A fingerprint is the sketch of ``CELLS`` cells with the number of digests, so equal texts have equal
 fingerprints.  If peeling fails since too much differs, both texts are sketched again with
-``GROWTH`` times the cells, as often as it takes; beyond twice the cells that both sides' digests need the
-sketch holds everything in practice, and a set difference settles the rest.  The likeness of two texts is the
+``GROWTH`` times the cells, as often as it takes.  The likeness of two texts is the
 Jaccard similarity of their digest sets, from the sizes and the recovered differences.
 
-Null and empty texts have no digests; two of them have likeness 1.
+Null and empty texts have no digests; two of them have likeness 1.  Rows with equal keys, and those with null keys, which come
+last, follow each other by the hashes of their texts; repeated rows are ties, in any order.  A very long text is one cell, and
+its sketches grow with it.  An empty table gives an empty result; of a single row the next one is itself.  Only key and text
+are read, so further columns may have any name.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +38,8 @@ CELLS = 24
 HASHES = 3
 #: Factor by which a sketch grows when peeling fails.
 GROWTH = 4
+#: Ranges of keys whose bounds are read by the driver, at most.
+RANGES = 256
 #: Words of a passage on average.
 PASSAGE = 4
 
@@ -161,28 +165,25 @@ def fingerprints(sets: list[np.ndarray], cells: int = CELLS) -> list[str]:
 def differences(a: list[np.ndarray], b: list[np.ndarray], cells: int = CELLS) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each pair of texts the digests that only the first and only the second has."""
     out: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(a)
-    todo, size = list(range(len(a))), cells
+    # Cells enough for a difference of everything come before more than those.
+    sizes = np.full(len(a), cells)
+    full = 2 * HASHES * np.array([len(x) + len(y) for x, y in zip(a, b)], np.int64) + cells
+    todo = np.arange(len(a))
     none = np.zeros(0, np.uint64)
-    while todo:
-        both = np.array([len(a[i]) + len(b[i]) for i in todo])
-        full = 2 * HASHES * both + cells
-        # So many cells are enough for a difference of everything.
-        own = np.minimum(size, full) // HASHES * HASHES
+    while len(todo):
+        own = sizes[todo] // HASHES * HASHES
         rest = Sketches([a[i] for i in todo], own).minus(Sketches([b[i] for i in todo], own))
         owner, value, side = rest.peel()
-        clean, again = rest.clean(), []
+        clean = rest.clean()
         order = np.argsort(owner, kind="stable")
         owner, value, side = owner[order], value[order], side[order]
         bounds = np.searchsorted(owner, np.arange(len(todo) + 1))
-        for k, i in enumerate(todo):
-            if clean[k]:
-                v, s = value[bounds[k] : bounds[k + 1]], side[bounds[k] : bounds[k + 1]]
-                out[i] = (np.sort(v[s > 0]), np.sort(v[s < 0])) if len(v) else (none, none)
-            elif size >= full[k]:
-                out[i] = np.setdiff1d(a[i], b[i]), np.setdiff1d(b[i], a[i])
-            else:
-                again.append(i)
-        todo, size = again, size * GROWTH
+        for k in np.flatnonzero(clean):
+            v, s = value[bounds[k] : bounds[k + 1]], side[bounds[k] : bounds[k + 1]]
+            out[todo[k]] = (np.sort(v[s > 0]), np.sort(v[s < 0])) if len(v) else (none, none)
+        todo = todo[~clean]
+        below = sizes[todo] < full[todo]
+        sizes[todo] = np.where(below, np.minimum(sizes[todo] * GROWTH, full[todo]), sizes[todo] * GROWTH)
     return out
 
 
@@ -202,23 +203,51 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+def _buckets(rows: DataFrame, count: int) -> Column:
+    """The bucket of a row (key, tie): buckets follow each other in rising order of both, nulls first.
+
+    Ranges of equal numbers of rows come from quantiles of the key; in a range, buckets are equal in width.  A key that
+    fills ranges of its own, and null, has buckets of equal widths of the tie."""
+    nulls = rows.where("key IS NULL").limit(1).count()
+    ranges = max(1, min(RANGES, count))
+    found = rows.agg(F.percentile_approx("key", [i / ranges for i in range(ranges + 1)], 100 * RANGES)).first()[0] or []
+    bounds = sorted({int(x) for x in found})
+    frequent = sorted({int(x) for x, y in zip(found, found[1:]) if x == y})
+    # Begins of ranges; a frequent key is one by itself.
+    begins = sorted({*bounds, *frequent, *(x + 1 for x in frequent)}) or [0]
+    each = max(1, -(-count // (len(begins) + nulls)))
+    parts = F.lit(each)
+    at = F.array(*(F.lit(x).cast("long") for x in begins))
+    number = F.size(F.filter(at, lambda x: x <= F.col("key")))
+    ends = [*begins[1:], begins[-1] + 1]
+    widths = F.array(*(F.lit(-(-(y - x) // each)).cast("long") for x, y in zip(begins, ends)))
+    # The quantiles are of the whole column, but approximate: keys may lie outside them.
+    past = (F.col("key").cast("decimal(38,0)") - F.get(at, F.greatest(F.lit(0), number - 1))) / F.get(widths, F.greatest(F.lit(0), number - 1))
+    inside = F.least((parts - 1).cast("decimal(38,0)"), F.floor(past)).cast("long")
+    by_tie = F.shiftright(F.shiftrightunsigned(F.col("tie").bitwiseXOR(F.lit(-(1 << 63))), 33) * parts, 31)
+    hot = F.col("key").isin(frequent) if frequent else F.lit(False)
+    return (
+        F.when(F.col("key").isNull(), by_tie)
+        .when(hot, (number + 1) * parts + by_tie)
+        .otherwise((number + 1) * parts + F.greatest(F.lit(0), inside))
+        .cast("long")
+    )
+
+
 def _followed(df: DataFrame, key: str, text: str, bucket_rows: int) -> DataFrame:
-    """(bucket, key, text, peek): the rows by bucket of neighbouring keys; each bucket also has the row
+    """(bucket, peek, key, tie, text): the rows by bucket of neighbouring keys and ties; each bucket also has the row
     that comes after its last one, marked as a peek.
 
-    Buckets are ranges of keys, and only each bucket's greatest key crosses into the bucket before, so
-    every text is exchanged once and a bucket at most once more.
+    Only each bucket's greatest row crosses into the bucket that the order has before, so every text is exchanged once
+    and a bucket's head at most once more.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    bounds = rows.agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).first()
-    low, high, n = bounds["low"] or 0, bounds["high"] or 0, bounds["n"]
-    count = max(1, min(1 << 20, -(-n // bucket_rows)))
-    width = (high - low) // count + 1
-    bucket = F.expr(f"coalesce(cast((key - {low}) div {width} as int), -1)")
-    # The order is by falling key with nulls last, so bucket -1 comes after 0.
-    heads = rows.groupBy(bucket.alias("bucket")).agg(F.max("key").alias("head"))
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text"))
+    count = max(1, min(1 << 20, -(-rows.count() // bucket_rows)))
+    rows = rows.withColumn("bucket", _buckets(rows.select("key", "tie"), count))
+    # The order is by falling bucket; in it nulls, which are in the least ones, come last.
+    heads = rows.groupBy("bucket").agg(F.max(F.struct("key", "tie")).alias("head"))
     ordered = Window.orderBy(F.desc("bucket"))
-    # One row per bucket, at most 2^20, whatever the corpus.
+    # One row per bucket, about 2^20 at most, whatever the corpus.
     follow = heads.select(
         "bucket",
         "head",
@@ -228,16 +257,17 @@ def _followed(df: DataFrame, key: str, text: str, bucket_rows: int) -> DataFrame
             F.last("bucket").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
         ).alias("goes_to"),
     )
-    marked = rows.withColumn("bucket", bucket).join(F.broadcast(follow), "bucket")
-    is_head = F.col("key").eqNullSafe(F.col("head"))
+    marked = rows.join(F.broadcast(follow), "bucket")
+    is_head = F.struct("key", "tie").eqNullSafe(F.col("head"))
     return marked.select(
         F.explode(
             F.when(is_head, F.array(F.struct("bucket", F.lit(False).alias("peek")), F.struct(F.col("goes_to").alias("bucket"), F.lit(True).alias("peek"))))
             .otherwise(F.array(F.struct("bucket", F.lit(False).alias("peek"))))
         ).alias("b"),
         "key",
+        "tie",
         "text",
-    ).select("b.bucket", "b.peek", "key", "text")
+    ).select("b.bucket", "b.peek", "key", "tie", "text")
 
 
 def versions(df: DataFrame, *, key: str = "doc_id", text: str = "text", bucket_rows: int = 2000) -> DataFrame:
@@ -251,7 +281,6 @@ def versions(df: DataFrame, *, key: str = "doc_id", text: str = "text", bucket_r
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (
         _followed(df, key, text, bucket_rows)
-        .withColumn("tie", F.xxhash64("text"))
         .repartition(parts, "bucket")
         .sortWithinPartitions("bucket", "peek", F.desc_nulls_last("key"), F.desc("tie"))
         .select("bucket", "peek", "key", "text")

@@ -10,9 +10,10 @@ The classifiers are fitted on a bounded sample of labelled rows, the ``PER_LABEL
 with the smallest key hashes, so that the sample does not depend on partitioning.  The sample's
 n-gram counts, not its texts, come to the driver.
 
-A null text and one without any letter are ``und`` with score 0.  Null labels are not learned.  With
-no labelled rows every text is ``und``; with one label every text with letters has that label.  Very
-long texts are counted in pieces.  Extra columns are carried on; those named
+A null text and one without any letter are ``und`` with score 0.  Null labels are not learned, nor are those beyond the
+``MAX_LABELS`` most frequent (of equally frequent ones the first by name).  With no labelled rows, as in an empty table,
+every text is ``und``; with one label every text with letters has that label.  Of equally near codewords the first label's wins.
+Repeated rows count once in the sample and get equal results.  Very long texts are counted in pieces.  Extra columns are carried on; those named
 like the added ones (``lang_pred``, ``score``, ``ambiguous``) are replaced.
 """
 
@@ -31,7 +32,7 @@ from .linear import logistic, margins
 
 #: Labelled rows of each label that the classifiers are fitted on, at most.
 PER_LABEL = 300
-#: Labels that can be told apart, at most.
+#: Labels that are learned, at most: the most frequent.  Together with PER_LABEL the bound of the sample.
 MAX_LABELS = 200
 #: Hash bins of the n-grams.
 BINS = 1 << 12
@@ -114,19 +115,22 @@ def fit(
     labelled: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = PER_LABEL
 ) -> Model | None:
     """Fit on the rows of ``labelled`` with text and label."""
-    usable = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull() & F.col(key).isNotNull())
-    order = Window.partitionBy("label").orderBy("order", "key")
+    usable = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull() & F.col(key).isNotNull()).select(
+        F.col(key).alias("key"), F.col(label).cast("string").alias("label"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text")
+    )
+    frequent = usable.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LABELS).select("label")
+    order = Window.partitionBy("label").orderBy("order", "key", "h")
+    # Rows that repeat key, label and text are one; at most per_label rows of each of MAX_LABELS labels are chosen.
     chosen = (
-        usable.select(F.col(key).alias("key"), F.col(label).cast("string").alias("label"), F.xxhash64(F.col(key)).alias("order"))
+        usable.select("key", "label", "h")
+        .join(F.broadcast(frequent), "label")
+        .distinct()
+        .withColumn("order", F.xxhash64("key"))
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= per_label)
-        .select("key", "label")
+        .select("key", "label", "h")
     )
-    labels = sorted(r["label"] for r in chosen.select("label").distinct().limit(MAX_LABELS + 1).collect())
-    if len(labels) > MAX_LABELS:
-        raise ValueError(f"there are more than {MAX_LABELS} labels")
-    # At most per_label keys of each of MAX_LABELS labels.
-    sample = usable.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").select("text", "label")
+    sample = usable.join(F.broadcast(chosen), ["key", "label", "h"]).dropDuplicates(["key", "label", "h"]).select("text", "label")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [(label, p.tobytes()) for t, label in zip(*(c.to_pylist() for c in batch.columns)) if (p := profile(t)) is not None]

@@ -10,9 +10,11 @@ gives the score of every document.
 The labels are a bounded sample: those ``LABELLED`` with the smallest key hashes.  Only their feature vectors and
 the sums of the pools' weights come to the driver.  Pools and scores cover every document and its whole text.
 
-A null text has the features of an empty one; null metadata are a value of their own.  With no labels, or
+A null text has the features of an empty one; null metadata are a value of their own.  With no labels, as with empty tables, or
 labels of one kind, there is nothing to tell apart: the score is the share of good labels, or 0.5.
-Labels of unknown documents are ignored; repeated labels count repeatedly.
+Labels of unknown documents are ignored; equal labels of one key count once, for that of its documents with the least hash of
+the text, and contradicting ones count both.  Equally sure documents are taken in a fixed order.  Repeated rows get equal
+scores.  A very long text is one cell.  Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -245,7 +247,7 @@ def _pooled(rows: DataFrame, tasks: list[tuple], pool: int) -> list[list[np.ndar
 
 
 def _narrow(docs: DataFrame, key: str) -> DataFrame:
-    def column(name: str) -> F.Column:
+    def column(name: str) -> Column:
         return F.col(name).cast("string") if name in docs.columns else F.lit(None).cast("string")
 
     return docs.select(
@@ -259,9 +261,11 @@ def fit(docs: DataFrame, labels: DataFrame, targets: list[str], *, key: str = "d
     packed = sum((F.col(t).cast("long") * (1 << i) for i, t in enumerate(targets)), F.lit(0))
     known = labels.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), packed.cast("double").alias("label")).where("label IS NOT NULL")
     picked = known.orderBy(F.xxhash64("_key"), "label").limit(labelled)
-    columns = ["label", "text", "source", "lang", "length"]
-    # At most as long as its limit.
-    packs, x, m = _views(rows.join(F.broadcast(picked), F.col("key") == F.col("_key")).select(*columns))
+    columns = ["text", "source", "lang", "length"]
+    # At most as long as its limit: of the documents of one key, that with the least hash of its text counts.
+    matched = rows.join(F.broadcast(picked), F.col("key") == F.col("_key"))
+    one = matched.groupBy("_key", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), *columns)).alias("row"))
+    packs, x, m = _views(one.select("label", *(f"row.{c}" for c in columns)))
     labels_of = [(packs.astype(np.int64) >> i & 1).astype(float) for i in range(len(targets))]
     tasks = []
     for y in labels_of:

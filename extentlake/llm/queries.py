@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, html_extract, iblt, langid, line_dedup, ngram_join, quality, sharding, warc
-from .common import table, written
+from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -115,8 +115,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
     )
-    # The narrow rows are read several times below; the texts only here.
-    dealt = sharding.shuffle(written(rows, "sharding"), 8, key=["doc_id", "size", "text_crc32"])
+    # The operator writes these narrow rows once; the texts are only read here.
+    dealt = sharding.shuffle(rows, 8, key=["doc_id", "size", "text_crc32"])
     return dealt.select(
         "doc_id",
         "size",

@@ -7,22 +7,22 @@ block is then permuted by itself and dealt out by its row of the matrix, the row
 each shard is permuted again.  The result is a uniform permutation with shards that differ by at most
 one row.
 
-All randomness comes from hashes of the row and a seed, so a task that runs again after the loss of
-an executor makes the same rows.  Blocks come from a hash of the whole row key, and both
-permutations are done in cells of bounded expected size: a row's slot is the rows in the cells before
-plus its rank in its cell.  No task holds a shard.
+The rows are first written with a number each.  All randomness comes from hashes of that number, the row's key and a seed, so
+a task that runs again after the loss of an executor makes the same rows, and equal rows are spread like others, over blocks,
+shards and slots.  Both permutations are done in cells of bounded expected size: a row's slot is the rows in the cells
+before plus its rank in its cell.  No task holds a shard, whatever keys repeat.
 
-Null keys, null texts and repeated rows are rows like others.  Rows that are equal in every used
-column are interchangeable, so it does not matter which of them gets which slot.  Columns named ``shard`` or ``slot`` are replaced.
+Null keys, null texts, very long texts and repeated rows are rows like others.  Ties of hashes are broken by the row's number.
+An empty table gives an empty one.  Columns named ``shard`` or ``slot`` are replaced.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, written
 
 #: Source blocks, and cells of a shard.  The driver reads one count per block and broadcasts one row
 #: per block and per cell, whatever the input's size; a block or cell is sorted in one task, with spill.
@@ -49,23 +49,30 @@ def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> np.n
     return matrix
 
 
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """One draw; numpy takes up to 1e9 of a kind, beyond which draws are split."""
-    limit = 500_000_000
+#: Urns up to this size are drawn from by numpy, which takes no more than 1e9 of a kind.
+URN = 500_000_000
+#: Standard deviations around the mode that a draw from a larger urn is chosen from; what lies beyond is below 1e-30.
+REACH = 12
+
+
+def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int, urn: int = URN) -> int:
+    """One draw by the hypergeometric law, at any size."""
     if draws == 0 or good == 0:
         return 0
     if bad == 0:
         return draws
-    if good + bad <= limit:
+    if good + bad <= urn:
         return int(rng.hypergeometric(good, bad, draws))
-    # Halve the urn: the draws from either half are hypergeometric in their turn.
-    g1, b1 = good // 2, bad // 2
-    p = (g1 + b1) / (good + bad)
+    # The law's own terms by the ratios of neighbours, outwards from the mode.
     n = good + bad
-    sd = (draws * p * (1 - p) * (n - draws) / max(1, n - 1)) ** 0.5
-    first = int(round(rng.normal(draws * p, sd)))
-    first = min(max(first, draws - (n - g1 - b1), 0), draws, g1 + b1)
-    return _hypergeometric(rng, g1, b1, first) + _hypergeometric(rng, good - g1, bad - b1, draws - first)
+    mode = (draws + 1) * (good + 1) // (n + 2)
+    reach = REACH * (int((draws * (good / n) * (bad / n) * ((n - draws) / (n - 1))) ** 0.5) + 2)
+    low, high = max(0, draws - bad, mode - reach), min(draws, good, mode + reach)
+    k = np.arange(low, high, dtype=np.float64)
+    step = np.log(good - k) + np.log(draws - k) - np.log(k + 1) - np.log(bad - draws + k + 1)
+    logs = np.concatenate(([0.0], np.cumsum(step)))
+    mass = np.cumsum(np.exp(logs - logs.max()))
+    return low + int(np.searchsorted(mass, rng.random() * mass[-1], "right"))
 
 
 def shuffle(
@@ -80,16 +87,18 @@ def shuffle(
     """``df`` with ``shard`` (0 to shards-1) and ``slot`` (0, 1, ... in each shard): a uniform shuffle
     into shards whose row counts differ by at most one.
 
-    ``key`` names the columns that tell rows apart.  Rows with equal keys are dealt into one block;
-    if single keys may be very frequent, name more columns.
+    ``key`` names columns that the order depends on, beside the rows' numbers.
     """
     spark = df.sparkSession
     df = df.drop("shard", "slot")
+    row = fresh(df, "_row")
+    df = written(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    key = [*key, row]
     block, cell, order, rank, ends_, shard_, cell_, before_ = (
         fresh(df, c) for c in ("_block", "_cell", "_order", "_rank", "_ends", "_in_shard", "_in_cell", "_before")
     )
 
-    def rnd(salt: str) -> F.Column:
+    def rnd(salt: str) -> Column:
         return F.xxhash64(F.lit(seed), F.lit(salt), *key)
 
     placed = df.withColumn(block, F.pmod(rnd("block"), F.lit(blocks)).cast("int"))
@@ -126,5 +135,5 @@ def shuffle(
         spread.withColumn(rank, inside)
         .join(F.broadcast(before), (F.col("shard") == F.col(shard_)) & (F.col(cell) == F.col(cell_)))
         .withColumn("slot", (F.col(before_) + F.col(rank)).cast("long"))
-        .drop(order, cell, rank, shard_, cell_, before_)
+        .drop(order, cell, rank, shard_, cell_, before_, row)
     )

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_path, small_batches, written
+from .common import partitions, shared_path, small_batches, written
 
 #: Smallest payload that is stored once for all its copies.
 REVISIT_BYTES = 1000
@@ -366,8 +366,9 @@ def read_packages(packages: DataFrame, *, range_bytes: int = RANGE_BYTES) -> Dat
                     [pa.array([r[f] for r in rows], t) for f, t in zip(RECORD.names, kinds)], names=RECORD.names
                 )
 
-    spread = packages.select("package").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "package")
-    ranges = spread.mapInArrow(locate, _INDEX_ROW).repartition(F.col("package"), F.col("start"))
+    # The rows of both tables are few but stand for many bytes: their tasks are not to be merged by size.
+    spread = packages.select("package").repartition(partitions(spark), "package")
+    ranges = spread.mapInArrow(locate, _INDEX_ROW).repartition(4 * partitions(spark), "package", "start")
     return ranges.mapInArrow(fetch, RECORD)
 
 

@@ -27,13 +27,13 @@ def documents(spark, texts):
     return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
 
 
-@pytest.mark.parametrize(("chunk", "overlap"), [(64, 16), (200, 40), (1 << 16, 1 << 10)])
-def test_bpe_equals_the_library(spark, library, chunk, overlap):
+@pytest.mark.parametrize(("chunk", "overlap", "parallel"), [(64, 16, 120), (200, 40, 64), (bpe.CHUNK, bpe.OVERLAP, bpe.PARALLEL)])
+def test_bpe_equals_the_library(spark, library, chunk, overlap, parallel):
     rng = random.Random(chunk)
     pieces = ["word", " the", "'re", "'", "  ", "\n", "\n\n", "12", "é", "日本", ".", "...", "\t", "A", "🙂", "x" * 90, " " * 70]
     texts = ODD + ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 200))) for _ in range(60)]
     df = documents(spark, texts).unionByName(documents(spark, texts[:5])).withColumn("ids", F.lit("clash"))
-    got = bpe.decode(bpe.encode(df, RANKS, PATTERN, chunk=chunk, overlap=overlap), RANKS, PATTERN).collect()
+    got = bpe.decode(bpe.encode(df, RANKS, PATTERN, chunk=chunk, overlap=overlap, parallel=parallel, far_overlap=min(40, bpe.FAR_OVERLAP)), RANKS, PATTERN).collect()
     assert len(got) == len(texts) + 5
     for r in got:
         text = texts[r["doc_id"]] or ""
@@ -41,6 +41,16 @@ def test_bpe_equals_the_library(spark, library, chunk, overlap):
         assert bytes(r["decoded"]) == text.encode()
 
 
+def test_pieces_are_the_text(library):
+    own = bpe.vocabulary(RANKS, PATTERN)
+    rng = random.Random(12)
+    parts = ["word", " the", "'re", "'", "  ", "\n", "12", "é", ".", "\t", "🙂", "x" * 30, " " * 20]
+    for _ in range(200):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 120)))
+        pieces = own.pieces(text, 50, 20)
+        assert "".join(pieces) == text and [i for p in pieces for i in own.encode(p)] == library.encode_ordinary(text)
+
+
 def test_bpe_of_nothing(spark):
     assert bpe.encode(documents(spark, []), RANKS, PATTERN).count() == 0
 
@@ -158,6 +168,68 @@ def test_html_without_article_and_long_page(spark):
     assert text == " ".join(["word"] * 20000)
 
 
+WORDS = "alpha bravo charlie delta echo foxtrot golf hotel india juliet".split()
+
+
+def article(rng, kind="article", inserts=True):
+    """A page and its main text; ``kind`` is the element around the article."""
+    say = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    blocks = [say(rng.randint(2, 9)), *(say(rng.randint(20, 80)) for _ in range(rng.randint(2, 6)))]
+    body = f"<h1>{blocks[0]}</h1>"
+    for i, b in enumerate(blocks[1:]):
+        body += f"<p>{b}</p>"
+        if inserts and rng.random() < 0.5:
+            body += rng.choice(['<div class="ad">{}</div>', "<aside>{}</aside>", '<form><p>{}</p></form>', '<div class="social-share">{}</div>']).format(say(rng.randint(5, 60)))
+    tail = f'<section class="comments"><h2>{say(2)}</h2>' + "".join(f"<p>{say(25)}</p>" for _ in range(rng.randint(0, 6))) + "</section>"
+    menu = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in WORDS[: rng.randint(3, 9)])
+    teasers = "".join(f"<div><a href=x>{say(4)}</a> <span>{say(3)}</span></div>" for _ in range(rng.randint(1, 5)))
+    page = f"<html><head><title>{say(5)}</title></head><body><nav><ul>{menu}</ul></nav><{kind}>{body}{tail if inserts else ''}</{kind}><div>{teasers}</div><footer>{say(9)}</footer></body></html>"
+    return page, " ".join(blocks)
+
+
+def test_the_scan_finds_the_region(spark):
+    rng = random.Random(3)
+    labelled = [article(rng) for _ in range(60)]
+    scores = html_extract.fit(spark.createDataFrame([(i, p) for i, (p, _) in enumerate(labelled)], "page_id long, html string"))
+    for kind in ("article", "div", "td"):
+        pages = [article(rng, kind) for _ in range(60)]
+        right = [html_extract.main_text(p, scores) == t for p, t in pages]
+        assert sum(right) >= 0.95 * len(right), (kind, sum(right))
+    # Without the scan the text outside the article would stay.
+    page, text = article(rng, "div")
+    found, _ = html_extract.pieces(page, scores.hints)
+    everything = " ".join(" ".join(p.text.split()) for p in found if p.text.strip() and not p.place[0])
+    assert everything != text
+
+
+def test_names_of_boilerplate_are_learned(spark):
+    rng = random.Random(5)
+    pages = [(i, article(rng)[0].replace("<footer>", '<div class="zugabe">' + "mehr " * 12 + "</div><footer>")) for i in range(20)]
+    scores = html_extract.fit(spark.createDataFrame(pages, "page_id long, html string"))
+    assert "zugabe" in scores.hints and "zugabe" not in html_extract.Scores().hints
+    # Ids of headings and sections in an article say what they are about.
+    page = '<article><h2 id="related-work">Related work</h2><section id="discussion"><p>one two three</p></section><figcaption>Four</figcaption></article>'
+    assert html_extract.main_text(page, scores) == "Related work one two three Four"
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        assert html_extract.main_text("<div class=a>" * n + "word " * 20 + "</div>" * n + "</p>" * n, html_extract.Scores()).split() == ["word"] * 20
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(40_000) < 30 * max(took(4000), 0.005)
+
+
+def test_repeated_pages_and_large_inserts():
+    for words in (5, 200):
+        page = f"<article><p>{'one ' * 50}</p><div class=advert>{'buy ' * words}</div><p>{'two ' * 80}</p></article>"
+        assert html_extract.main_text(page, html_extract.Scores()) == " ".join(["one"] * 50 + ["two"] * 80)
+
+
 LANGS = {"xx": "kla bru tof zim", "yy": "éla öru üof ñim", "zz": "qua wex vyp jud", "uu": "abab cdcd efef ghgh", "vv": "mnop opmn pnmo nmop", "ww": "rst tsr srt str"}
 
 
@@ -185,6 +257,39 @@ def test_language_edges(spark):
     assert langid.predict(odd.limit(0), model).count() == 0
 
 
+def test_repeated_rows_and_many_labels(spark, monkeypatch):
+    df = corpus(spark, ["xx", "zz"])
+    seen = []
+    kept = langid.map_rows
+
+    def counted(rows, schema, fn):
+        seen.append(rows.count())
+        return kept(rows, schema, fn)
+
+    monkeypatch.setattr(langid, "map_rows", counted)
+    model = langid.fit(df.unionByName(df.where("doc_id < 4").crossJoin(spark.range(200)).drop("id")), per_label=30)
+    assert seen == [60] and model.labels == ["xx", "zz"]
+    # Only the most frequent labels are learned; one key may have several texts and labels.
+    monkeypatch.setattr(langid, "MAX_LABELS", 2)
+    rare = spark.createDataFrame([(1, f"rare {i}", f"l{i}") for i in range(50)] + [(1, None, "xx"), (None, "kla", "xx"), (2, "kla", None)], df.schema)
+    assert langid.fit(df.unionByName(rare)).labels == ["xx", "zz"]
+
+
+def test_language_equals_brute_force(spark):
+    """The query's rows by one profile and one decoding a document."""
+    df = corpus(spark, [*LANGS][:4])
+    model = langid.fit(df)
+    for r in langid.predict(df, model).collect():
+        best, score = model.decode(np.stack([langid.profile(r["text"])]))
+        losses = []
+        for c in range(len(model.labels)):
+            bits = np.append(langid.profile(r["text"]), 1) @ model.weights
+            losses.append(sum(t * np.log1p(np.exp(-min(30, max(-30, w * b)))) for t, w, b in zip(model.trust[c], model.code[c], bits)))
+        low = sorted(losses)
+        assert r["lang_pred"] == model.labels[int(np.argmin(losses))] == model.labels[best[0]]
+        assert r["score"] == pytest.approx((low[1] - low[0]) / (low[0] + low[1]), abs=1e-4) == pytest.approx(score[0], abs=1e-4)
+
+
 def test_codewords_differ():
     for n in (2, 3, 5, 6, 20):
         code = langid.codewords(n)
@@ -208,6 +313,41 @@ def test_quality(spark):
     assert quality.fit(docs, labels.limit(0), ["quality"])[0].prior == 0.5
 
 
+def test_quality_of_repeated_keys(spark, monkeypatch):
+    rows = [(i, f"text {i}", "en", "s") for i in range(20)] + [(3, f"other {i}", "en", "s") for i in range(500)] + [(None, "x", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("label", F.lit("clash")).withColumn("row", F.lit(1))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(3, 1)] * 50 + [(99, 1), (None, 1), (5, None)], "doc_id long, quality int")
+    seen = []
+    kept = quality._views
+
+    def counted(found):
+        out = kept(found)
+        seen.append(len(out[0]))
+        return out
+
+    monkeypatch.setattr(quality, "_views", counted)
+    scorer = quality.fit(docs, labels, ["quality"])
+    assert seen == [20]
+    got = quality.score(docs, scorer).collect()
+    assert len(got) == len(rows) and all(0 <= x <= 1 for r in got for v in r["scores"] for x in v)
+
+
+def test_quality_equals_brute_force(spark):
+    """The scores of single documents by plain arithmetic on the fitted weights."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["up", "down", "$$$", "9"]) for _ in range(30)) + (" bad" * 9 if i % 2 else ""), "en", f"s{i % 3}") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    (scorer,) = quality.fit(docs, spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id long, quality int"), ["quality"])
+    squash = lambda z: 1 / (1 + np.exp(-z))
+    for r in quality.score(docs, [scorer]).collect():
+        _, text, lang, source = rows[r["doc_id"]]
+        x, m = quality.text_view(text), quality.meta_view(source, lang, len(text))
+        own = [float(np.append(v, 1) @ w[:, 0]) for v, w in ((x, scorer.text), (m, scorer.meta))]
+        calibrated = [z * a + b for z, (a, b) in zip(own, scorer.platt)]
+        both = float(np.append(calibrated, 1) @ scorer.mixed[:, 0])
+        assert list(r["scores"][0]) == pytest.approx([squash(calibrated[0]), squash(calibrated[1]), squash(both)], abs=1e-4)
+
+
 def test_every_document_is_in_a_pool(spark, monkeypatch):
     rng = random.Random(4)
     words = lambda: " ".join(rng.choice(["river", "stone", "under"]) for _ in range(20))
