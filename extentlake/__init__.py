@@ -1 +1 @@
-"""A PySpark engine for content-addressed backup repositories."""
+"""A PySpark engine for content-addressed file repositories."""

@@ -93,6 +93,16 @@ def target_path(pattern: str, now: datetime) -> str:
     return filled.replace("\\[", "[").replace("\\]", "]")
 
 
+def target_paths(pattern: str, time: Column) -> Column:
+    """``target_path`` with the date of each row; any letters that Spark's date patterns know may stand in the brackets."""
+    parts, at = [], 0
+    for m in re.finditer(r"(?<!\\)\[([^\]]*?)(?<!\\)\]", pattern):
+        parts += [F.lit(pattern[at : m.start()]), F.date_format(time, m[1])]
+        at = m.end()
+    plain = F.concat(*parts, F.lit(pattern[at:]))
+    return F.replace(F.replace(plain, F.lit("\\["), F.lit("[")), F.lit("\\]"), F.lit("]"))
+
+
 @dataclass(frozen=True)
 class Target:
     """A target path and what may be there: elements that may be created, and whether it must be new."""

@@ -77,11 +77,6 @@ def non_zero(millis: Column) -> Column:
     return F.when(millis == 0, F.lit(1)).otherwise(millis).cast("long")
 
 
-def path_elements(path: Column) -> Column:
-    """The non-empty elements of a path."""
-    return F.filter(F.split(path, "/"), lambda x: x != "")
-
-
 def valid_name(name: Column) -> Column:
     return (name != "") & ~name.rlike(FORBIDDEN_IN_NAMES) & (F.length(name) <= NAME_LIMIT)
 

@@ -103,18 +103,23 @@ def file_pieces(placed: DataFrame, size: int = FILE_BYTES) -> DataFrame:
     )
 
 
-def to_areas(chunks: DataFrame, areas: DataFrame, width: int = FILE_BYTES) -> DataFrame:
+def to_areas(chunks: DataFrame, areas: DataFrame) -> DataFrame:
     """Where the bytes of contents (id, pos, bytes) go in their reserved areas (id, seq, start, stop): (id, start, bytes)."""
     order = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     axis = areas.withColumn("r_stop", F.sum(F.col("stop") - F.col("start")).over(order)).withColumn("r_start", F.col("r_stop") - (F.col("stop") - F.col("start")))
-    data = chunks.select("id", F.col("pos").alias("l_start"), (F.col("pos") + F.octet_length("bytes")).alias("l_stop"), "bytes")
-    met = overlap_join(data, axis.select("id", "r_start", "r_stop", "start"), ["id"], width)
+    data = chunks.select("id", F.col("pos").alias("l_start"), (F.col("pos") + F.octet_length("bytes")).alias("l_stop"))
+    # Only places are joined by overlap; the bytes come last.
+    met = overlap_join(data, axis.select("id", "r_start", "r_stop", "start"), ["id"])
     lo, hi = F.greatest("l_start", "r_start"), F.least("l_stop", "r_stop")
-    return met.select(
-        "id",
+    cut = met.select(
+        F.col("id").alias("_id"),
+        F.col("l_start").alias("_pos"),
         (F.col("start") + lo - F.col("r_start")).alias("start"),
-        F.substring(F.col("bytes"), (lo - F.col("l_start") + 1).cast("int"), (hi - lo).cast("int")).alias("bytes"),
+        (lo - F.col("l_start") + 1).cast("int").alias("_at"),
+        (hi - lo).cast("int").alias("_n"),
     )
+    joined = chunks.join(cut, (F.col("id") == F.col("_id")) & (F.col("pos") == F.col("_pos")))
+    return joined.select("id", "start", F.substring(F.col("bytes"), F.col("_at"), F.col("_n")).alias("bytes"))
 
 
 def unfitting(chunks: DataFrame, areas: DataFrame) -> DataFrame:
@@ -125,9 +130,9 @@ def unfitting(chunks: DataFrame, areas: DataFrame) -> DataFrame:
     return both.where("data_bytes <> area_bytes")
 
 
-def read_contents(parts: DataFrame, store: DataFrame, width: int = FILE_BYTES) -> DataFrame:
+def read_contents(parts: DataFrame, store: DataFrame) -> DataFrame:
     """(id, pos, bytes): the bytes of contents' parts (id, seq, start, stop) from a store (start, bytes), in pieces.  What the
-    store has not is missing here, and zeros when put together by ``assemble``.  If the store says whose bytes it has (id),
+    store has not is missing here; ``filled`` puts zeros in its place.  If the store says whose bytes it has (id),
     only a content's own count: space that was given out again may still hold older ones."""
     order = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     size = F.col("stop") - F.col("start")
@@ -135,18 +140,41 @@ def read_contents(parts: DataFrame, store: DataFrame, width: int = FILE_BYTES) -
         "id", F.col("start").alias("l_start"), F.col("stop").alias("l_stop"), (F.col("_upto") - size).alias("_pos")
     )
     own = ["id"] if "id" in store.columns else []
-    held = store.select(*own, F.col("start").alias("r_start"), (F.col("start") + F.octet_length("bytes")).alias("r_stop"), "bytes")
-    met = overlap_join(wanted, held, own, width)
+    held = store.select(*own, F.col("start").alias("r_start"), (F.col("start") + F.octet_length("bytes")).alias("r_stop"))
+    # Only places are joined by overlap; the bytes come last.
+    met = overlap_join(wanted, held, own)
     lo, hi = F.greatest("l_start", "r_start"), F.least("l_stop", "r_stop")
-    return met.select(
+    cut = met.select(
         "id",
         (F.col("_pos") + lo - F.col("l_start")).alias("pos"),
-        F.substring(F.col("bytes"), (lo - F.col("r_start") + 1).cast("int"), (hi - lo).cast("int")).alias("bytes"),
+        F.col("r_start").alias("_start"),
+        (lo - F.col("r_start") + 1).cast("int").alias("_at"),
+        (hi - lo).cast("int").alias("_n"),
     )
+    pieces = store.select(*(F.col(c).alias(f"_own_{c}") for c in own), F.col("start").alias("_held"), "bytes")
+    same = F.col("_start") == F.col("_held")
+    for c in own:
+        same = same & (F.col(c) == F.col(f"_own_{c}"))
+    return cut.join(pieces, same).select("id", "pos", F.substring(F.col("bytes"), F.col("_at"), F.col("_n")).alias("bytes"))
+
+
+def filled(pieces: DataFrame, lengths: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
+    """(id, pos, bytes): non-overlapping pieces of the contents in (id, length), with chunks of zeros where they have none, so
+    that all of a content is there in pieces, however long it is."""
+    spans = pieces.select("id", F.col("pos").alias("start"), (F.col("pos") + F.octet_length("bytes")).alias("stop"))
+    order = Window.partitionBy("id").orderBy("start")
+    before = spans.select("id", F.coalesce(F.lag("stop").over(order), F.lit(0)).cast("long").alias("begin"), F.col("start").alias("end"))
+    ends = spans.groupBy("id").agg(F.max("stop").alias("_last"))
+    behind = lengths.join(ends, "id", "left").select("id", F.coalesce("_last", F.lit(0)).cast("long").alias("begin"), F.col("length").alias("end"))
+    empty = before.unionByName(behind).where("end > begin")
+    cut = empty.select("id", "end", F.explode(F.sequence("begin", F.col("end") - 1, F.lit(size).cast("long"))).alias("pos"))
+    zeros = F.unhex(F.repeat(F.lit("00"), F.least(F.lit(size), F.col("end") - F.col("pos")).cast("int")))
+    return pieces.select("id", "pos", "bytes").unionByName(cut.select("id", "pos", zeros.alias("bytes")))
 
 
 def assemble(pieces: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(id, data): contents of (id, length) put together from non-overlapping (id, pos, bytes), zeros between."""
+    """(id, data): contents of (id, length) put together from non-overlapping (id, pos, bytes), zeros between.  A content is one
+    cell, so this is for those of less than 2 GiB; ``filled`` and ``export.write_files`` are for all."""
     gathered = pieces.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "bytes"))).alias("_p"))
     zeros = lambda n: F.unhex(F.repeat(F.lit("00"), n.cast("int")))
     joined = lengths.join(gathered, "id", "left")

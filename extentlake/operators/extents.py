@@ -6,23 +6,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from ..model import FILE_BYTES, MAX_POSITION
-from ..sources.storage import written
+from ..model import MAX_POSITION
 
-#: Ranges of an ordering key that prefix sums are computed in; their totals are summed in one small window.
-RANGES = 4096
+#: Quantiles of an ordering key that bound the ranges in which prefix sums are computed, and parts of equal width of each.
+QUANTILES, PARTS = 128, 32
+#: Interval lengths of one level of an overlap join are up to 2^LEVEL_BITS apart.
+LEVEL_BITS = 4
 
 
-def prefix_axis(df: DataFrame, order: str, size: str, begin: str = "axis_from", end: str = "axis_to", ranges: int = RANGES) -> DataFrame:
+def _ranged(df: DataFrame, order: str, quantiles: int = QUANTILES) -> DataFrame:
+    """``df`` with ``_range``, which rises with the integer column ``order``: quantiles of it, so that an outlier does not put
+    all rows into one range, each cut into parts of equal width."""
+    shares = [i / quantiles for i in range(quantiles + 1)]
+    bounds = df.agg(F.coalesce(F.percentile_approx(order, shares, 100 * quantiles), F.array()).alias("q")).scalar()
+    placed = df.withColumn("_b", F.array_distinct(bounds.cast("array<bigint>")))
+    # The optimizer may compute this for rows that a join drops later, so it must not fail outside the bounds.
+    at = F.size(F.filter("_b", lambda x: x <= F.col(order)))
+    low, high = F.get("_b", at - 1), F.get("_b", at)
+    part = F.coalesce(F.expr(f"try_divide(try_subtract(cast({order} as decimal(38,0)), _low) * {PARTS}, try_subtract(cast(_high as decimal(38,0)), _low))"), F.lit(0))
+    numbered = placed.withColumn("_at", at).withColumn("_low", low).withColumn("_high", high)
+    inside = F.greatest(F.lit(0), F.least(F.lit(PARTS - 1), F.floor(part))).cast("long")
+    return numbered.withColumn("_range", F.coalesce(F.col("_at") * PARTS + inside, F.lit(0).cast("long"))).drop("_b", "_at", "_low", "_high")
+
+
+def prefix_axis(df: DataFrame, order: str, size: str, begin: str = "axis_from", end: str = "axis_to", quantiles: int = QUANTILES) -> DataFrame:
     """``df`` with the running sum of ``size`` in the order of the unique integer column ``order``: each
     row covers [begin, end) of one axis.
 
-    Rows are summed inside ranges of ``order``; only the ranges' totals, at most ``ranges`` rows, meet in one task."""
-    bounds = df.agg(F.struct(F.min(order).alias("low"), F.max(order).alias("high"))).scalar()
-    placed = df.withColumn("_b", bounds)
-    # The optimizer may compute this for rows that a join drops later, so it must not fail outside the bounds.
-    at = f"try_subtract({order}, _b.low) div (try_subtract(_b.high, _b.low) div {ranges} + 1)"
-    placed = placed.withColumn("_range", F.expr(f"coalesce(greatest(0L, least({ranges}L, {at})), 0L)")).drop("_b")
+    Rows are summed inside ranges of ``order``; only the ranges' totals, a bounded number, meet in one task."""
+    placed = _ranged(df, order, quantiles)
     totals = placed.groupBy("_range").agg(F.sum(size).alias("_total"))
     before = totals.select(
         F.col("_range").alias("_r"),
@@ -38,22 +50,44 @@ def prefix_axis(df: DataFrame, order: str, size: str, begin: str = "axis_from",
     )
 
 
-def overlap_join(left: DataFrame, right: DataFrame, on: list[str], width: int, how: str = "inner") -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Pairs of rows with equal ``on`` columns whose [l_start, l_stop) and [r_start, r_stop) overlap.
 
-    Both sides are laid into bins of ``width`` and joined on the bin; a pair is kept in the first bin that
-    both are in, so it appears once."""
-
-    def binned(df: DataFrame, s: str) -> DataFrame:
-        first, last = F.expr(f"{s}_start div {width}"), F.expr(f"({s}_stop - 1) div {width}")
-        rows = df.where(F.col(f"{s}_stop") > F.col(f"{s}_start")).withColumn(f"_{s}_first", first)
-        return rows.withColumn("_bin", F.explode(F.sequence(first, last)))
-
-    l, r = binned(left, "l"), binned(right, "r")
-    joined = l.join(r, [*on, "_bin"])
+    An interval has a level by its length, at which it lies in two bins at most.  A pair meets at the higher of both levels, in the
+    first bin that both are in there.  So an interval is laid into few bins however long it is: those of its own level, and
+    those of the higher levels that the other side has."""
+
+    def levelled(df: DataFrame, s: str) -> DataFrame:
+        rows = df.where(F.col(f"{s}_stop") > F.col(f"{s}_start"))
+        length = F.col(f"{s}_stop") - F.col(f"{s}_start")
+        # The lowest level that the length fits into.
+        level = F.when(length <= 1, F.lit(0))
+        for at in range(LEVEL_BITS, 60, LEVEL_BITS):
+            level = level.when(length <= F.lit(1 << at), F.lit(at))
+        return rows.withColumn("_level", level.otherwise(F.lit(60)))
+
+    def binned(df: DataFrame, s: str, others: DataFrame) -> tuple[DataFrame, DataFrame]:
+        first, last = (F.call_function("shiftright", c, F.col("_at")) for c in (F.col(f"{s}_start"), F.col(f"{s}_stop") - 1))
+
+        def laid(rows: DataFrame) -> DataFrame:
+            rows = rows.withColumn(f"_{s}_first", first)
+            return rows.withColumn("_bin", F.explode(F.sequence(F.col(f"_{s}_first"), last))).drop("_level")
+
+        there = others.agg(F.collect_set("_level").alias("v")).scalar()
+        higher = F.explode(F.filter("_there", lambda x: x > F.col("_level")))
+        return laid(df.withColumn("_at", F.col("_level"))), laid(df.withColumn("_there", there).withColumn("_at", higher).drop("_there"))
+
+    l, r = levelled(left, "l"), levelled(right, "r")
+    l_home, l_visit = binned(l, "l", r)
+    r_home, r_visit = binned(r, "r", l)
     met = (F.col("l_start") < F.col("r_stop")) & (F.col("r_start") < F.col("l_stop"))
     once = F.col("_bin") == F.greatest("_l_first", "_r_first")
-    return joined.where(met & once).drop("_bin", "_l_first", "_r_first")
+
+    def joined(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.join(b, [*on, "_at", "_bin"]).where(met & once).drop("_at", "_bin", "_l_first", "_r_first")
+
+    same_or_longer = joined(l_home, r_home.unionByName(r_visit))
+    return same_or_longer.unionByName(joined(l_visit, r_home).select(*same_or_longer.columns))
 
 
 def stored(extents: DataFrame) -> DataFrame:
@@ -73,17 +107,30 @@ def area_stops(extents: DataFrame) -> DataFrame:
     return e.select("stop").join(e.select(F.col("start").alias("_start")), F.col("stop") == F.col("_start"), "left_anti").distinct()
 
 
-def gaps(extents: DataFrame) -> DataFrame:
-    """The gaps (start, stop) before and between non-overlapping extents.
+def with_reach(extents: DataFrame) -> DataFrame:
+    """``extents`` that take up storage with ``reach``: the highest stop of those before in the order of start and stop, 0 for the first.
+
+    Running maxima are made inside ranges of the starts; only the ranges' own maxima meet in one task."""
+    placed = _ranged(extents.where("stop > start"), "start")
+    tops = placed.groupBy("_range").agg(F.max("stop").alias("_top"))
+    before = tops.select(F.col("_range").alias("_r"), F.max("_top").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    rest = [c for c in ("id", "seq") if c in extents.columns]
+    inside = F.max("stop").over(Window.partitionBy("_range").orderBy("start", "stop", *rest).rowsBetween(Window.unboundedPreceding, -1))
+    joined = placed.withColumn("_inside", inside).join(F.broadcast(before), F.col("_range") == F.col("_r"))
+    # The greatest of what is not null.
+    return joined.withColumn("reach", F.coalesce(F.greatest("_inside", "_before"), F.lit(0)).cast("long")).drop("_range", "_r", "_before", "_inside")
+
+
+def gaps(extents: DataFrame, checked: bool = True) -> DataFrame:
+    """The gaps (start, stop) before and between extents: an extent that starts behind all before it ends a gap.
 
-    Anti joins leave the bounds of contiguous areas; the n-th area's stop and the next one's start are matched
-    by rank, so nothing is ordered in a single task.  The bounds, few against the extents, are written once."""
-    one = F.lit(1).cast("long")
-    starts, stops = written(area_starts(extents), "starts"), written(area_stops(extents), "stops")
-    starts = prefix_axis(starts.withColumn("one", one), "start", "one", "rank", "_to").select("rank", F.col("start").alias("gap_stop"))
-    stops = prefix_axis(stops.withColumn("one", one), "stop", "one", "_from", "rank").select("rank", F.col("stop").alias("gap_start"))
-    between = starts.join(stops, "rank", "left").select(F.coalesce("gap_start", F.lit(0)).cast("long").alias("start"), F.col("gap_stop").alias("stop"))
-    return between.where("stop > start")
+    Extents must not overlap.  If they do, it is an error when ``checked``; otherwise no used space counts as free."""
+    reached = with_reach(extents)
+    if checked:
+        wrong = reached.where("start < reach").select("start", "stop", "reach").head(1)
+        if wrong:
+            raise ValueError(f"the extent [{wrong[0]['start']}, {wrong[0]['stop']}) overlaps one that ends at {wrong[0]['reach']}")
+    return reached.where("start > reach").select(F.col("reach").alias("start"), F.col("start").alias("stop"))
 
 
 def end_of_storage(extents: DataFrame) -> DataFrame:
@@ -91,24 +138,23 @@ def end_of_storage(extents: DataFrame) -> DataFrame:
     return extents.agg(F.coalesce(F.max("stop"), F.lit(0)).cast("long").alias("stop"))
 
 
-def free_areas(extents: DataFrame) -> DataFrame:
+def free_areas(extents: DataFrame, checked: bool = True) -> DataFrame:
     """The gaps and the open area behind all extents."""
     tail = end_of_storage(extents).select(F.col("stop").alias("start"), F.lit(MAX_POSITION).alias("stop"))
-    return gaps(extents).unionByName(tail)
+    return gaps(extents, checked).unionByName(tail)
 
 
 def overlapping(extents: DataFrame) -> DataFrame:
     """Extents (id, seq, start, stop) that begin before an earlier one ends, with how far those reach."""
-    reach = F.max("stop").over(Window.orderBy("start", "stop", "id", "seq").rowsBetween(Window.unboundedPreceding, -1))
-    return extents.where("stop > start").withColumn("reach", reach).where("start < reach").select("id", "seq", "start", "stop", "reach")
+    return with_reach(extents).where("start < reach").select("id", "seq", "start", "stop", "reach")
 
 
-def overlapping_pairs(extents: DataFrame, width: int = FILE_BYTES) -> DataFrame:
-    """Pairs (a, b) of extents that overlap, without ordering all extents: a binned join."""
+def overlapping_pairs(extents: DataFrame) -> DataFrame:
+    """Pairs (a, b) of extents that overlap."""
     e = extents.where("stop > start").withColumn("k", F.struct("id", "seq"))
     l = e.select(F.col("k").alias("a"), F.col("start").alias("l_start"), F.col("stop").alias("l_stop"))
     r = e.select(F.col("k").alias("b"), F.col("start").alias("r_start"), F.col("stop").alias("r_stop"))
-    return overlap_join(l, r, [], width).where("a < b")
+    return overlap_join(l, r, []).where("a < b")
 
 
 def duplicate_starts(extents: DataFrame) -> DataFrame:
@@ -116,7 +162,7 @@ def duplicate_starts(extents: DataFrame) -> DataFrame:
     return stored(extents).groupBy("start").agg(F.count("*").alias("extents")).where("extents > 1")
 
 
-def allocate(requests: DataFrame, free: DataFrame, width: int, order: str = "id") -> DataFrame:
+def allocate(requests: DataFrame, free: DataFrame, order: str = "id") -> DataFrame:
     """First-fit allocation of all requests (id, size) in the order of ``order`` from the free areas (start, stop):
     (id, seq, start, stop).
 
@@ -127,7 +173,7 @@ def allocate(requests: DataFrame, free: DataFrame, width: int, order: str = "id"
     total = requests.where("size > 0").agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long")).scalar()
     cut = free.withColumn("size", F.least(F.col("stop") - F.col("start"), total)).drop("stop")
     given = prefix_axis(cut.where("size > 0"), "start", "size", "r_start", "r_stop").drop("size").withColumnRenamed("start", "area")
-    met = overlap_join(asked, given, [], width)
+    met = overlap_join(asked, given, [])
     begin = F.col("area") + F.greatest("l_start", "r_start") - F.col("r_start")
     end = F.col("area") + F.least("l_stop", "r_stop") - F.col("r_start")
     parts = met.select("id", begin.alias("start"), end.alias("stop"))
@@ -153,12 +199,12 @@ def split_at(extents: DataFrame, width: int) -> DataFrame:
     )
 
 
-def subtract(extents: DataFrame, holes: DataFrame, on: list[str], width: int) -> DataFrame:
+def subtract(extents: DataFrame, holes: DataFrame, on: list[str]) -> DataFrame:
     """What is left of ``extents`` (unique by ``on`` and start) outside the non-overlapping ``holes``."""
     keys = [*on, "start", "stop"]
     l = extents.select(*on, F.col("start").alias("l_start"), F.col("stop").alias("l_stop"))
     r = holes.select(*on, F.col("start").alias("r_start"), F.col("stop").alias("r_stop"))
-    met = overlap_join(l, r, on, width).select(*on, F.col("l_start").alias("start"), F.col("l_stop").alias("stop"), "r_start", "r_stop")
+    met = overlap_join(l, r, on).select(*on, F.col("l_start").alias("start"), F.col("l_stop").alias("stop"), "r_start", "r_stop")
     # Each hole ends one remnant and begins the next; the extent's own bounds are the outermost.
     order = Window.partitionBy(*keys).orderBy("r_start")
     before = met.withColumn("_from", F.coalesce(F.lag("r_stop").over(order), F.col("start"))).select(*on, F.col("_from").alias("start"), F.col("r_start").alias("stop"))
@@ -208,13 +254,15 @@ def read_window(parts: DataFrame, offset: int, size: int) -> DataFrame:
 
 
 def holes_in_window(extents: DataFrame, on: list[str], begin: int, end: int) -> DataFrame:
-    """A read of [begin, end): data and holes in order, (on, start, stop, is_hole).  Extents do not overlap; keys
-    without any extent in the window have no rows."""
+    """A read of [begin, end): data and holes in order, (on, start, stop, is_hole).  Extents do not overlap; a key
+    without any extent in the window has one hole."""
     data = extents.where((F.col("start") < end) & (F.col("stop") > begin)).select(
         *on, F.greatest("start", F.lit(begin)).cast("long").alias("start"), F.least("stop", F.lit(end)).cast("long").alias("stop")
     )
     order = Window.partitionBy(*on).orderBy("start")
     left = data.select(*on, F.coalesce(F.lag("stop").over(order), F.lit(begin)).cast("long").alias("_s"), F.col("start").alias("stop")).withColumnRenamed("_s", "start")
-    right = data.groupBy(*on).agg(F.max("stop").alias("start")).withColumn("stop", F.lit(end).cast("long"))
+    # Behind the last extent in the window; of keys without one, the whole window.
+    seen = F.max(F.when((F.col("start") < end) & (F.col("stop") > begin), F.least("stop", F.lit(end))))
+    right = extents.groupBy(*on).agg(F.coalesce(seen, F.lit(begin)).cast("long").alias("start")).withColumn("stop", F.lit(end).cast("long"))
     holes = left.unionByName(right).where("stop > start").withColumn("is_hole", F.lit(True))
     return data.withColumn("is_hole", F.lit(False)).unionByName(holes)

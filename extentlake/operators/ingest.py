@@ -1,4 +1,4 @@
-"""Backup planning: matching against a reference, the action for each file, references and ignore files."""
+"""Ingest planning: matching against a reference, the action for each file, references and ignore files."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from ..model import is_dir, is_live
 from .tree import ROOT
 
 
-def backup_plan(source: DataFrame, target: DataFrame, reference: DataFrame) -> DataFrame:
+def ingest_plan(source: DataFrame, target: DataFrame, reference: DataFrame) -> DataFrame:
     """``source`` files (path, time, size) with ``action`` and the reference's ``dataId`` where it is used.
 
     A reference file (path, id, time, size, dataId) of the same path, time and size stands for the source, whose bytes then need
@@ -61,6 +61,6 @@ def latest_per_parent(entries: DataFrame, glob: str) -> DataFrame:
     return dirs.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("parentId", "id", "name")
 
 
-def apply_plan(plan: DataFrame, hashed: DataFrame) -> DataFrame:
-    """What must still be read: the planned files that no reference stands for, with their digests (path, hash, length)."""
-    return plan.where("dataId IS NULL").join(hashed, "path", "left")
+def unread(plan: DataFrame) -> DataFrame:
+    """The planned files whose bytes must be read: those that no reference stands for."""
+    return plan.where("dataId IS NULL")

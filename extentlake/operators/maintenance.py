@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import is_dir, is_live
+from ..model import is_dir, is_live, non_zero
 from ..sources.storage import written
+from .extents import with_reach
 from .tree import MAX_DEPTH, ROOT, descend, paths, subtree
 
 DAY_MILLIS = 24 * 60 * 60 * 1000
@@ -31,6 +32,14 @@ def stats(entries: DataFrame, contents: DataFrame) -> DataFrame:
     return tree.select("*", one).join(data.select("*", one), "_one").drop("_one")
 
 
+def report(entries: DataFrame, contents: DataFrame) -> DataFrame:
+    """``stats`` with the number and the bytes of the gaps before the end of the storage."""
+    free = with_reach(contents).where("start > reach")
+    totals = free.agg(F.count("*").alias("gaps"), F.coalesce(F.sum(F.col("start") - F.col("reach")), F.lit(0)).cast("long").alias("free_bytes"))
+    one = F.lit(1).alias("_one")
+    return stats(entries, contents).select("*", one).join(totals.select("*", one), "_one").drop("_one")
+
+
 def deletable(entries: DataFrame) -> DataFrame:
     """Ids of live entries, but the root, without live children."""
     live = entries.where(is_live())
@@ -42,7 +51,7 @@ def mark_deleted(entries: DataFrame, gone: DataFrame, now_ms: int) -> DataFrame:
     """``entries`` with those of ``gone`` (id) marked deleted, if they are live."""
     marks = gone.select(F.col("id").alias("_id")).distinct()
     hit = F.col("_id").isNotNull() & is_live()
-    return entries.join(marks, F.col("id") == F.col("_id"), "left").withColumn("deleted", F.when(hit, F.lit(now_ms or 1)).otherwise(F.col("deleted"))).drop("_id")
+    return entries.join(marks, F.col("id") == F.col("_id"), "left").withColumn("deleted", F.when(hit, non_zero(F.lit(now_ms))).otherwise(F.col("deleted"))).drop("_id")
 
 
 def delete_recursively(entries: DataFrame, tops: DataFrame, now_ms: int) -> DataFrame:

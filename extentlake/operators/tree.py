@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
@@ -14,30 +16,47 @@ MAX_DEPTH = 4096
 ROOT = 0
 
 
+def _levels(start: DataFrame, children: DataFrame, step: Column, carried: list[str], max_depth: int) -> tuple[list[DataFrame], DataFrame]:
+    """The rows reachable from ``start`` that have children themselves, by level, and the others.
+
+    The narrow children are written once.  Only those that are parents are walked level by level, and each level is written, so
+    plans stay small however deep the tree is; all other children, by far the most, follow in one join."""
+    kids = written(children.where("id <> parentId").select(F.col("id").alias("_id"), F.col("parentId").alias("_parent"), F.col("name").alias("_c")), "children")
+    parents = kids.select(F.col("_parent").alias("_q")).distinct()
+    inner = written(kids.join(parents, F.col("_id") == F.col("_q"), "left_semi"), "parents")
+    leaves = kids.join(parents, F.col("_id") == F.col("_q"), "left_anti")
+
+    def below(level: DataFrame, of: DataFrame) -> DataFrame:
+        met = of.join(level, F.col("_parent") == F.col("id")).withColumn("_p", F.col(carried[0]))
+        return met.select(F.col("_id").alias("id"), step.alias(carried[0]), *(F.col(c) for c in carried[1:]))
+
+    found = [written(start.select("id", *carried), "level")]
+    while not (level := written(below(found[-1], inner), "level")).isEmpty():
+        if len(found) > max_depth:
+            raise ValueError(f"the tree is deeper than {max_depth} levels or its parent links have a cycle")
+        found.append(level)
+    return found, below(reduce(DataFrame.unionByName, found), leaves)
+
+
 def descend(start: DataFrame, children: DataFrame, step: Column, carried: list[str], max_depth: int = MAX_DEPTH) -> DataFrame:
-    """All rows reachable from ``start`` (id, carried columns) over ``children`` (id, parentId, ...), level by level.
+    """All rows reachable from ``start`` (id, carried columns) over ``children`` (id, parentId, ...).
 
     ``step`` makes the first carried column of a child from ``_c`` (the child's name) and ``_p`` (its parent's value);
-    the others pass down.  Each level is written once, so plans stay small however deep the tree is."""
-    level = written(start.select("id", *carried), "level")
-    found = level
-    kids = children.select(F.col("id").alias("_id"), F.col("parentId").alias("_parent"), F.col("name").alias("_c")).where("_id <> _parent")
-    for _ in range(max_depth):
-        below = level.join(kids, F.col("id") == F.col("_parent")).withColumn("_p", F.col(carried[0]))
-        level = written(
-            below.select(F.col("_id").alias("id"), step.alias(carried[0]), *(F.col(c) for c in carried[1:])), "level"
-        )
-        if level.isEmpty():
-            return found
-        found = found.unionByName(level)
-    raise ValueError(f"the tree is deeper than {max_depth} levels or its parent links have a cycle")
-
-
-def paths(entries: DataFrame) -> DataFrame:
-    """Live entries that have only live ancestors, with ``path``; directories end with a slash, the root is ``/``."""
+    the others pass down."""
+    found, rest = _levels(start, children, step, carried, max_depth)
+    return reduce(DataFrame.unionByName, [*found, rest])
+
+
+def paths(entries: DataFrame, broken: bool = False) -> DataFrame:
+    """Live entries that have only live ancestors, with ``path``; directories end with a slash, the root is ``/``.
+    With ``broken`` also those below a parent that is missing or deleted; their paths begin with ``[not found]/``."""
     live = entries.where(is_live())
-    root = live.where(F.col("id") == ROOT).select("id", F.lit("/").alias("path"))
-    found = descend(root, live, F.concat("_p", "_c", F.lit("/")), ["path"])
+    start = live.where(F.col("id") == ROOT).select("id", F.lit("/").alias("path"))
+    if broken:
+        there = live.select(F.col("id").alias("_q"))
+        lost = live.where(F.col("id") != ROOT).join(there, F.col("parentId") == F.col("_q"), "left_anti")
+        start = start.unionByName(lost.select("id", F.concat(F.lit("[not found]/"), "name", F.lit("/")).alias("path")))
+    found = descend(start, live, F.concat("_p", "_c", F.lit("/")), ["path"])
     named = found.withColumnRenamed("id", "_id").join(live, F.col("_id") == F.col("id")).drop("_id")
     return named.withColumn("path", F.when(is_dir(), F.col("path")).otherwise(F.expr("substring(path, 1, length(path) - 1)")))
 
@@ -73,6 +92,12 @@ def resolve(entries: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.withColumn("_want", norm).join(known, F.col("_want") == F.col("_norm"), "left").drop("_want", "_norm")
 
 
+def entries_for_content(entries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Live entries that refer to the contents of ``wanted`` (id)."""
+    asked = wanted.select(F.col("id").alias("_d")).distinct()
+    return entries.where(is_live()).join(asked, F.col("dataId") == F.col("_d"), "left_semi")
+
+
 def logical_sizes(contents: DataFrame) -> DataFrame:
     """(dataId, size): the length kept on the first part."""
     return contents.where("seq = 1").select(F.col("id").alias("dataId"), F.coalesce("length", F.lit(0)).cast("long").alias("size"))
@@ -100,14 +125,34 @@ def page(listed: DataFrame, offset: int, count: int) -> DataFrame:
 
 def subtree_stats(entries: DataFrame, contents: DataFrame) -> DataFrame:
     """For every live directory: files, dirs (itself not counted) and bytes below it.  Files that share a content
-    count it each."""
-    sized = with_sizes(entries.where(is_live()), contents).select(F.col("id").alias("_id"), is_dir().alias("d"), F.coalesce("size", F.lit(0)).alias("size"))
-    below = ancestors(entries).join(sized, F.col("id") == F.col("_id"))
-    return below.groupBy(F.col("ancestor").alias("id")).agg(
-        F.count(F.when(~F.col("d"), 1)).alias("files"),
-        F.count(F.when(F.col("d") & (F.col("depth") > 0), 1)).alias("dirs"),
-        F.sum("size").cast("long").alias("bytes"),
-    )
+    count it each.
+
+    Files are summed by directory; the sums then go up from the deepest level, one row a directory."""
+    live = entries.where(is_live())
+    sums = ("files", "dirs", "bytes")
+    sized = with_sizes(live.where(~is_dir()), contents)
+    own = sized.groupBy(F.col("parentId").alias("_up")).agg(F.count("*").alias("_files"), F.sum("size").cast("long").alias("_bytes"))
+    dirs = live.where(is_dir()).select("id", "parentId", "name")
+    known = dirs.select(F.col("id").alias("_d"))
+    # The root, and directories below what is not a live directory, are tops.
+    top = (F.col("id") == F.col("parentId")) | F.col("_d").isNull()
+    tops = dirs.join(known, F.col("parentId") == F.col("_d"), "left").where(top).select("id", F.lit(0).alias("depth"))
+    placed = descend(tops, dirs, F.col("_p") + 1, ["depth"]).join(dirs.select(F.col("id").alias("_i"), "parentId"), F.col("id") == F.col("_i")).drop("_i")
+    own_sums = [F.coalesce(c, F.lit(0)).cast("long").alias(c[1:]) for c in ("_files", "_bytes")]
+    nodes = written(placed.join(own, F.col("id") == F.col("_up"), "left").select("id", "parentId", "depth", own_sums[0], F.lit(0).cast("long").alias("dirs"), own_sums[1]), "nodes")
+    deepest = nodes.agg(F.coalesce(F.max("depth"), F.lit(0)).alias("n")).first()["n"]
+    done: list[DataFrame] = []
+    for depth in range(deepest, -1, -1):
+        level = nodes.where(F.col("depth") == depth)
+        if done:
+            up = done[-1].groupBy(F.col("parentId").alias("_up")).agg(
+                F.sum("files").alias("_files"), (F.sum("dirs") + F.count("*")).alias("_dirs"), F.sum("bytes").alias("_bytes")
+            )
+            level = level.join(up, F.col("id") == F.col("_up"), "left").select(
+                "id", "parentId", *((F.col(c) + F.coalesce(f"_{c}", F.lit(0))).cast("long").alias(c) for c in sums)
+            )
+        done.append(written(level.select("id", "parentId", *sums), "level"))
+    return reduce(DataFrame.unionByName, done).select("id", *sums)
 
 
 def subtree(entries: DataFrame, tops: DataFrame) -> DataFrame:

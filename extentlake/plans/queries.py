@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixtures
 from ..fixtures import FA_SQL, FD_SQL, NOW
 from ..functions import patterns
-from ..model import address_file_column, is_dir, is_live, readable_bytes
+from ..model import address_file_column, is_dir, is_live, millis_of, non_zero, readable_bytes, seconds_nanos
 from ..operators import checks, content, edits, extents, ingest, maintenance, tree
 from ..sources.storage import shared_root, written
 from ..streaming import oplog
@@ -41,10 +41,6 @@ def oracle_sql() -> dict[str, str]:
 
 
 
-#: Bin width of overlap joins over the byte store of the fixtures.
-WIDTH = 1 << 16
-
-
 def _entries(spark: SparkSession, folder: str) -> DataFrame:
     return fixtures.tree_entries(spark, folder)
 
@@ -179,7 +175,7 @@ def area_starts_anti_join(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     FA_SQL
     + _GAPS
-    + """, r AS (SELECT doc_id AS id, n_chars AS size FROM documents WHERE doc_id % 3 = 0 AND n_chars > 0),
+    + """, r AS (SELECT doc_id AS id, n_chars AS size FROM documents WHERE n_chars > 0),
     ra AS (SELECT id, CAST(sum(size) OVER (ORDER BY id) AS BIGINT) - size AS b, CAST(sum(size) OVER (ORDER BY id) AS BIGINT) AS e FROM r),
     total AS (SELECT CAST(sum(size) AS BIGINT) AS n FROM r),
     fa AS (SELECT start, CAST(sum(size) OVER (ORDER BY start) AS BIGINT) - size AS b, CAST(sum(size) OVER (ORDER BY start) AS BIGINT) AS e
@@ -188,8 +184,8 @@ def area_starts_anti_join(spark: SparkSession, folder: str) -> DataFrame:
     FROM ra JOIN fa ON ra.b < fa.e AND fa.b < ra.e"""
 )
 def allocate_into_gaps(spark: SparkSession, folder: str) -> DataFrame:
-    requests = fixtures.read(spark, folder, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("size"))
-    return extents.allocate(requests, extents.free_areas(written(_used(spark, folder), "used")), WIDTH)
+    requests = fixtures.read(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("size"))
+    return extents.allocate(requests, extents.free_areas(written(_used(spark, folder), "used")))
 
 
 _FAULTS = """, x AS (SELECT id, seq, start, stop FROM de UNION ALL SELECT 9000000 + id, 1, start + length // 2, stop FROM de WHERE id % 50 = 1
@@ -207,7 +203,22 @@ def _faulty(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(FA_SQL + _FAULTS + "SELECT a.id AS a_id, b.id AS b_id FROM x a JOIN x b ON a.start < b.stop AND b.start < a.stop AND a.id < b.id WHERE a.stop > a.start AND b.stop > b.start")
 def overlapping_extents(spark: SparkSession, folder: str) -> DataFrame:
-    return extents.overlapping_pairs(_faulty(spark, folder), WIDTH).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
+    return extents.overlapping_pairs(_faulty(spark, folder)).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
+
+
+@query(
+    FA_SQL
+    + _USED
+    + """, x AS (SELECT id, start, stop FROM used UNION ALL SELECT 9000000 + id, start + length // 2, stop + length // 3 FROM used WHERE id % 50 = 1),
+    r AS (SELECT start, coalesce(max(stop) OVER (ORDER BY start, stop, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM x WHERE stop > start)
+    SELECT reach AS start, start AS stop FROM r WHERE start > reach UNION ALL SELECT coalesce(max(stop), 0), 9223372036854775807 FROM x"""
+)
+def faulty_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Free areas of the contents in use although injected extents overlap others: no used space is free."""
+    used = _used(spark, folder)
+    begin, end = F.col("start") + F.expr("length div 2"), F.col("stop") + F.expr("length div 3")
+    longer = used.where("id % 50 = 1").select((F.col("id") + 9_000_000).alias("id"), "seq", begin.alias("start"), end.alias("stop"))
+    return extents.free_areas(used.select("id", "seq", "start", "stop").unionByName(longer), checked=False)
 
 
 @query(FA_SQL + _FAULTS + "SELECT start, count(*) AS extents FROM x WHERE stop > start GROUP BY start HAVING count(*) > 1")
@@ -256,7 +267,7 @@ def interval_subtract(spark: SparkSession, folder: str) -> DataFrame:
     writes = _writes(spark, folder)
     low = writes.where("stop > start").groupBy("file_id").agg(F.min("start").alias("_low"))
     holes = low.select("file_id", (F.col("_low") + 3).alias("start"), (F.col("_low") + 40).alias("stop"))
-    return extents.subtract(extents.coalesce_adjacent(writes, ["file_id"]), holes, ["file_id"], 64).select("file_id", "start", "stop")
+    return extents.subtract(extents.coalesce_adjacent(writes, ["file_id"]), holes, ["file_id"]).select("file_id", "start", "stop")
 
 
 @query(FD_SQL + _WRITES + "SELECT file_id, start, least(stop, 50) AS stop FROM runs WHERE start < 50")
@@ -270,7 +281,8 @@ def interval_truncate(spark: SparkSession, folder: str) -> DataFrame:
     + """, d AS (SELECT file_id, greatest(start, 10) AS start, least(stop, 60) AS stop FROM runs WHERE start < 60 AND stop > 10)
     SELECT file_id, start, stop, false AS is_hole FROM d
     UNION ALL SELECT * FROM (SELECT file_id, coalesce(lag(stop) OVER (PARTITION BY file_id ORDER BY start), 10) AS start, start AS stop, true FROM d) WHERE stop > start
-    UNION ALL SELECT file_id, max(stop), 60, true FROM d GROUP BY file_id HAVING max(stop) < 60"""
+    UNION ALL SELECT file_id, max(stop), 60, true FROM d GROUP BY file_id HAVING max(stop) < 60
+    UNION ALL SELECT DISTINCT file_id, 10, 60, true FROM runs WHERE file_id NOT IN (SELECT file_id FROM d)"""
 )
 def interval_read(spark: SparkSession, folder: str) -> DataFrame:
     return extents.holes_in_window(extents.coalesce_adjacent(_writes(spark, folder), ["file_id"]), ["file_id"], 10, 60)
@@ -290,7 +302,7 @@ def interval_read(spark: SparkSession, folder: str) -> DataFrame:
     WHERE i.stop IS NOT NULL GROUP BY 1, 2, 3"""
 )
 def overlay_last_writer(spark: SparkSession, folder: str) -> DataFrame:
-    return oplog.overlay(_ops(spark, folder), 64)
+    return oplog.overlay(_ops(spark, folder))
 
 
 _HANDLES = """, s AS (SELECT *, sum(CASE op WHEN 'OPEN' THEN 1 WHEN 'RELEASE' THEN -1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY op_seq) AS s FROM ops),
@@ -350,13 +362,13 @@ def entry_by_id(spark: SparkSession, folder: str) -> DataFrame:
     return tree.entry(_entries(spark, folder), wanted).select("id", "parentId", "name", "time", "dataId")
 
 
-@query(FA_SQL + "SELECT id, \"parentId\", name FROM te WHERE deleted = 0 AND \"dataId\" IS NOT NULL AND id % 3 = 0")
+@query(FA_SQL + "SELECT id, \"parentId\", name FROM te WHERE deleted = 0 AND \"dataId\" IS NOT NULL")
 def child_lookup(spark: SparkSession, folder: str) -> DataFrame:
     entries = _entries(spark, folder)
     documents = entries.where(~is_dir())
-    right = documents.where("id % 3 = 0").select("parentId", "name")
+    right = documents.select("parentId", "name")
     # Names are told apart by case.
-    wrong = documents.where("id % 3 = 1").select("parentId", F.upper("name").alias("name"))
+    wrong = documents.select("parentId", F.upper("name").alias("name"))
     return tree.child(entries, right.unionByName(wrong)).select("id", "parentId", "name")
 
 
@@ -443,6 +455,19 @@ def repo_stats(spark: SparkSession, folder: str) -> DataFrame:
     return maintenance.stats(_entries(spark, folder), _contents(spark, folder))
 
 
+@query(
+    FA_SQL
+    + _GAPS
+    + """SELECT count(*) FILTER ("dataId" IS NOT NULL AND deleted = 0) AS files, count(*) FILTER ("dataId" IS NOT NULL AND deleted <> 0) AS deleted_files,
+    count(*) FILTER ("dataId" IS NULL AND deleted = 0) AS dirs, count(*) FILTER ("dataId" IS NULL AND deleted <> 0) AS deleted_dirs,
+    (SELECT count(*) FROM used) + (SELECT count(*) FROM de WHERE stop = start AND id IN (SELECT "dataId" FROM te WHERE deleted = 0)) AS contents,
+    (SELECT max(stop) FROM used) AS storage_end, (SELECT CAST(sum(stop - start) AS BIGINT) FROM used) AS live_bytes,
+    (SELECT count(*) FROM gaps) AS gaps, (SELECT CAST(coalesce(sum(stop - start), 0) AS BIGINT) FROM gaps) AS free_bytes FROM te"""
+)
+def repo_report(spark: SparkSession, folder: str) -> DataFrame:
+    return maintenance.report(_entries(spark, folder), written(_used(spark, folder), "used"))
+
+
 _SUBTREE = """, a AS (SELECT id AS ancestor, id, 0 AS depth FROM te WHERE deleted = 0 AND "dataId" IS NULL
     UNION ALL SELECT a.ancestor, te.id, a.depth + 1 FROM a JOIN te ON te."parentId" = a.id AND te.id <> te."parentId" AND te.deleted = 0)"""
 
@@ -472,11 +497,9 @@ def subtree_rollup_fixed_depth(spark: SparkSession, folder: str) -> DataFrame:
     return named.rollup("region", "nation", "customer").agg(F.sum("_n").alias("files"), F.sum("_b").alias("bytes"), F.grouping_id().alias("level"))
 
 
-@query(FA_SQL + "SELECT te.id, te.\"dataId\" FROM te WHERE deleted = 0 AND \"dataId\" IN (SELECT id FROM de WHERE id % 7 = 0)")
+@query(FA_SQL + "SELECT te.id, te.\"dataId\" FROM te WHERE deleted = 0 AND \"dataId\" IN (SELECT id FROM de)")
 def entries_for_content(spark: SparkSession, folder: str) -> DataFrame:
-    wanted = _contents(spark, folder).where("id % 7 = 0").select(F.col("id").alias("_d"))
-    live = _entries(spark, folder).where(is_live())
-    return live.join(wanted, F.col("dataId") == F.col("_d"), "left_semi").select("id", "dataId")
+    return tree.entries_for_content(_entries(spark, folder), _contents(spark, folder)).select("id", "dataId")
 
 
 @query(FA_SQL + _PARTS + "SELECT de.id, de.length AS logical, CAST(coalesce((SELECT sum(p.stop - p.start) FROM parts p WHERE p.id = de.id), 0) AS BIGINT) AS stored, hash FROM de")
@@ -590,22 +613,82 @@ def constraint_violations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _MOVES = """, m AS (SELECT id AS request, id, 101 AS "parentId", CASE WHEN id % 3 = 0 THEN 'moved_' || id ELSE 'doc_' || (id % 40) || '.txt' END AS name, "parentId" AS op, name AS "on" FROM te
-      WHERE id % 5 = 0 AND deleted = 0 AND "dataId" IS NOT NULL),
-    j AS (SELECT m.*, row_number() OVER (PARTITION BY name ORDER BY request) AS turn, EXISTS (SELECT 1 FROM te WHERE te.deleted = 0 AND te."parentId" = 101 AND te.name = m.name) AS taken FROM m)"""
+      WHERE deleted = 0 AND "dataId" IS NOT NULL),
+    j AS (SELECT m.*, row_number() OVER (PARTITION BY name ORDER BY request) AS turn FROM m)"""
 
 
-@query(FA_SQL + _MOVES + "SELECT request, CASE WHEN op = 101 AND \"on\" = name THEN 'OK' WHEN taken OR turn > 1 THEN 'EEXIST' ELSE 'OK' END AS outcome FROM j")
+@query(FA_SQL + _MOVES + "SELECT request, CASE WHEN op = 101 AND \"on\" = name THEN 'OK' WHEN turn > 1 THEN 'EEXIST' ELSE 'OK' END AS outcome FROM j")
 def rename_conflicts(spark: SparkSession, folder: str) -> DataFrame:
     entries = _entries(spark, folder)
     name = F.when(F.col("id") % 3 == 0, F.concat(F.lit("moved_"), F.col("id").cast("string"))).otherwise(
         F.concat(F.lit("doc_"), (F.col("id") % 40).cast("string"), F.lit(".txt"))
     )
-    moves = entries.where((F.col("id") % 5 == 0) & is_live() & ~is_dir()).select(
+    moves = entries.where(is_live() & ~is_dir()).select(
         F.col("id").alias("request"), "id", F.lit(101).cast("long").alias("parentId"), name.alias("name")
     )
     return edits.rename(entries, moves)[1]
 
 
+_ASKED = """, m AS (SELECT id AS request, id, CASE id % 7 WHEN 0 THEN 101 WHEN 1 THEN 999999999 WHEN 2 THEN 1000000 WHEN 3 THEN 0 ELSE "parentId" END AS np,
+      CASE id % 7 WHEN 3 THEN 'en' WHEN 4 THEN 'a/b' WHEN 5 THEN name ELSE 'to_' || id // 2 END AS nn, "parentId" AS op, name AS old, "dataId" AS data, deleted FROM te),
+    live AS (SELECT * FROM te WHERE deleted = 0)"""
+
+
+def _asked(entries: DataFrame) -> DataFrame:
+    """Requests for every entry that end in all ways: missing parents, parents that are files, bad, own, taken and free names."""
+    k, parent = F.col("id") % 7, F.col("parentId")
+    to = F.when(k == 0, F.lit(101)).when(k == 1, F.lit(999_999_999)).when(k == 2, F.lit(fixtures.FIRST_FILE)).when(k == 3, F.lit(0)).otherwise(parent)
+    name = F.when(k == 3, F.lit("en")).when(k == 4, F.lit("a/b")).when(k == 5, F.col("name")).otherwise(F.concat(F.lit("to_"), F.expr("id div 2").cast("string")))
+    return entries.select(F.col("id").alias("request"), "id", to.cast("long").alias("parentId"), name.alias("name"))
+
+
+@query(
+    FA_SQL
+    + _ASKED
+    + """, j AS (SELECT m.request, m.id, m.data, p.id AS pid, p."dataId" AS pdata, nn, np = op AND nn = old AS own, t.id AS tid, t."dataId" AS tdata,
+        EXISTS (SELECT 1 FROM live c WHERE c."parentId" = t.id AND c.id <> c."parentId") AS filled, row_number() OVER (PARTITION BY np, nn ORDER BY request) AS turn
+      FROM m LEFT JOIN live p ON m.np = p.id LEFT JOIN live t ON t."parentId" = m.np AND t.name = m.nn AND t.id <> 0 WHERE m.deleted = 0)
+    SELECT request, CASE WHEN id = 0 OR pid IS NULL THEN 'ENOENT' WHEN pdata IS NOT NULL THEN 'ENOTDIR' WHEN contains(nn, '/') THEN 'EINVAL' WHEN own THEN 'OK'
+      WHEN data IS NOT NULL AND tid IS NOT NULL AND tdata IS NULL THEN 'EISDIR' WHEN filled THEN 'ENOTEMPTY' WHEN turn > 1 THEN 'EEXIST' ELSE 'OK' END AS outcome FROM j"""
+)
+def rename_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    entries = _entries(spark, folder)
+    return edits.rename(entries, _asked(entries.where(is_live())), NOW)[1]
+
+
+@query(
+    FA_SQL
+    + _ASKED
+    + """, j AS (SELECT m.request, CASE WHEN contains(nn, '/') OR nn = '' THEN 'EINVAL' WHEN p."dataId" IS NOT NULL THEN 'ENOTDIR' WHEN p.id IS NULL THEN 'ENOENT'
+        WHEN EXISTS (SELECT 1 FROM live t WHERE t."parentId" = m.np AND t.name = m.nn) OR row_number() OVER (PARTITION BY np, nn ORDER BY request) > 1 THEN 'EEXIST' ELSE 'OK' END AS outcome
+      FROM m LEFT JOIN live p ON m.np = p.id)
+    SELECT request, outcome, CASE WHEN outcome = 'OK' THEN 6000000 + row_number() OVER (PARTITION BY outcome ORDER BY request) - 1 END AS id FROM j"""
+)
+def make_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    entries = _entries(spark, folder)
+    asked = _asked(entries).select("request", "parentId", "name", F.lit(NOW).alias("time"), F.lit(None).cast("long").alias("dataId"))
+    return edits.make(entries, asked, 6_000_000)[1]
+
+
+@query(FA_SQL + 'SELECT id, CASE WHEN deleted = 0 THEN id * 3 ELSE time END AS time, CASE WHEN deleted = 0 AND "dataId" IS NOT NULL THEN 7 ELSE "dataId" END AS "dataId" FROM te')
+def update_entries(spark: SparkSession, folder: str) -> DataFrame:
+    entries = _entries(spark, folder)
+    live = entries.where(is_live())
+    timed = edits.update(entries, live.select("id", (F.col("id") * 3).alias("time")), "time")
+    return edits.update(timed, live.where(~is_dir()).select("id", F.lit(7).cast("long").alias("dataId")), "dataId").select("id", "time", "dataId")
+
+
+@query(
+    FA_SQL
+    + """, d AS (SELECT id, "parentId", name, "dataId", CASE WHEN id = 101 THEN 1600000000000 ELSE deleted END AS deleted FROM te),
+    q AS (SELECT id, CASE WHEN id = 0 THEN '/' ELSE '[not found]/' || name || '/' END AS path FROM d WHERE deleted = 0 AND (id = 0 OR "parentId" NOT IN (SELECT id FROM d WHERE deleted = 0))
+      UNION ALL SELECT d.id, q.path || d.name || '/' FROM d JOIN q ON d."parentId" = q.id WHERE d.id <> d."parentId" AND d.deleted = 0)
+    SELECT q.id, CASE WHEN d."dataId" IS NULL THEN q.path ELSE rtrim(q.path, '/') END AS path FROM q JOIN d ON q.id = d.id"""
+)
+def broken_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return tree.paths(_expired(spark, folder), broken=True).select("id", "path")
+
+
 @query(
     FA_SQL
     + _SUBTREE
@@ -630,7 +713,7 @@ _PLAN = """, src AS (SELECT lang || '/' || source || '/doc_' || doc_id || '.txt'
     + """SELECT path, CASE WHEN tid IS NULL THEN CASE WHEN same THEN 'COPY REFERENCE' ELSE 'CREATE' END WHEN is_dir THEN 'REPLACE DIRECTORY, ' || CASE WHEN same THEN 'COPY REFERENCE' ELSE 'CREATE' END
     WHEN same AND tid = rid THEN 'KEEP' WHEN same THEN 'REPLACE BY REFERENCE' ELSE 'UPDATE' END AS action, CASE WHEN same THEN data END AS "dataId" FROM pl"""
 )
-def backup_plan(spark: SparkSession, folder: str) -> DataFrame:
+def ingest_plan(spark: SparkSession, folder: str) -> DataFrame:
     files, contents = fixtures.files(spark, folder), _contents(spark, folder)
     path = F.concat("lang", F.lit("/"), "source", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
     touched = F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)
@@ -638,18 +721,20 @@ def backup_plan(spark: SparkSession, folder: str) -> DataFrame:
     reference = tree.with_sizes(tree.paths(_entries(spark, folder)).where(~is_dir()), contents).select(F.expr("substring(path, 2)").alias("path"), "id", "time", "size", "dataId")
     own = F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") + 1_000_000).otherwise(F.col("doc_id") + 8_000_000)
     target = source.where("doc_id % 5 <> 1").select("path", own.alias("id"), (F.col("doc_id") % 30 == 0).alias("is_dir"))
-    return ingest.backup_plan(source.select("path", "time", "size"), target, reference).select("path", "action", "dataId")
+    return ingest.ingest_plan(source.select("path", "time", "size"), target, reference).select("path", "action", "dataId")
 
 
 @query(
     FA_SQL
-    + """, a AS (SELECT DISTINCT name FROM te WHERE "dataId" IS NOT NULL AND id % 3 <> 0), b AS (SELECT DISTINCT name FROM te WHERE "dataId" IS NOT NULL AND id % 4 <> 0),
+    + """, a AS (SELECT DISTINCT CASE WHEN id % 3 = 0 THEN upper(name) ELSE name END AS name FROM te WHERE "dataId" IS NOT NULL), b AS (SELECT DISTINCT CASE WHEN id % 4 = 0 THEN 'new_' || name ELSE name END AS name FROM te WHERE "dataId" IS NOT NULL),
     n AS (SELECT (SELECT count(*) FROM a) AS source_names, (SELECT count(*) FROM b) AS reference_names, (SELECT count(*) FROM a JOIN b ON a.name = b.name) AS common)
     SELECT *, greatest(source_names, reference_names) * 10 <= common * 16 + 10 AS accepted FROM n"""
 )
 def reference_similarity(spark: SparkSession, folder: str) -> DataFrame:
     files = _entries(spark, folder).where(~is_dir())
-    return ingest.similarity(files.where("id % 3 <> 0").select("name"), files.where("id % 4 <> 0").select("name"))
+    changed = files.select(F.when(F.col("id") % 3 == 0, F.upper("name")).otherwise(F.col("name")).alias("name"))
+    renamed = files.select(F.when(F.col("id") % 4 == 0, F.concat(F.lit("new_"), "name")).otherwise(F.col("name")).alias("name"))
+    return ingest.similarity(changed, renamed)
 
 
 @query(FA_SQL + "SELECT \"parentId\", id, name FROM (SELECT *, row_number() OVER (PARTITION BY \"parentId\" ORDER BY name DESC, id DESC) AS n FROM te WHERE deleted = 0 AND \"dataId\" IS NULL AND name <> '' AND regexp_full_match(name, 'src.*')) WHERE n = 1")
@@ -670,12 +755,20 @@ def readable_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return fixtures.read(spark, folder, "documents").select("doc_id", size.alias("size"), readable_bytes(size).alias("readable"))
 
 
-@query("SELECT '/backup/2024/2024.03.05_[x]' AS target")
+@query("SELECT event_id, '/archive/' || strftime(ts, '%Y') || '/' || strftime(ts, '%Y.%m.%d_%H-%M') || '_[x]' AS target FROM events")
 def target_date_path(spark: SparkSession, folder: str) -> DataFrame:
-    from datetime import datetime
+    target = patterns.target_paths(r"/archive/[yyyy]/[yyyy.MM.dd_HH-mm]_\[x\]", F.col("ts"))
+    return fixtures.read(spark, folder, "events").select("event_id", target.alias("target"))
+
 
-    path = patterns.target_path(r"/backup/[yyyy]/[yyyy.MM.dd]_\[x\]", datetime(2024, 3, 5))
-    return spark.range(1).select(F.lit(path).alias("target"))
+@query(
+    """WITH t AS (SELECT event_id, event_id * 7919 - 1000000 AS ms FROM events), p AS (SELECT *, ((ms % 1000) + 1000) % 1000 AS rest FROM t)
+    SELECT event_id, (ms - rest) // 1000 AS seconds, rest * 1000000 AS nanos, CASE WHEN ms >= 0 THEN ms END AS again, CASE WHEN event_id = 0 THEN 1 ELSE event_id END AS marked FROM p"""
+)
+def time_conversions(spark: SparkSession, folder: str) -> DataFrame:
+    parts = seconds_nanos(F.col("event_id") * 7919 - 1_000_000)
+    rows = fixtures.read(spark, folder, "events").select("event_id", parts.alias("p")).select("event_id", "p.seconds", "p.nanos")
+    return rows.withColumn("again", millis_of(F.col("seconds"), F.col("nanos"))).withColumn("marked", non_zero(F.col("event_id")))
 
 
 @query(FA_SQL + "SELECT doc_id AS id, hash, length FROM f")
@@ -685,8 +778,8 @@ def restore_bytes(spark: SparkSession, folder: str) -> DataFrame:
     contents = _contents(spark, folder)
     parts = content.multipart(contents, 10_000)
     firsts = docs.withColumn("id", F.col("doc_id") + 1).join(contents.select("id"), "id", "left_semi")
-    store = content.to_areas(content.chunked(firsts), parts.select("id", "seq", "start", "stop"), WIDTH).select("start", "bytes")
-    whole = content.assemble(content.read_contents(parts, store, WIDTH), contents.select("id", "length"))
+    store = content.to_areas(content.chunked(firsts), parts.select("id", "seq", "start", "stop")).select("start", "bytes")
+    whole = content.assemble(content.read_contents(parts, store), contents.select("id", "length"))
     again = whole.select(F.col("id").alias("_c"), F.md5("data").alias("hash"), F.octet_length("data").cast("long").alias("length"))
     files = _entries(spark, folder).where(~is_dir()).select((F.col("id") - fixtures.FIRST_FILE).alias("id"), "dataId")
     return files.join(again, F.col("dataId") == F.col("_c")).select("id", "hash", "length")

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.extents import overlap_join
+from ..model import MAX_POSITION
+from ..operators.extents import coalesce_adjacent, overlap_join, subtract
 
 _SO_FAR = (Window.unboundedPreceding, 0)
 
@@ -63,17 +64,43 @@ def effective_writes(ops: DataFrame) -> DataFrame:
     return ops.withColumn("_cut", cut).where("op = 'WRITE'").select("file_id", "op_seq", F.col("pos").alias("start"), stop.alias("stop")).where("stop > start")
 
 
-def overlay(ops: DataFrame, width: int) -> DataFrame:
+def overlay(ops: DataFrame) -> DataFrame:
     """(file_id, start, stop, op_seq): which write each byte of a file shows in the end, as maximal runs between write bounds."""
     writes = effective_writes(ops)
     bounds = writes.select("file_id", F.explode(F.array("start", "stop")).alias("start")).distinct()
     pieces = bounds.withColumn("stop", F.lead("start").over(Window.partitionBy("file_id").orderBy("start"))).where("stop IS NOT NULL")
     l = pieces.select("file_id", F.col("start").alias("l_start"), F.col("stop").alias("l_stop"))
     r = writes.select("file_id", "op_seq", F.col("start").alias("r_start"), F.col("stop").alias("r_stop"))
-    met = overlap_join(l, r, ["file_id"], width)
+    met = overlap_join(l, r, ["file_id"])
     return met.groupBy("file_id", F.col("l_start").alias("start"), F.col("l_stop").alias("stop")).agg(F.max("op_seq").alias("op_seq"))
 
 
+def overlay_bytes(ops: DataFrame, payloads: DataFrame, stored: DataFrame) -> DataFrame:
+    """(file_id, pos, bytes): what a reader of each file sees, in pieces: of each byte the last valid write that it shows (payloads: file_id,
+    op_seq, bytes), else what is stored (file_id, pos, bytes; pieces that do not overlap), up to the visible size.  What neither has is zeros, which
+    ``content.filled`` adds."""
+    ops = sized(ops).where("valid").select("file_id", "op_seq", "op", "pos", "size")
+    shown = overlay(ops)
+    begun = effective_writes(ops).select("file_id", "op_seq", F.col("start").alias("_begin"))
+    at = shown.join(begun, ["file_id", "op_seq"]).join(payloads.select("file_id", "op_seq", "bytes"), ["file_id", "op_seq"])
+    cut = F.substring(F.col("bytes"), (F.col("start") - F.col("_begin") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int"))
+    written_bytes = at.select("file_id", F.col("start").alias("pos"), cut.alias("bytes"))
+    # A truncation cuts what was stored before it, even where the file grows again.
+    lowest = ops.where("op = 'TRUNCATE'").groupBy("file_id").agg(F.min("pos").alias("_cut"))
+    kept = stored.join(lowest, "file_id", "left").withColumn("_end", F.least(F.col("pos") + F.octet_length("bytes"), F.coalesce("_cut", F.lit(MAX_POSITION))))
+    under = kept.where("_end > pos").select("file_id", F.col("pos").alias("start"), F.col("_end").alias("stop"))
+    holes = coalesce_adjacent(shown.select("file_id", "start", "stop"), ["file_id"])
+    left = subtract(under, holes, ["file_id"])
+    # Each remnant lies in one stored piece.
+    l = left.select("file_id", F.col("start").alias("l_start"), F.col("stop").alias("l_stop"))
+    r = stored.select("file_id", F.col("pos").alias("r_start"), (F.col("pos") + F.octet_length("bytes")).alias("r_stop"))
+    places = overlap_join(l, r, ["file_id"]).select("file_id", F.col("l_start").alias("start"), F.col("l_stop").alias("stop"), F.col("r_start").alias("_pos"))
+    own = stored.select(F.col("file_id").alias("_f"), F.col("pos").alias("_p"), "bytes")
+    rest = places.join(own, (F.col("file_id") == F.col("_f")) & (F.col("_pos") == F.col("_p")))
+    part = F.substring(F.col("bytes"), (F.col("start") - F.col("_pos") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int"))
+    return written_bytes.unionByName(rest.select("file_id", F.col("start").alias("pos"), part.alias("bytes")))
+
+
 def visible_sizes(ops: DataFrame, stored: DataFrame) -> DataFrame:
     """(file_id, size): the size that a reader sees: the open or unpersisted state's, else the stored one (file_id, size)."""
     last = sized(ops).groupBy("file_id").agg(F.max_by("file_size", "op_seq").alias("_now"), F.max(F.col("valid").cast("int")).alias("_changed"))

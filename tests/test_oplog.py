@@ -29,7 +29,7 @@ def test_overlay_against_byte_arrays(spark):
         elif op == "TRUNCATE":
             shown[f] = {x: w for x, w in own.items() if x < pos}
     got = {}
-    for r in oplog.overlay(spark.createDataFrame(ops, OPS), 8).collect():
+    for r in oplog.overlay(spark.createDataFrame(ops, OPS)).collect():
         got.setdefault(r["file_id"], {}).update({x: r["op_seq"] for x in range(r["start"], r["stop"])})
     assert got == {f: c for f, c in shown.items() if c}
 
@@ -65,6 +65,34 @@ def test_handles_and_queue(spark):
         assert sorted(tuple(r) for r in oplog.persist_queue(df).collect()) == sorted(closed)
 
 
+def test_overlay_bytes(spark):
+    rng = random.Random(11)
+    ops = random_ops(6)
+    payload = {(f, k): rng.randbytes(n) for f, k, op, _, n in ops if op == "WRITE"}
+    stored = {f: [(p, rng.randbytes(7)) for p in (0, 9, 20)] for f in {o[0] for o in ops}}
+    seen = {f: {p + i: b for p, data in parts for i, b in enumerate(data)} for f, parts in stored.items()}
+    handles = {}
+    for f, k, op, pos, n in sorted(ops, key=lambda o: o[1]):
+        if op == "OPEN":
+            handles[f] = handles.get(f, 0) + 1
+        elif op == "RELEASE" and handles.get(f):
+            handles[f] -= 1
+        elif op == "WRITE" and handles.get(f):
+            seen[f].update({pos + i: b for i, b in enumerate(payload[f, k])})
+        elif op == "TRUNCATE" and handles.get(f):
+            seen[f] = {p: b for p, b in seen[f].items() if p < pos}
+    got = {f: {} for f in seen}
+    frames = (
+        spark.createDataFrame(ops, OPS),
+        spark.createDataFrame([(f, k, bytearray(d)) for (f, k), d in payload.items()], "file_id long, op_seq long, bytes binary"),
+        spark.createDataFrame([(f, p, bytearray(d)) for f, parts in stored.items() for p, d in parts], "file_id long, pos long, bytes binary"),
+    )
+    for r in oplog.overlay_bytes(*frames).collect():
+        assert not got[r["file_id"]].keys() & set(range(r["pos"], r["pos"] + len(r["bytes"])))
+        got[r["file_id"]].update({r["pos"] + i: b for i, b in enumerate(r["bytes"])})
+    assert got == seen
+
+
 def test_stream_over_several_triggers(spark):
     ops = random_ops(4)
     base = f"{shared_root(spark)}/test-{uuid.uuid4().hex}"
@@ -91,11 +119,11 @@ def test_repository_snapshots(spark, tmp_path):
     added = spark.createDataFrame([(1, 0, "a", 6, 0, None)], entries.schema)
     assert repo.publish({"tree_entries": entries.unionByName(added)}) == 2
     assert repo.table("tree_entries").count() == 2 and repo.table("context").first()["value"] == DB_VERSION
-    folder = repo.backup(datetime.datetime(2024, 1, 2, 3, 4))
+    folder = repo.portable_copy(datetime.datetime(2024, 1, 2, 3, 4))
     assert folder.endswith("snapshot_2024-01-02_03-04")
     repo.restore_snapshot(1)
     assert repo.table("tree_entries").count() == 1
-    repo.restore_backup(folder)
+    repo.restore_copy(folder)
     assert repo.table("tree_entries").count() == 2
     repo.compact()
     assert repo.opened()[0].count() == 2
