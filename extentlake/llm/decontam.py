@@ -7,14 +7,15 @@ distinct window of the benchmark, so one scan of a document finds all occurrence
 Offsets in the normalised text lead back to words and from there to the original text.
 
 The automaton is built once per Python worker from a broadcast list of windows.  The list's bytes
-are checked: a benchmark above ``block_bytes`` is cut into blocks by item, each with an automaton
+are checked: a benchmark above ``block_bytes`` is cut into blocks of runs of its items' words, each with an automaton
 of its own; each row is then scanned by one block after the other and carries its findings along, so
 nothing that is broadcast grows with the benchmark.
 
 Null or word-less documents have no hits; items of null text or without words have no windows.  Items
 without an id count as one item, whose id is null and comes last in the list.  Repeated items
 and repeated windows are legal: an occurrence counts for every item that has the window.  An empty
-benchmark leaves every document clean.
+benchmark leaves every document clean, and no documents give no rows.  Repeated rows and keys are rows like others.  A very long text is
+scanned whole, as one cell.  Only the named columns are read; ``clean`` keeps all others, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from .common import map_rows
 WINDOW = 10
 #: Bytes of normalised benchmark text that one automaton may hold.
 BLOCK_BYTES = 8 << 20
+#: Windows of an item that stay together: a longer item is cut into runs of words that overlap by all but one word of a window.
+RUN = 4096
 
 #: Maps A-Z to a-z and all other ASCII but digits and a-z to a blank; other bytes stay.
 _FOLD = bytes(
@@ -180,9 +183,17 @@ def _blocks(
     benchmark: DataFrame, item: str, item_text: str, window: int, block_bytes: int
 ) -> Iterator[list[tuple[str | None, str | None]]]:
     """The benchmark's items in blocks whose windows together hold about ``block_bytes``, at least one block."""
-    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).where(
-        F.col("text").isNotNull()
-    )
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found: list[tuple[str | None, str]] = []
+        for own, text in zip(*(c.to_pylist() for c in batch.columns)):
+            words = normalised(text)
+            starts = range(0, max(1, len(words) - window + 1), RUN) if words else ()
+            found += ((own, b" ".join(words[at : at + RUN + window - 1]).decode()) for at in starts)
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["item", "text"])
+
+    named = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text"))
+    items = map_rows(named, "item string, text string", cut)
     # A word is in as many windows as a window has words.
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"] * window
     count = max(1, -(-size // block_bytes))

@@ -8,11 +8,11 @@ Lines that are equal but for case are one line for the join, with their first oc
 order of these.  Word frequencies are counted over all documents in ``RARITY_BINS`` hash bins, whose rounded
 logarithms give each word a rarity; a line's words are ordered by rarity, ties by hash.  Two similar sets share a
 word in their prefixes of n - ceil(t n) + 1 words, so lines are joined on their prefix words, filtered by length and
-by position (what can still match behind the shared word), then by parity sketches of the lines' words, whose Hamming
-distance bounds the symmetric difference from below, and then compared as whole sets, which are made anew for the lines in
-question.  Any order gives the same result; a rare-first order only keeps the candidates few.
+by position: sets with m words in common share at least k of their first n - m + k words, so those within these places are counted for each
+pair of lines, with k up to ``SHARED`` and as far as the prefixes go.  What is left is compared as whole sets, which are made anew for the
+lines in question.  Any order gives the same result; a rare-first order only keeps the candidates few.
 
-A line goes if it has one earlier match, so not all are needed.  The lines with a prefix word and a size are first
+A line goes if it has one earlier match, so not all are needed.  Lines that share two neighbours among the rarest words are first
 compared with the first of them; then those still there with the first of each of ``HUBS`` parts; only what is left is
 compared with all earlier lines that share a prefix word.  So a large cluster of nearly equal lines is not spelled out as pairs.
 
@@ -39,8 +39,10 @@ NAMES = ("doc", "own", "own2")
 RARITY_BINS = 1 << 20
 #: Parts of a group whose first lines are each compared with the whole group in the second round.
 HUBS = 8
-#: Long words of a line's parity sketch.
-SKETCH = 2
+#: Prefix words that a candidate pair must share, where the prefixes are long enough.
+SHARED = 3
+#: Pairs of neighbours among a line's rarest words that the first rounds group by.
+NEIGHBOURS = 6
 _WORD = r"[\p{L}\p{N}]"
 _LOW56 = (1 << 56) - 1
 
@@ -52,7 +54,8 @@ def _words(line: str) -> Column:
 
 def _levels(docs: DataFrame, text: str, bins: int) -> DataFrame:
     """One row with the array of all bins' frequency levels."""
-    words = docs.select(F.explode(F.split(F.lower(F.translate(F.col(text), "\n", " ")), " ")).alias("w"))
+    lines = docs.select(F.explode(F.split(F.lower(text), "\n")).alias("l"))
+    words = lines.select(F.explode(F.split("l", " ")).alias("w"))
     counted = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(bins)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
     level = F.least(F.lit(120), F.floor(F.log2("n") * 4)).cast("tinyint")
     # Bins in order, with level 0 where no word fell: at most ``bins`` rows meet here, whatever the corpus.
@@ -84,36 +87,18 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _distinct(lines: DataFrame, levels: DataFrame, bins: int, num: int, den: int) -> DataFrame:
-    """(id, h1, h2, first, times, n, prefix, s0, ...) of every distinct line: ids follow the order of the first occurrences,
-    n is the number of words, prefix has hashes of the rarest, s0 and the rest are the parity sketch."""
+    """(id, h1, h2, first, times, n, prefix) of every distinct line: ids follow the order of the first occurrences,
+    n is the number of words, prefix has hashes of the rarest."""
+    low = F.lit(_LOW56)
     ranked = F.transform(
-        _words("norm"),
-        lambda h: F.shiftleft(F.get("levels", F.pmod(h, F.lit(bins)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW56))),
+        _words("norm"), lambda h: F.shiftleft(F.get("levels", F.pmod(h, F.lit(bins)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(low))
     )
     sets = lines.withColumn("levels", levels.scalar()).select(*NAMES, "line", "h1", "h2", F.sort_array(ranked).alias("words"))
-    one = F.lit(1).cast("long")
-
-    def parity(k: int) -> Column:
-        def flip(a: Column, w: Column) -> Column:
-            bit = F.call_function("shiftleft", one, w.bitwiseAND(F.lit(63)).cast("int"))
-            return F.when(F.pmod(F.shiftright(w, 6), F.lit(SKETCH)) == k, a.bitwiseXOR(bit)).otherwise(a)
-
-        return F.aggregate("words", F.lit(0).cast("long"), flip)
-
     size = F.size("words")
     length = size - F.expr(f"cast((size(words) * {num} + {den - 1}) div {den} as int)") + 1
-    drawn = sets.select(
-        F.struct(*NAMES, "line").alias("first"),
-        "h1",
-        "h2",
-        size.alias("n"),
-        F.transform(F.slice("words", F.lit(1), length), lambda w: F.hash(w)).alias("prefix"),
-        *(parity(k).alias(f"s{k}") for k in range(SKETCH)),
-    )
-    same = ["n", "prefix", *(f"s{k}" for k in range(SKETCH))]
-    merged = drawn.groupBy("h1", "h2").agg(
-        F.min("first").alias("first"), F.count("*").alias("times"), *(F.first(c).alias(c) for c in same)
-    )
+    prefix = F.transform(F.slice("words", F.lit(1), length), lambda w: F.hash(w))
+    drawn = sets.select(F.struct(*NAMES, "line").alias("first"), "h1", "h2", size.alias("n"), prefix.alias("prefix"))
+    merged = drawn.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     return merged.orderBy("first").withColumn("id", F.monotonically_increasing_id())
 
 
@@ -125,57 +110,68 @@ def _posted(lines: DataFrame) -> DataFrame:
 
 
 def _groups(lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """(word, n, a, b): b shares the prefix word and the size n with the earlier line a, the first that has them."""
-    posted = _posted(lines).select("word", F.shiftright("place", 32).alias("n"), "id")
-    first = posted.groupBy(F.col("word").alias("_word"), F.col("n").alias("_n")).agg(F.min("id").alias("a"), F.max("id").alias("last"))
-    first = scratch.written(first.where("a < last").drop("last"), "first")
-    met = posted.join(first, (F.col("word") == F.col("_word")) & (F.col("n") == F.col("_n")) & (F.col("a") < F.col("id")))
-    groups = scratch.written(met.select("word", "n", "a", F.col("id").alias("b")), "groups")
-    scratch.drop(first)
+    """(pair, a, b): b shares two neighbours among its rarest words with the earlier line a, the first that has them."""
+    rarest = F.slice("prefix", 1, NEIGHBOURS + 1)
+    pairs = F.transform(F.slice(rarest, F.lit(1), F.greatest(F.lit(1), F.size("prefix") - 1)), lambda w, i: F.xxhash64(w, F.get("prefix", i + 1)))
+    keyed = lines.select("id", F.explode(F.slice(pairs, 1, NEIGHBOURS)).alias("pair"))
+    first = keyed.groupBy(F.col("pair").alias("_pair")).agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last")
+    first = scratch.written(first.drop("last"), "first")
+    # Pairs of one line only, nearly all, are not exchanged again.
+    bits = scratch.written(bit_map(first, "_pair"), "bits")
+    met = keyed.where(on_map(bits.scalar(), F.col("pair"))).join(first, (F.col("pair") == F.col("_pair")) & (F.col("a") < F.col("id")))
+    groups = scratch.written(met.select("pair", "a", F.col("id").alias("b")), "groups")
+    scratch.drop(first, bits)
     return groups
 
 
 def _parted(groups: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): b is in a group with the earlier line a, the first of a part of those still there."""
     part = F.pmod(F.xxhash64("b"), F.lit(HUBS))
-    first = groups.groupBy(F.col("word").alias("_word"), F.col("n").alias("_n"), part).agg(F.min("b").alias("hub"))
-    first = scratch.written(first.select("_word", "_n", "hub"), "first")
-    met = groups.join(first, (F.col("word") == F.col("_word")) & (F.col("n") == F.col("_n")) & (F.col("hub") < F.col("b")))
+    first = groups.groupBy(F.col("pair").alias("_pair"), part).agg(F.min("b").alias("hub"))
+    first = scratch.written(first.select("_pair", "hub"), "first")
+    met = groups.join(first, (F.col("pair") == F.col("_pair")) & (F.col("hub") < F.col("b")))
     return met.select(F.col("hub").alias("a"), "b").distinct()
 
 
 def _rest(lines: DataFrame, left: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): b is one of the lines ``left`` and shares a prefix word with the earlier line a; sizes and positions allow a match."""
+    """(a, b): b is one of the lines ``left`` and shares so many prefix words with the earlier line a that both may be similar;
+    sizes and positions allow it, too."""
 
     def side(of: DataFrame, s: str) -> DataFrame:
         posted = _posted(of)
         return posted.select(*(F.col(c).alias(c + s) for c in posted.columns))
 
+    both, tall = num + den, f"(greatest(na, nb) * {num} + {den - 1}) div {den}"
+    # Similar sets have so many words in common, and share so many of the first n - common + share, as far as the prefixes go.
+    common = F.expr(f"((na + nb) * {num} + {both - 1}) div {both}")
+    share = F.least(F.lit(SHARED), common - F.expr(tall) + 1)
     low = F.lit((1 << 32) - 1)
-    n_a, n_b = (F.shiftright(f"place{s}", 32) for s in "ab")
-    p_a, p_b = (F.col(f"place{s}").bitwiseAND(low) for s in "ab")
-    fits = F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num
-    reach = F.least(n_a - p_a, n_b - p_b) * (num + den) >= (n_a + n_b) * num
-    met = side(lines, "a").join(side(left, "b"), (F.col("worda") == F.col("wordb")) & (F.col("ida") < F.col("idb")) & fits & reach)
-    return met.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
+    l = side(lines, "a").withColumn("na", F.shiftright("placea", 32)).withColumn("pa", F.col("placea").bitwiseAND(low)).drop("placea")
+    r = side(left, "b").withColumn("nb", F.shiftright("placeb", 32)).withColumn("pb", F.col("placeb").bitwiseAND(low)).drop("placeb")
+    fits = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
+    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) > common - share
+    met = l.join(r, (F.col("worda") == F.col("wordb")) & (F.col("ida") < F.col("idb")) & fits & reach)
+    counted = met.groupBy(F.col("ida").alias("a"), F.col("idb").alias("b"), "na", "nb").agg(F.count("*").alias("c"))
+    return counted.where(F.col("c") >= share).select("a", "b")
 
 
-def _matched(pairs: DataFrame, lines: DataFrame, texts: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """The distinct b of those ``pairs`` whose lines are similar: by sizes and sketches, inside the join, then by sets."""
-    drawn = ["id", "n", *(f"s{k}" for k in range(SKETCH))]
+def _matched(pairs: DataFrame, lines: DataFrame, docs: DataFrame, key: str, text: str, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """The distinct b of those ``pairs`` whose lines are similar: by sizes, inside the join, then by sets."""
 
     def side(s: str) -> DataFrame:
-        return lines.select(*(F.col(c).alias(c + s) for c in drawn))
+        return lines.select(F.col("id").alias(f"id{s}"), F.col("n").cast("long").alias(f"n{s}"))
 
-    flips = sum((F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(SKETCH)), F.lit(0))
-    n_a, n_b = F.col("n_a").cast("long"), F.col("n_b").cast("long")
-    near = (flips * (num + den) <= (n_a + n_b) * (den - num)) & (F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num)
-    close = pairs.join(side("_a"), F.col("a") == F.col("id_a")).join(side("_b"), (F.col("b") == F.col("id_b")) & near).select("a", "b")
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    fits = F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num
+    close = pairs.join(side("_a"), F.col("a") == F.col("id_a")).join(side("_b"), (F.col("b") == F.col("id_b")) & fits).select("a", "b")
     close = scratch.written(close, "close")
     asked = close.select(F.col("a").alias("_id")).union(close.select(F.col("b").alias("_id"))).distinct()
-    wanted = scratch.written(lines.join(asked, F.col("id") == F.col("_id")).select("id", F.col("h1").alias("w1"), F.col("h2").alias("w2")), "wanted")
+    met = lines.join(asked, F.col("id") == F.col("_id")).select("id", F.col("h1").alias("w1"), F.col("h2").alias("w2"), F.col("first.own").alias("own"))
+    wanted = scratch.written(met, "wanted")
     bits = scratch.written(bit_map(wanted, "w1"), "bits")
-    # Equal lines are merged before they are exchanged.
+    sources = scratch.written(bit_map(wanted, "own"), "sources")
+    # Only documents with the first occurrence of a line in question are cut into lines; equal lines are merged before they are exchanged.
+    texts = _lines(docs.where(on_map(sources.scalar(), F.xxhash64(text))), key, text)
     found = texts.where(on_map(bits.scalar(), F.col("h1"))).groupBy("h1", "h2").agg(F.first("norm").alias("norm"))
     found = found.join(wanted, (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2"))).select("id", _words("norm").alias("words"))
     sets = scratch.written(found, "sets")
@@ -191,7 +187,7 @@ def _matched(pairs: DataFrame, lines: DataFrame, texts: DataFrame, num: int, den
         .where(common * den >= (F.size("words_a") + F.size("words_b") - common) * num)
     )
     matched = scratch.written(compared.select(F.col("b").alias("id")).distinct(), "matched")
-    scratch.drop(close, wanted, bits, sets)
+    scratch.drop(close, wanted, bits, sources, sets)
     return matched
 
 
@@ -203,15 +199,17 @@ def removed_lines(
         levels = scratch.written(_levels(docs, text, bins), "rarity")
         texts = _lines(docs, key, text)
         lines = scratch.written(_distinct(texts, levels, bins, num, den), "lines")
+
+        def matched(pairs: DataFrame) -> DataFrame:
+            return _matched(pairs, lines, docs, key, text, num, den, scratch)
+
         groups = _groups(lines, scratch)
-        gone = _matched(groups.select("a", "b").distinct(), lines, texts, num, den, scratch)
+        gone = matched(groups.select("a", "b").distinct())
         left = scratch.written(groups.join(gone, F.col("b") == F.col("id"), "left_anti"), "groups")
-        gone = gone.unionByName(_matched(_parted(left, scratch), lines, texts, num, den, scratch))
+        gone = gone.unionByName(matched(_parted(left, scratch)))
         scratch.drop(groups, left)
         left = lines.join(gone.select(F.col("id").alias("_gone")), F.col("id") == F.col("_gone"), "left_anti")
-        pairs = scratch.written(_rest(lines, left, num, den), "pairs")
-        gone = gone.unionByName(_matched(pairs, lines, texts, num, den, scratch))
-        scratch.drop(pairs)
+        gone = gone.unionByName(matched(_rest(lines, left, num, den)))
         judged = (
             lines.select("id", "h1", "h2", "first", "times")
             .join(gone.select(F.col("id").alias("_gone")).distinct(), F.col("id") == F.col("_gone"), "left")
