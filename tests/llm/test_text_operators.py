@@ -82,8 +82,9 @@ def contamination_case(seed=3):
     return docs, items
 
 
-@pytest.mark.parametrize("block_bytes", [decontam.BLOCK_BYTES, 400])
-def test_decontamination(spark, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "run"), [(decontam.BLOCK_BYTES, decontam.RUN), (400, 3)])
+def test_decontamination(spark, monkeypatch, block_bytes, run):
+    monkeypatch.setattr(decontam, "RUN", run)
     docs, items = contamination_case()
     df = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
