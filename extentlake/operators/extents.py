@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from ..model import MAX_POSITION
+from ..sources.storage import written
 
 #: Quantiles of an ordering key that bound the ranges in which prefix sums are computed, and parts of equal width of each.
 QUANTILES, PARTS = 128, 32
@@ -77,7 +78,8 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
         higher = F.explode(F.filter("_there", lambda x: x > F.col("_level")))
         return laid(df.withColumn("_at", F.col("_level"))), laid(df.withColumn("_there", there).withColumn("_at", higher).drop("_there"))
 
-    l, r = levelled(left, "l"), levelled(right, "r")
+    # Both are read several times below.
+    l, r = written(levelled(left, "l"), "left"), written(levelled(right, "r"), "right")
     l_home, l_visit = binned(l, "l", r)
     r_home, r_visit = binned(r, "r", l)
     met = (F.col("l_start") < F.col("r_stop")) & (F.col("r_start") < F.col("l_stop"))
