@@ -3,8 +3,8 @@
 A page is a sequence of tags and of the words between them.  Words score positive and tags negative;
 words in places that labelled pages show to be outside the main text score negative too.  One linear
 scan finds the contiguous run with the highest sum: the region of the main text, whatever elements it is in.  Blocks of
-menus, headers, footers, sidebars, notices, adverts, forms and reader comments inside it are dropped; their words
-score so little below zero that even a large one does not cut the run.
+menus, headers, footers, sidebars, notices, adverts, forms and reader comments inside it are dropped; their words and tags
+count nothing, so that even a large one does not cut the run.
 
 The scores are log odds counted on labelled pages.  A page labels itself if it has exactly one
 ``article`` or, failing that, ``main`` element: its words and tags are main text but those in boilerplate
@@ -64,8 +64,6 @@ _PARTS = re.compile(r"[a-z]+")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 body".split())
 #: Words and pages that a class or id must have on labelled pages, all outside the main text, to count as boilerplate.
 SEEN_WORDS, SEEN_PAGES = 20, 3
-#: The least score of a word in boilerplate, so that a large insert does not cut the main text.
-LEAST = -0.3
 
 
 @dataclass
@@ -119,19 +117,21 @@ def pieces(page: str, hints: frozenset[str] = _HINTS) -> tuple[list[Piece], list
         if name in _INLINE:
             # Inline tags part no words and score as tags only if they are links.
             if name == "a":
-                out.append(Piece(tag="/a" if close else "a", container=stack[-1][2]))
+                out.append(Piece(tag="/a" if close else "a", place=stack[-1][1:2] + ("", False), container=stack[-1][2]))
             continue
         if name in _VOID:
             if name in ("br", "hr"):
-                out.append(Piece(tag=name, container=stack[-1][2]))
+                out.append(Piece(tag=name, place=stack[-1][1:2] + ("", False), container=stack[-1][2]))
             continue
         if close:
+            ended = stack[-1][1]
             if opened[name]:
                 while stack[-1][0] != name:
                     opened[stack.pop()[0]] -= 1
+                ended = stack[-1][1]
                 opened[stack.pop()[0]] -= 1
             link = False
-            out.append(Piece(tag="/" + name, container=stack[-1][2]))
+            out.append(Piece(tag="/" + name, place=(ended, "", False), container=stack[-1][2]))
             continue
         # A new block ends an open paragraph, and an item or cell its open sibling.
         if stack[-1][0] == "p" or stack[-1][0] == name and name in ("li", "td", "th", "tr", "dt", "dd", "option"):
@@ -147,7 +147,7 @@ def pieces(page: str, hints: frozenset[str] = _HINTS) -> tuple[list[Piece], list
                 under = (parts, under)
         stack.append((name, dull, container, under))
         opened[name] += 1
-        out.append(Piece(tag=name, container=container))
+        out.append(Piece(tag=name, place=(dull, "", False), container=container))
     if at < len(page):
         say(page[at:])
     return out, containers
@@ -163,11 +163,15 @@ class Scores:
     hints: frozenset[str] = _HINTS
 
     def word(self, place: tuple[bool, str, bool]) -> float:
-        dull, name, link = place
-        return self.words.get(place, LEAST if dull else 0.2 if link or name in ("", "html", "body") else 1.0)
+        _, name, link = place
+        return self.words.get(place, 0.2 if link or name in ("", "html", "body") else 1.0)
 
     def tag(self, name: str) -> float:
-        return self.tags.get(name, -0.5 if name in ("p", "/p", "br") else -1.5)
+        return self.tags.get(name, -1.5 if name in ("a", "/a") else -0.2)
+
+    def of(self, piece: Piece) -> float:
+        """What a piece adds to a run: nothing if it is boilerplate, so that an insert does not cut the main text."""
+        return 0.0 if piece.place[0] else self.tag(piece.tag) if piece.tag else piece.words * self.word(piece.place)
 
 
 def _labelled(found: list[Piece], containers: list[str]) -> int | None:
@@ -195,6 +199,8 @@ def fit(pages: DataFrame, *, key: str = "page_id", html_column: str = "html", sa
                 continue
             parts: Counter = Counter()
             for p in found:
+                if p.tag and p.place[0]:
+                    continue
                 if p.tag:
                     seen["tag", p.tag, False, False, p.container == own] += 1
                 elif p.words:
@@ -229,8 +235,7 @@ def fit(pages: DataFrame, *, key: str = "page_id", html_column: str = "html", sa
             scores.tags[r["name"]] = min(-0.1, odds - 0.5)
         elif r["kind"] == "word":
             # Words score positive wherever labelled pages have main text.
-            value = max(0.3, odds) if r["inside"] > r["outside"] else min(-0.3, odds)
-            scores.words[r["dull"], r["name"], r["link"]] = max(LEAST, value) if r["dull"] else value
+            scores.words[r["dull"], r["name"], r["link"]] = max(0.3, odds) if r["inside"] > r["outside"] else min(-0.3, odds)
         elif r["inside"] == 0:
             names.setdefault(r["name"], {})[r["kind"]] = r["outside"]
     learned = (n for n, k in names.items() if k.get("part", 0) >= SEEN_WORDS and k.get("page", 0) >= SEEN_PAGES)
@@ -256,7 +261,7 @@ def main_text(page: str | None, scores: Scores) -> str:
     if not page:
         return ""
     found, _ = pieces(page, scores.hints)
-    begin, end = best_run([scores.tag(p.tag) if p.tag else p.words * scores.word(p.place) for p in found])
+    begin, end = best_run([scores.of(p) for p in found])
     blocks: list[str] = []
     current: list[str] = []
     for p in found[begin:end]:

@@ -310,13 +310,32 @@ def test_shuffle(spark):
         slots[r["shard"]].append(r["slot"])
     assert sorted(len(s) for s in slots.values()) == sorted(len(rows) // 8 + (j < len(rows) % 8) for j in range(8))
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    again = sharding.shuffle(df.repartition(7), 8, key=["doc_id", "text"], seed=3, blocks=16, cells=4).collect()
-    assert Counter((r["doc_id"], r["shard"], r["slot"]) for r in got if r["doc_id"] not in (None, 7)) == Counter((r["doc_id"], r["shard"], r["slot"]) for r in again if r["doc_id"] not in (None, 7))
+    again = sharding.shuffle(df, 8, key=["doc_id", "text"], seed=3, blocks=16, cells=4).collect()
+    assert Counter((r["doc_id"], r["shard"], r["slot"]) for r in got) == Counter((r["doc_id"], r["shard"], r["slot"]) for r in again)
     other = sharding.shuffle(df, 8, key=["doc_id", "text"], seed=4, blocks=16, cells=4).collect()
     assert sorted((r["doc_id"] or 0, r["shard"]) for r in other) != sorted((r["doc_id"] or 0, r["shard"]) for r in got)
     assert sharding.shuffle(df.limit(0), 8, key=["doc_id"]).count() == 0
 
 
+def test_equal_rows_are_spread(spark):
+    rows = [(1, "same")] * 300 + [(i, "x") for i in range(2, 502)]
+    got = sharding.shuffle(spark.createDataFrame(rows, "doc_id long, text string"), 8, key=["doc_id", "text"], blocks=16, cells=4).collect()
+    for shard in range(8):
+        own = sorted(r["slot"] for r in got if r["shard"] == shard and r["doc_id"] == 1)
+        assert 20 <= len(own) <= 56 and own[-1] - own[0] > 1.5 * len(own)
+
+
+def test_large_urns_follow_the_law():
+    rng, other = np.random.default_rng(1), np.random.default_rng(2)
+    for good, bad, draws in ((300, 500, 90), (20, 3, 11), (1000, 7, 400)):
+        mine = [sharding._hypergeometric(rng, good, bad, draws, urn=1) for _ in range(4000)]
+        theirs = other.hypergeometric(good, bad, draws, 4000)
+        assert min(mine) >= max(0, draws - bad) and max(mine) <= min(good, draws)
+        assert abs(np.mean(mine) - draws * good / (good + bad)) < 5 * np.std(theirs) / 4000**0.5 and abs(np.std(mine) / np.std(theirs) - 1) < 0.08
+    n = sharding._hypergeometric(rng, 10**12, 7 * 10**12, 10**9)
+    assert abs(n - 125_000_000) < 10 * 10_000
+
+
 def test_communication_matrix_follows_its_law():
     counts, sizes = [30, 0, 50, 20], [40, 35, 25]
     total = np.zeros((4, 3))
