@@ -52,7 +52,7 @@ def rename(entries: DataFrame, requests: DataFrame, now_ms: int = 1, copy: bool
     deleted at ``now_ms``: but a file does not replace a directory (EISDIR), nor anything a directory with children (ENOTEMPTY).  Moving to
     the own place changes nothing.  Of equal targets the first request wins, the others are EEXIST.  With ``copy``, what would move to
     another parent is copied with all below it, contents shared, under ids from ``first_id``."""
-    from .tree import ancestors, subtree
+    from .tree import subtree
 
     live = entries.where(is_live())
     origin = live.where(F.col("id") != ROOT).select(F.col("id").alias("_id"), F.col("parentId").alias("_op"), F.col("name").alias("_on"), is_dir().alias("_od"))
@@ -63,7 +63,8 @@ def rename(entries: DataFrame, requests: DataFrame, now_ms: int = 1, copy: bool
         .join(used, F.col("id") == F.col("_u"), "left")
         .select(F.col("parentId").alias("_tp"), F.col("name").alias("_tn"), F.col("id").alias("_ti"), is_dir().alias("_td"), F.col("_u").isNotNull().alias("_full"))
     )
-    below = ancestors(entries).select(F.col("id").alias("_new"), F.col("ancestor").alias("_above"))
+    # Only the directories that are to be moved are walked.
+    below = subtree(entries, requests.select("id")).select(F.col("id").alias("_new"), F.col("top").alias("_above"))
     judged = (
         requests.withColumn("_turn", F.row_number().over(Window.partitionBy("parentId", "name").orderBy("request")))
         .join(origin, F.col("id") == F.col("_id"), "left")

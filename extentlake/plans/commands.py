@@ -34,9 +34,18 @@ class Commands:
     def _publish(self, entries: DataFrame | None = None, contents: DataFrame | None = None) -> int:
         return self.repository.publish({n: t for n, t in (("tree_entries", entries), ("data_entries", contents)) if t is not None})
 
+    def _walk(self, entries: DataFrame, parts: list[str]) -> int | None:
+        """The id of the live entry that a path's elements lead to from the root, one lookup each."""
+        at: int | None = tree.ROOT
+        for name in parts:
+            row = entries.where(is_live() & (F.col("parentId") == at) & (F.col("name") == name)).select("id").first()
+            if row is None:
+                return None
+            at = row["id"]
+        return at
+
     def _id(self, entries: DataFrame, path: str) -> int:
-        wanted = self.repository.spark.createDataFrame([(path,)], "path string")
-        found = tree.resolve(entries, wanted).first()["id"]
+        found = self._walk(entries, [p for p in path.split("/") if p])
         if found is None:
             raise FileNotFoundError(path)
         return found
@@ -183,8 +192,9 @@ class Commands:
         entries, contents = self._tables()
         parts = [p for p in path.split("/") if p]
         up, name = "/" + "/".join(parts[:-1]), parts[-1] if parts else ""
-        wanted = self.repository.spark.createDataFrame([("own", path), ("up", up)], "which string, path string")
-        return entries, contents, {r["which"]: r["id"] for r in tree.resolve(entries, wanted).collect()}, up, name
+        above = self._walk(entries, parts[:-1])
+        own = above if not parts else None if above is None else self._walk(entries, parts)
+        return entries, contents, {"own": own, "up": above}, up, name
 
     def make_dir(self, path: str, now_ms: int) -> str:
         return self._make(path, now_ms, None)

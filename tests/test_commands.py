@@ -81,15 +81,13 @@ def test_single_changes(spark, fresh):
     fresh.ingest(files(spark, [("/d/f", 5, b"abcdef" * 500), ("/d/g", 6, b"gg"), ("/e/h", 7, b"hh")]), 10)
     assert fresh.read("/d/f", 2995, 100) == (b"abcdef" * 500)[2995:] and fresh.read("/d/f", 998, 5) == (b"abcdef" * 500)[998:1003] and fresh.read("/d/f", 9999, 5) == b""
     assert [fresh.make_dir(p, 20) for p in ("/d/n", "/d/n", "/d/f/x", "/no/x", "/")] == ["OK", "EEXIST", "ENOTDIR", "ENOENT", "ENOENT"]
-    assert fresh.make_file("/d/n/empty", 20) == "OK" and restored(fresh, "/d/n") == {"/d/n/empty": b""}
-    assert [fresh.remove(p, 30, True) for p in ("/d", "/d/f", "/none")] == ["ENOTEMPTY", "ENOTDIR", "ENOENT"]
-    assert fresh.remove("/d/n", 30, False) == "EISDIR" and fresh.remove("/d/n/empty", 30, False) == "OK" and fresh.remove("/d/n", 31, True) == "OK"
+    assert [fresh.remove(*a) for a in (("/d", 30, True), ("/d/f", 30, True), ("/none", 30, True), ("/d/n", 30, False), ("/d/n", 31, True))] == ["ENOTEMPTY", "ENOTDIR", "ENOENT", "EISDIR", "OK"]
     assert fresh.set_time("/d/g", 3, 5_000_000) == "OK" and fresh.stat("/d/g").first()["time"] == 3005
-    assert fresh.set_time("/d/g", -1, 0) == "EINVAL" and fresh.set_time("/d/x", 1, 0) == "ENOENT"
+    assert fresh.set_time("/d/g", -1, 0) == "EINVAL"
     # A file replaces a file, a directory an empty one, but nothing a full one.
-    assert fresh.rename("/d/g", "/e/h", 40) == "OK" and restored(fresh, "/e") == {"/e/h": b"gg"}
-    assert fresh.rename("/e/h", "/d", 41) == "EISDIR" and fresh.rename("/e", "/d", 41) == "ENOTEMPTY" and fresh.rename("/d/none", "/x", 41) == "ENOENT"
-    assert fresh.rename("/d", "/e/copy", 42, copy=True) == "OK" and set(restored(fresh)) == {"/d/f", "/e/copy/f", "/e/h"}
+    assert fresh.rename("/d/g", "/e/h", 40) == "OK" and fresh.rename("/e/h", "/d", 41) == "EISDIR" and fresh.rename("/e", "/d", 41) == "ENOTEMPTY"
+    assert fresh.rename("/d", "/e/copy", 42, copy=True) == "OK"
+    assert restored(fresh) == {"/d/f": b"abcdef" * 500, "/e/copy/f": b"abcdef" * 500, "/e/h": b"gg"}
     assert Commands(Repository(spark, fresh.repository.base, read_only=True)).make_dir("/z", 1) == "EROFS"
 
 
@@ -121,14 +119,12 @@ def test_sync_by_a_plan(spark, fresh):
 
 
 def test_targets_and_references(spark, fresh):
-    for path in ("/r/2023-01", "/r/2023-05", "/r/other"):
-        assert fresh.target("/?r/" + path[3:], 5) == path
+    fresh.ingest(files(spark, [("/r/2023-01/b", 1, b"a"), ("/r/2023-05/a", 1, b"a")]), 6)
+    assert fresh.target("/r/?other", 5) == "/r/other"
     with pytest.raises(FileNotFoundError):
         fresh.target("/s/t", 5)
     with pytest.raises(FileExistsError):
         fresh.target("/r/!other", 5)
-    fresh.ingest(files(spark, [("/r/2023-05/a", 1, b"a")]), 6)
-    assert fresh.reference("/r/2023*") == "/r/2023-05/"
     names = lambda *n: spark.createDataFrame([(x,) for x in n], "name string")
     assert fresh.reference("/r/2023*", names("a")) == "/r/2023-05/"
     with pytest.raises(ValueError, match="few names"):
