@@ -7,14 +7,16 @@ document's text and line number.  A line is removed if any earlier line matches
 Lines that are equal but for case are one line for the join, with their first occurrence; they are numbered in the
 order of these.  Word frequencies are counted over all documents in ``RARITY_BINS`` hash bins, whose rounded
 logarithms give each word a rarity; a line's words are ordered by rarity, ties by hash.  Two similar sets share a
-word in their prefixes of n - ceil(t n) + 1 words, so lines are joined on their prefix words, filtered by length and
-by position: sets with m words in common share at least k of their first n - m + k words, so those within these places are counted for each
-pair of lines, with k up to ``SHARED`` and as far as the prefixes go.  What is left is compared as whole sets, which are made anew for the
-lines in question.  Any order gives the same result; a rare-first order only keeps the candidates few.
+word in their prefixes of n - ceil(t n) + 1 words, so lines are joined on their prefix words.  Each line carries a parity
+sketch, in which every word flips one of 64 or 128 bits: sets that differ in d words have sketches that differ in d bits at
+most, so that sizes and sketches rule out nearly all other pairs inside the join, and no such pair is written.  What is left is
+compared as whole sets, which are made anew for the lines in question.  The join is made in ``SLICES`` of the words, one after the other, each of
+which needs only its share of the disk.  Any order gives the same result; a rare-first order only keeps the candidates few.
 
 A line goes if it has one earlier match, so not all are needed.  Lines that share two neighbours among the rarest words are first
-compared with the first of them; then those still there with the first of each of ``HUBS`` parts; only what is left is
-compared with all earlier lines that share a prefix word.  So a large cluster of nearly equal lines is not spelled out as pairs.
+compared with the first of them; then those still there with the first of each of ``HUBS`` parts, in each of these rounds with the one whose
+sketch is nearest; only what is left is compared with all earlier lines that share a prefix word.  So a large cluster of nearly equal
+lines is not spelled out as pairs.
 
 Null texts and lines without letters and digits are left alone.  A document is named by its key and two hashes of its
 text.  Rows that repeat both are the same document: their lines are each other's equals and stay or go together.  Rows
@@ -27,6 +29,8 @@ Lines are equal if two 64-bit hashes are, words if 56 bits of their hash are.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,14 +39,18 @@ from .common import Scratch, bit_map, fresh, on_map, written
 #: What names a document.
 NAMES = ("doc", "own", "own2")
 
-#: Bins of the word frequencies; the table of their levels is one byte a bin.
-RARITY_BINS = 1 << 20
+#: Bins of the word frequencies; the table of their levels is half a byte a bin.
+RARITY_BINS = 1 << 24
 #: Parts of a group whose first lines are each compared with the whole group in the second round.
 HUBS = 8
-#: Prefix words that a candidate pair must share, where the prefixes are long enough.
-SHARED = 3
 #: Pairs of neighbours among a line's rarest words that the first rounds group by.
-NEIGHBOURS = 6
+NEIGHBOURS = 3
+#: Parts of the words that are joined one after the other.
+SLICES = 4
+#: Lines of more words have sketches of 128 bits.
+LONG = 64
+#: What is needed to tell whether two lines can be similar.
+PROFILE = ("id", "n", "s1", "s2")
 _WORD = r"[\p{L}\p{N}]"
 _LOW56 = (1 << 56) - 1
 
@@ -53,19 +61,21 @@ def _words(line: str) -> Column:
 
 
 def _levels(docs: DataFrame, text: str, bins: int) -> DataFrame:
-    """One row with the array of all bins' frequency levels."""
+    """One row with the array of all bins' frequency levels, of four bits each: sixteen in a long word."""
     lines = docs.select(F.explode(F.split(F.lower(text), "\n")).alias("l"))
     words = lines.select(F.explode(F.split("l", " ")).alias("w"))
-    counted = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(bins)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    level = F.least(F.lit(120), F.floor(F.log2("n") * 4)).cast("tinyint")
-    # Bins in order, with level 0 where no word fell: at most ``bins`` rows meet here, whatever the corpus.
-    every = docs.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), F.lit(0).cast("tinyint").alias("level"))
+    counted = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    # Up to 2^25 occurrences are told apart.
+    level = F.least(F.lit(15), F.floor(F.log2("n") * 0.6)).cast("long")
+    part = F.call_function("shiftleft", level, F.col("bin").bitwiseAND(F.lit(15)) * 4)
+    # Slots in order, with level 0 where no word fell: at most ``bins / 16`` rows meet here, whatever the corpus.
+    every = docs.sparkSession.range(bins // 16).select(F.col("id").cast("int").alias("slot"), F.lit(0).cast("long").alias("levels"))
     return (
-        counted.select("bin", level.alias("level"))
+        counted.select(F.shiftright("bin", 4).alias("slot"), part.alias("levels"))
         .unionByName(every)
-        .groupBy("bin")
-        .agg(F.max("level").alias("level"))
-        .agg(F.array_sort(F.collect_list(F.struct("bin", "level")))["level"].alias("levels"))
+        .groupBy("slot")
+        .agg(F.bit_or("levels").alias("levels"))
+        .agg(F.array_sort(F.collect_list(F.struct("slot", "levels")))["levels"].alias("levels"))
     )
 
 
@@ -86,85 +96,106 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def _sketches(words: str) -> tuple[Column, Column]:
+    """A parity sketch: of up to ``LONG`` words one long word, of more two, whose sum by bits is that one."""
+
+    def flip(w: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))
+
+    zero = F.lit(0).cast("long")
+    whole = F.aggregate(words, zero, lambda acc, w: acc.bitwiseXOR(flip(w)))
+    half = F.aggregate(F.filter(words, lambda w: w.bitwiseAND(F.lit(64)) != 0), zero, lambda acc, w: acc.bitwiseXOR(flip(w)))
+    return whole, F.when(F.size(words) > LONG, half).otherwise(zero)
+
+
+def _flips(n_a: Column, a1: Column, a2: Column, n_b: Column, b1: Column, b2: Column) -> Column:
+    """The bits in which two sketches differ."""
+    both, half = a1.bitwiseXOR(b1), a2.bitwiseXOR(b2)
+    return F.when(F.least(n_a, n_b) > LONG, F.bit_count(half) + F.bit_count(both.bitwiseXOR(half))).otherwise(F.bit_count(both))
+
+
+def _may_match(a: str, b: str, num: int, den: int) -> Column:
+    """Whether sizes and sketches, in columns that are named by these patterns, allow two lines to be similar."""
+    (n_a, *x), (n_b, *y) = ([F.col(s.format(c)) for c in PROFILE[1:]] for s in (a, b))
+    fits = F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num
+    return fits & (_flips(n_a, *x, n_b, *y) * (den + num) <= (n_a + n_b) * (den - num))
+
+
 def _distinct(lines: DataFrame, levels: DataFrame, bins: int, num: int, den: int) -> DataFrame:
-    """(id, h1, h2, first, times, n, prefix) of every distinct line: ids follow the order of the first occurrences,
-    n is the number of words, prefix has hashes of the rarest."""
+    """(id, h1, h2, first, times, n, s1, s2, prefix) of every distinct line: ids follow the order of the first occurrences,
+    n is the number of words, s1 and s2 their sketch, prefix has hashes of the rarest."""
     low = F.lit(_LOW56)
-    ranked = F.transform(
-        _words("norm"), lambda h: F.shiftleft(F.get("levels", F.pmod(h, F.lit(bins)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(low))
-    )
-    sets = lines.withColumn("levels", levels.scalar()).select(*NAMES, "line", "h1", "h2", F.sort_array(ranked).alias("words"))
+
+    def ranked(h: Column) -> Column:
+        slot = F.get("levels", F.shiftright(h.bitwiseAND(F.lit(bins - 1)), 4).cast("int"))
+        level = F.call_function("shiftrightunsigned", slot, h.bitwiseAND(F.lit(15)).cast("int") * 4).bitwiseAND(F.lit(15))
+        return F.shiftleft(level, 56).bitwiseOR(h.bitwiseAND(low))
+
+    words = F.sort_array(F.transform(_words("norm"), ranked))
+    sets = lines.withColumn("levels", levels.scalar()).select(*NAMES, "line", "h1", "h2", words.alias("words"))
     size = F.size("words")
     length = size - F.expr(f"cast((size(words) * {num} + {den - 1}) div {den} as int)") + 1
     prefix = F.transform(F.slice("words", F.lit(1), length), lambda w: F.hash(w))
-    drawn = sets.select(F.struct(*NAMES, "line").alias("first"), "h1", "h2", size.alias("n"), prefix.alias("prefix"))
-    merged = drawn.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    s1, s2 = _sketches("words")
+    drawn = sets.select(
+        F.struct(*NAMES, "line").alias("first"), "h1", "h2", size.cast("long").alias("n"), s1.alias("s1"), s2.alias("s2"), prefix.alias("prefix")
+    )
+    once = [F.first(c).alias(c) for c in ("n", "s1", "s2", "prefix")]
+    merged = drawn.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.count("*").alias("times"), *once)
     return merged.orderBy("first").withColumn("id", F.monotonically_increasing_id())
 
 
-def _posted(lines: DataFrame) -> DataFrame:
-    """(word, id, place) of every prefix word; place has the size in its upper and the position in its lower half."""
-    places = F.transform("prefix", lambda w, i: F.struct(w.alias("word"), i.cast("long").alias("pos")))
-    rows = lines.select("id", "n", F.explode(places).alias("at"))
-    return rows.select("at.word", "id", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at.pos")).alias("place"))
-
-
 def _groups(lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """(pair, a, b): b shares two neighbours among its rarest words with the earlier line a, the first that has them."""
+    """(pair, id, n, s1, s2, hub): lines that share two neighbours among their rarest words with an earlier one; hub is the profile
+    of the first that has them."""
     rarest = F.slice("prefix", 1, NEIGHBOURS + 1)
     pairs = F.transform(F.slice(rarest, F.lit(1), F.greatest(F.lit(1), F.size("prefix") - 1)), lambda w, i: F.xxhash64(w, F.get("prefix", i + 1)))
-    keyed = lines.select("id", F.explode(F.slice(pairs, 1, NEIGHBOURS)).alias("pair"))
-    first = keyed.groupBy(F.col("pair").alias("_pair")).agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last")
+    keyed = lines.select(*PROFILE, F.explode(F.slice(pairs, 1, NEIGHBOURS)).alias("pair"))
+    first = keyed.groupBy(F.col("pair").alias("_pair")).agg(F.min(F.struct(*PROFILE)).alias("hub"), F.max("id").alias("last")).where("hub.id < last")
     first = scratch.written(first.drop("last"), "first")
     # Pairs of one line only, nearly all, are not exchanged again.
     bits = scratch.written(bit_map(first, "_pair"), "bits")
-    met = keyed.where(on_map(bits.scalar(), F.col("pair"))).join(first, (F.col("pair") == F.col("_pair")) & (F.col("a") < F.col("id")))
-    groups = scratch.written(met.select("pair", "a", F.col("id").alias("b")), "groups")
+    met = keyed.where(on_map(bits.scalar(), F.col("pair"))).join(first, (F.col("pair") == F.col("_pair")) & (F.col("hub.id") < F.col("id")))
+    groups = scratch.written(met.select("pair", *PROFILE, "hub"), "groups")
     scratch.drop(first, bits)
     return groups
 
 
-def _parted(groups: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): b is in a group with the earlier line a, the first of a part of those still there."""
-    part = F.pmod(F.xxhash64("b"), F.lit(HUBS))
-    first = groups.groupBy(F.col("pair").alias("_pair"), part).agg(F.min("b").alias("hub"))
+def _parted(groups: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """(id, n, s1, s2, hub): a line may be similar to the earlier hub, the first of a part of those of its group that are still there."""
+    part = F.pmod(F.xxhash64("id"), F.lit(HUBS))
+    first = groups.groupBy(F.col("pair").alias("_pair"), part).agg(F.min(F.struct(*PROFILE)).alias("hub"))
     first = scratch.written(first.select("_pair", "hub"), "first")
-    met = groups.join(first, (F.col("pair") == F.col("_pair")) & (F.col("hub") < F.col("b")))
-    return met.select(F.col("hub").alias("a"), "b").distinct()
+    met = groups.drop("hub").join(first, (F.col("pair") == F.col("_pair")) & (F.col("hub.id") < F.col("id")) & _may_match("hub.{}", "{}", num, den))
+    return met.select(*PROFILE, "hub")
 
 
-def _rest(lines: DataFrame, left: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): b is one of the lines ``left`` and shares so many prefix words with the earlier line a that both may be similar;
-    sizes and positions allow it, too."""
+def _nearest(starred: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): each line b with that one of its hubs a whose sketch is nearest, if they may be similar."""
+    (n_a, *x), (n_b, *y) = ([F.col(f"{s}{c}") for c in PROFILE[1:]] for s in ("hub.", ""))
+    near = F.struct(_flips(n_a, *x, n_b, *y).alias("flips"), F.col("hub.id").alias("a"))
+    found = starred.where(_may_match("hub.{}", "{}", num, den)).select(F.col("id").alias("b"), near.alias("near"))
+    return found.groupBy("b").agg(F.min("near").alias("near")).select("near.a", "b")
 
-    def side(of: DataFrame, s: str) -> DataFrame:
-        posted = _posted(of)
-        return posted.select(*(F.col(c).alias(c + s) for c in posted.columns))
 
-    both, tall = num + den, f"(greatest(na, nb) * {num} + {den - 1}) div {den}"
-    # Similar sets have so many words in common, and share so many of the first n - common + share, as far as the prefixes go.
-    common = F.expr(f"((na + nb) * {num} + {both - 1}) div {both}")
-    share = F.least(F.lit(SHARED), common - F.expr(tall) + 1)
-    low = F.lit((1 << 32) - 1)
-    l = side(lines, "a").withColumn("na", F.shiftright("placea", 32)).withColumn("pa", F.col("placea").bitwiseAND(low)).drop("placea")
-    r = side(left, "b").withColumn("nb", F.shiftright("placeb", 32)).withColumn("pb", F.col("placeb").bitwiseAND(low)).drop("placeb")
-    fits = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
-    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) > common - share
-    met = l.join(r, (F.col("worda") == F.col("wordb")) & (F.col("ida") < F.col("idb")) & fits & reach)
-    counted = met.groupBy(F.col("ida").alias("a"), F.col("idb").alias("b"), "na", "nb").agg(F.count("*").alias("c"))
-    return counted.where(F.col("c") >= share).select("a", "b")
+def _rest(lines: DataFrame, left: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """(a, b): b is one of the lines ``left`` and shares a prefix word with the earlier line a; sizes and sketches allow them to be similar."""
 
+    def side(of: DataFrame, s: str, part: int) -> DataFrame:
+        words = F.filter("prefix", lambda w: F.pmod(w, F.lit(SLICES)) == part)
+        return of.select(*(F.col(c).alias(c + s) for c in PROFILE), F.explode(words).alias("word" + s))
 
-def _matched(pairs: DataFrame, lines: DataFrame, docs: DataFrame, key: str, text: str, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """The distinct b of those ``pairs`` whose lines are similar: by sizes, inside the join, then by sets."""
+    found = []
+    for part in range(SLICES):
+        same = (F.col("word_a") == F.col("word_b")) & (F.col("id_a") < F.col("id_b")) & _may_match("{}_a", "{}_b", num, den)
+        met = side(lines, "_a", part).join(side(left, "_b", part), same)
+        found.append(scratch.written(met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), "met"))
+    return reduce(DataFrame.unionByName, found).distinct()
 
-    def side(s: str) -> DataFrame:
-        return lines.select(F.col("id").alias(f"id{s}"), F.col("n").cast("long").alias(f"n{s}"))
 
-    n_a, n_b = F.col("n_a"), F.col("n_b")
-    fits = F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num
-    close = pairs.join(side("_a"), F.col("a") == F.col("id_a")).join(side("_b"), (F.col("b") == F.col("id_b")) & fits).select("a", "b")
-    close = scratch.written(close, "close")
+def _matched(pairs: DataFrame, lines: DataFrame, docs: DataFrame, key: str, text: str, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """The distinct b of those ``pairs`` whose lines are similar as sets."""
+    close = scratch.written(pairs, "close")
     asked = close.select(F.col("a").alias("_id")).union(close.select(F.col("b").alias("_id"))).distinct()
     met = lines.join(asked, F.col("id") == F.col("_id")).select("id", F.col("h1").alias("w1"), F.col("h2").alias("w2"), F.col("first.own").alias("own"))
     wanted = scratch.written(met, "wanted")
@@ -203,13 +234,17 @@ def removed_lines(
         def matched(pairs: DataFrame) -> DataFrame:
             return _matched(pairs, lines, docs, key, text, num, den, scratch)
 
+        def without(of: DataFrame, gone: DataFrame) -> DataFrame:
+            return of.join(gone.select(F.col("id").alias("_gone")), F.col("id") == F.col("_gone"), "left_anti")
+
         groups = _groups(lines, scratch)
-        gone = matched(groups.select("a", "b").distinct())
-        left = scratch.written(groups.join(gone, F.col("b") == F.col("id"), "left_anti"), "groups")
-        gone = gone.unionByName(matched(_parted(left, scratch)))
+        gone = matched(_nearest(groups, num, den))
+        left = scratch.written(without(groups, gone), "groups")
+        gone = gone.unionByName(matched(_nearest(_parted(left, num, den, scratch), num, den)))
         scratch.drop(groups, left)
-        left = lines.join(gone.select(F.col("id").alias("_gone")), F.col("id") == F.col("_gone"), "left_anti")
-        gone = gone.unionByName(matched(_rest(lines, left, num, den)))
+        left = scratch.written(without(lines.select(*PROFILE, "prefix"), gone), "left")
+        gone = gone.unionByName(matched(_rest(lines, left, num, den, scratch)))
+        scratch.drop(left)
         judged = (
             lines.select("id", "h1", "h2", "first", "times")
             .join(gone.select(F.col("id").alias("_gone")).distinct(), F.col("id") == F.col("_gone"), "left")

@@ -196,6 +196,22 @@ def test_rows_of_one_key_or_none_are_told_apart(spark):
     assert left([(None, "a b\nc d"), (None, "a b\ne f"), (-(1 << 63), "a b\nc d")]) == ["a b", "c d", "e f"]
 
 
+def test_sketches_rule_out_pairs_inside_the_join(spark):
+    rng = random.Random(5)
+    # All lines share their prefixes, but each near copy is only similar to its source.
+    own = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    lines = [["rare1", "rare2", "rare3", *own(n)] for n in (30, 40, 60, 70, 90, 120, 150) for _ in range(8)]
+    near = [[*lines[k][:-2], "x", "y"] for k in (0, 8, 16, 24, 32, 40, 48)]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate([*lines, *near])], "doc_id long, text string")
+    with common.Scratch(spark) as scratch:
+        levels = scratch.written(line_dedup._levels(docs, "text", 64), "rarity")
+        found = line_dedup._distinct(line_dedup._lines(docs, "doc_id", "text"), levels, 64, 80, 100)
+        first = F.struct(F.col("first.doc").alias("doc"), F.lit(0).cast("long").alias("own"))
+        found = scratch.written(found.withColumn("first", first).withColumn("id", F.col("first.doc")).withColumn("prefix", F.array(F.lit(1), F.lit(2))), "lines")
+        pairs = [tuple(r) for r in line_dedup._rest(found, found, 80, 100, scratch).select("a", "b").collect()]
+    assert sorted(pairs) == [(k, len(lines) + i) for i, k in enumerate((0, 8, 16, 24, 32, 40, 48))]
+
+
 def groups_brute(docs, size, num, den):
     def shingles(t):
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
