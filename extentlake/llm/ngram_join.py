@@ -13,7 +13,9 @@ in the next band, since its larger partners may lie there, and bands are so wide
 Parts with at most one shingle have keys that say little.  There are therefore some parts more than
 d + 1: then several parts are equal, and a set with no more such weak parts than that leaves their keys
 out.  Sets with more weak parts keep them.  If either of two similar sets leaves them out, one of their
-equal parts is not weak, so no pair is lost.
+equal parts is not weak, so no pair is lost.  Empty parts say nothing at all, and all sets of a band that have one would share its key.
+So a set with so many empty parts that all equal ones may be empty is cut anew, by other bits, up to ``CUTS`` times, and gives the keys of its parts with
+shingles in each cut: two similar sets without a common key in a cut are both cut anew.  Only the last cut has keys of empty parts.
 
 Keys are sorted in ranges of key and set, so that a key that very many sets share is no single task's; those of
 one set only go.  Candidates are checked by the Hamming distance of whole parity sketches, whose length follows the set's,
@@ -58,10 +60,13 @@ FOLDED = 8
 LONGEST = 1 << 20
 #: Bits of a part's sketch.
 PART_BITS = 1 << 16
+#: Ways in which a set is cut into parts, as long as there are too many empty ones.
+CUTS = 8
 #: Keys handed to a Python worker at a time.
 KEY_ROWS = "65536"
 
 _M1 = np.uint64(0x9E3779B97F4A7C15)
+_CUT_SEEDS = np.arange(CUTS, dtype=np.uint64) * _M1
 #: Bits of a shingle's hash that sets are compared by.
 _COMPARED = np.uint64((1 << 48) - 1)
 _KEY_BITS = np.uint64((1 << 48) - 1)
@@ -110,28 +115,38 @@ class Join:
             chosen = np.flatnonzero(use)
             if not len(chosen):
                 continue
-            found = np.concatenate([sets[i] for i in chosen])
-            of = np.repeat(np.arange(len(chosen)), sizes[chosen])
-            count = need[chosen, 0].astype(np.uint64)
-            part = (found >> np.uint64(32)) * count[of] >> np.uint64(32)
-            bit = mix((found & np.uint64(PART_BITS - 1)) + _M1)
-            # Sets are sorted, so a set's parts are runs.
-            starts = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (part[1:] != part[:-1]))))
-            held = np.diff(np.append(starts, len(found)))
-            sketch = np.bitwise_xor.reduceat(bit, starts)
-            of, part = of[starts], part[starts]
-            seed = mix(band[chosen].astype(np.uint64) + _M1)
-            value = mix(mix(part + seed[of]) + sketch * _M1)
-            strong = np.bincount(of[held > 1], minlength=len(chosen))
-            lean = (need[chosen, 0] - strong <= need[chosen, 1]) & (strong > 0)
-            keep = ~lean[of] | (held > 1)
-            owners.append(chosen[of[keep]])
-            values.append(value[keep])
-            for i in np.flatnonzero(~lean):
-                # Empty parts have a key as well.
-                empty = np.setdiff1d(np.arange(need[chosen[i], 0]).astype(np.uint64), part[of == i])
-                owners.append(np.full(len(empty), chosen[i]))
-                values.append(mix(mix(empty + seed[i])))
+            for cut in range(CUTS):
+                found = np.concatenate([sets[i] for i in chosen])
+                of = np.repeat(np.arange(len(chosen)), sizes[chosen])
+                count = need[chosen, 0].astype(np.uint64)
+                if cut:
+                    found = mix(found ^ _CUT_SEEDS[cut])
+                    order = np.lexsort((found, of))
+                    found = found[order]
+                part = (found >> np.uint64(32)) * count[of] >> np.uint64(32)
+                bit = mix((found & np.uint64(PART_BITS - 1)) + _M1)
+                # Sets are sorted, so a set's parts are runs.
+                starts = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (part[1:] != part[:-1]))))
+                held = np.diff(np.append(starts, len(found)))
+                sketch = np.bitwise_xor.reduceat(bit, starts)
+                of, part = of[starts], part[starts]
+                seed = mix(band[chosen].astype(np.uint64) + _M1) + _CUT_SEEDS[cut]
+                value = mix(mix(part + seed[of]) + sketch * _M1)
+                strong = np.bincount(of[held > 1], minlength=len(chosen))
+                lean = (need[chosen, 0] - strong <= need[chosen, 1]) & (strong > 0)
+                keep = ~lean[of] | (held > 1)
+                owners.append(chosen[of[keep]])
+                values.append(value[keep])
+                # If no more parts are empty than are spare, one of the equal parts is not.
+                again = need[chosen, 0] - np.bincount(of, minlength=len(chosen)) > need[chosen, 1]
+                if cut == CUTS - 1:
+                    for i in np.flatnonzero(again):
+                        empty = np.setdiff1d(np.arange(need[chosen[i], 0]).astype(np.uint64), part[of == i])
+                        owners.append(np.full(len(empty), chosen[i]))
+                        values.append(mix(mix(empty + seed[i])))
+                chosen = chosen[again]
+                if not len(chosen):
+                    break
         if not owners:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         return np.concatenate(owners), np.concatenate(values) & _KEY_BITS

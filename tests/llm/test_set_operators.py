@@ -212,6 +212,24 @@ def test_sketches_rule_out_pairs_inside_the_join(spark):
     assert sorted(pairs) == [(k, len(lines) + i) for i, k in enumerate((0, 8, 16, 24, 32, 40, 48))]
 
 
+def test_empty_parts_give_no_keys():
+    rng = np.random.default_rng(4)
+    join = ngram_join.Join(5, 80, 100)
+    draw = lambda n: np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+    sets = [draw(n) for n in (5, 9, 14, 18, 30) for _ in range(400)]
+    owners, keys = join.keys(sets)
+    _, shared = np.unique(np.unique(np.stack([keys, owners.astype(np.uint64)]), axis=1)[0], return_counts=True)
+    assert (shared * (shared - 1) // 2).sum() < 20
+    # Similar sets still meet: some shingles are replaced, as many as the threshold allows.
+    for x in sets:
+        both = 2 * len(x)
+        y = np.unique(np.concatenate([x[join.differ(both) // 2 :], draw(join.differ(both) // 2)]))
+        less = x[: max(1, -(-len(x) * 4 // 5))]
+        owners, keys = join.keys([x, y, less])
+        of = [set(keys[owners == k].tolist()) for k in range(3)]
+        assert len(x) == len(y) and (of[0] & of[1] or np.array_equal(x, y)) and of[0] & of[2]
+
+
 def groups_brute(docs, size, num, den):
     def shingles(t):
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
