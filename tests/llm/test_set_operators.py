@@ -212,6 +212,36 @@ def test_sketches_rule_out_pairs_inside_the_join(spark):
     assert sorted(pairs) == [(k, len(lines) + i) for i, k in enumerate((0, 8, 16, 24, 32, 40, 48))]
 
 
+def test_pairs_do_not_grow_with_the_square_of_a_cluster(spark, monkeypatch):
+    rng = random.Random(8)
+    source = [f"w{i}" for i in range(60)]
+    made = []
+    written = common.Scratch.written
+
+    def counted(scratch, df, name):
+        found = written(scratch, df, name)
+        if name in ("met", "groups"):
+            made.append(found.count())
+        return found
+
+    def near(words):
+        # New words are the rarest, so that the copies share no neighbours among these.
+        found = list(words)
+        for k in rng.sample(range(len(found)), 3):
+            found[k] = f"x{rng.randrange(10**9)}"
+        return " ".join(found)
+
+    monkeypatch.setattr(common.Scratch, "written", counted)
+    monkeypatch.setattr(line_dedup, "HUBS", 16, raising=False)
+    monkeypatch.setattr(line_dedup, "STEP", 4, raising=False)
+    rows = [(i, near(source)) for i in range(400)] + [(400 + i, " ".join(f"y{rng.randrange(10**9)}" for _ in range(20))) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc"]: list(r["lines"]) for r in line_dedup.removed_lines(docs, bins=1 << 12).collect()}
+    assert found == lines_brute(rows)
+    # All pairs of the cluster would be 79,800, each once for every shared prefix word.
+    assert 0 < sum(made) < 100_000
+
+
 def test_empty_parts_give_no_keys():
     rng = np.random.default_rng(4)
     join = ngram_join.Join(5, 80, 100)
