@@ -152,7 +152,7 @@ def bit_map(hashes: DataFrame, column: str) -> DataFrame:
         .unionByName(every)
         .groupBy("place")
         .agg(F.bit_or("bits").alias("bits"))
-        .agg(F.array_sort(F.collect_list(F.struct("place", "bits")))["bits"].alias("bits"))
+        .agg(F.sort_array(F.collect_list(F.struct("place", "bits")))["bits"].alias("bits"))
     )
 
 

@@ -242,6 +242,46 @@ def test_pairs_do_not_grow_with_the_square_of_a_cluster(spark, monkeypatch):
     assert 0 < sum(made) < 100_000
 
 
+def test_line_dedup_leaves_out_words_that_occur_once(spark, monkeypatch):
+    rng = random.Random(3)
+    common_words = [f"c{i}" for i in range(300)]
+    sources = [[rng.choice(common_words) for _ in range(rng.randint(4, 90))] for _ in range(60)]
+    rows = []
+    for i in range(400):
+        words = list(rng.choice(sources))
+        # Copies are longer or shorter than their sources, by as many words as the threshold allows and some more.
+        k = rng.randint(0, len(words) // 4 + 1)
+        words = words[k:] if rng.random() < 0.5 else [*words, *(rng.choice([f"once{i}x{j}", rng.choice(common_words)]) for j in range(k))]
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    joins, scans = [], []
+    written, matched = common.Scratch.written, line_dedup._matched
+
+    def seen(scratch, df, name):
+        if name == "met":
+            joins.append(name)
+        if name == "lines":
+            found = df.collect()
+            # What occurs once has no partner.
+            lines = {r["first"]["doc"]: r for r in found}
+            counts = Counter(w for _, text in rows for w in text.split())
+            for i, text in rows:
+                if i in lines:
+                    size = len(set(text.split()))
+                    once = sum(counts[w] == 1 for w in set(text.split()))
+                    assert len(lines[i]["prefix"]) == max(0, size - -(-size * 4 // 5) + 1 - once)
+        return written(scratch, df, name)
+
+    monkeypatch.setattr(common.Scratch, "written", seen)
+    monkeypatch.setattr(line_dedup, "_matched", lambda *args: scans.append(1) or matched(*args))
+    monkeypatch.setattr(line_dedup, "HUBS", 4)
+    monkeypatch.setattr(line_dedup, "STEP", 2)
+    found = {r["doc"]: list(r["lines"]) for r in line_dedup.removed_lines(docs, bins=1 << 22).collect()}
+    assert found == lines_brute(rows)
+    # The candidates of all rounds against shares of the lines are compared at once, those of the last join in two steps.
+    assert len(scans) == 3 and len(joins) > 5
+
+
 def test_empty_parts_give_no_keys():
     rng = np.random.default_rng(4)
     join = ngram_join.Join(5, 80, 100)
