@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -94,6 +95,13 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Collects the driver's garbage between two steps.  Spark frees broadcasts and shuffles only as their references are collected, and
+    the collector lets the heap grow by each plan's tables of megabytes before it does so; afterwards the heap shrinks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bound the rows of an Arrow batch in this session, since a row holds a whole text."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:

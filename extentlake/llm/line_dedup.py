@@ -36,7 +36,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bit_map, fresh, on_map, written
+from .common import Scratch, bit_map, collect_garbage, fresh, on_map, written
 
 #: What names a document.
 NAMES = ("doc", "own", "own2")
@@ -190,7 +190,8 @@ def _without(lines: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _rest(lines: DataFrame, left: DataFrame, num: int, den: int, scratch: Scratch, every: int = 1) -> DataFrame:
     """(a, b, flips): b is one of the lines ``left`` that is not gone and shares a prefix word with the earlier line a, of which one in ``every``
-    is taken; sizes and sketches, which differ in so many bits, allow them to be similar.  ``left`` has those that are gone, too, marked in a column."""
+    is taken; sizes and sketches, which differ in so many bits, allow them to be similar.  ``left`` has those that are gone, too, marked in a column.
+    A pair is there once if all are taken, else once for each word."""
     if "gone" not in left.columns:
         left = left.withColumn("gone", F.lit(False))
 
@@ -212,7 +213,7 @@ def _rest(lines: DataFrame, left: DataFrame, num: int, den: int, scratch: Scratc
         asked = left.where(~F.col("gone")).select(*PROFILE, F.explode("prefix").alias("word"))
         found = met(named(some, "_a"), named(asked.where(on_map(bits.scalar(), F.col("word").cast("long"))), "_b"))
         scratch.drop(some, bits)
-        return found.distinct()
+        return found
 
     # Both sides are one table, so that its rows are exchanged once.  Conditions on one side alone would be moved below the exchange.
     sides = left.select(*PROFILE, "lead", "gone", F.posexplode("prefix").alias("place", "word"))
@@ -236,6 +237,12 @@ def _nearest(met: DataFrame) -> DataFrame:
     return nearest.select("b", F.explode("near").alias("near")).select(F.col("near").bitwiseAND(F.lit((1 << _ID_BITS) - 1)).alias("a"), "b")
 
 
+def _touched(lines: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFrame:
+    """The ``lines`` that occur twice or may be ``gone``; no other line is removed anywhere."""
+    bits = scratch.written(bit_map(gone.select(F.xxhash64("id").alias("own")), "own"), "bits")
+    return lines.where((F.col("times") > 1) | on_map(bits.scalar(), F.xxhash64("id")))
+
+
 def _matched(pairs: DataFrame, lines: DataFrame, docs: DataFrame, key: str, text: str, num: int, den: int, scratch: Scratch) -> DataFrame:
     """The distinct b of those ``pairs`` whose lines are similar as sets."""
     close = scratch.written(pairs, "close")
@@ -274,27 +281,31 @@ def removed_lines(
         texts = _lines(docs, key, text)
         merged = scratch.written(_distinct(texts, levels, bins, num, den), "merged")
         lines = scratch.written(_numbered(merged), "lines")
-        scratch.drop(merged)
+        scratch.drop(merged, levels)
+        collect_garbage(docs.sparkSession)
 
         def matched(pairs: DataFrame) -> DataFrame:
             return _matched(pairs, lines, docs, key, text, num, den, scratch)
 
-        gone = scratch.written(lines.select("id").limit(0), "gone")
-        rounds, near = _rounds(lines.count()), []
+        rounds, near, left = _rounds(lines.count()), [], lines
         for every in rounds[:-1]:
             # Whether they are similar is seen for all these rounds at once; what is in question misses the next round.
-            asked = reduce(DataFrame.unionByName, [p.select(F.col("b").alias("id")) for p in near], gone)
-            pairs = scratch.written(_rest(lines, _without(lines, asked, scratch), num, den, scratch, every), "pairs")
-            near.append(scratch.written(_nearest(pairs), "near"))
+            if near:
+                left = _without(lines, reduce(DataFrame.unionByName, [p.select(F.col("b").alias("id")) for p in near]), scratch)
+            near.append(scratch.written(_nearest(_rest(lines, left, num, den, scratch, every)), "near"))
+        gone = []
         if near:
-            gone = matched(reduce(DataFrame.unionByName, near))
-        pairs = scratch.written(_rest(lines, _without(lines, gone, scratch), num, den, scratch), "pairs")
+            gone.append(matched(reduce(DataFrame.unionByName, near)))
+            left = _without(lines, gone[0], scratch)
+        collect_garbage(docs.sparkSession)
+        pairs = scratch.written(_rest(lines, left, num, den, scratch), "pairs")
         found = matched(_nearest(pairs))
-        gone = gone.unionByName(found)
+        collect_garbage(docs.sparkSession)
         others = pairs.join(found.select(F.col("id").alias("_gone")), F.col("b") == F.col("_gone"), "left_anti")
-        gone = gone.unionByName(matched(others.select("a", "b")))
+        gone = reduce(DataFrame.unionByName, [*gone, found, matched(others.select("a", "b"))])
         judged = (
-            lines.select("id", "h1", "h2", "first", "times")
+            _touched(lines, gone, scratch)
+            .select("id", "h1", "h2", "first", "times")
             .join(gone.select(F.col("id").alias("_gone")).distinct(), F.col("id") == F.col("_gone"), "left")
             .where((F.col("times") > 1) | F.col("_gone").isNotNull())
             .select(F.col("h1").alias("d1"), F.col("h2").alias("d2"), F.when(F.col("_gone").isNull(), F.col("first")).alias("stays"))

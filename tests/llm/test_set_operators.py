@@ -282,6 +282,32 @@ def test_line_dedup_leaves_out_words_that_occur_once(spark, monkeypatch):
     assert len(scans) == 3 and len(joins) > 5
 
 
+def test_line_dedup_looks_up_and_rates_only_lines_in_question(spark, monkeypatch):
+    words = lambda k: [f"v{k}x{j}" for j in range(9)]
+    # 200 lines of their own, a line there twice and a near copy.
+    rows = [(k, " ".join(words(k))) for k in range(200)] + [(200, " ".join(words(0))), (201, " ".join([*words(1), "more"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names, rated, collected = [], [], []
+    written, touched, collect = common.Scratch.written, getattr(line_dedup, "_touched", None), getattr(line_dedup, "collect_garbage", None)
+
+    def seen(scratch, df, name):
+        names.append(name)
+        return written(scratch, df, name)
+
+    def counted(*args):
+        found = touched(*args)
+        rated.append(found.count())
+        return found
+
+    monkeypatch.setattr(common.Scratch, "written", seen)
+    monkeypatch.setattr(line_dedup, "_touched", counted, raising=False)
+    monkeypatch.setattr(line_dedup, "collect_garbage", lambda spark: collected.append(1) or collect(spark), raising=False)
+    found = {r["doc"]: list(r["lines"]) for r in line_dedup.removed_lines(docs, bins=1 << 12).collect()}
+    assert found == lines_brute(rows) == {200: [0], 201: [0]}
+    # Nothing is gone yet before the only round, so nothing is looked up; the last join gets the lines in question, not all of them.
+    assert "stay" not in names and rated == [2] and collected
+
+
 def test_empty_parts_give_no_keys():
     rng = np.random.default_rng(4)
     join = ngram_join.Join(5, 80, 100)
