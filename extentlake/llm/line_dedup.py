@@ -139,7 +139,9 @@ def _distinct(lines: DataFrame, levels: DataFrame, bins: int, num: int, den: int
 
     def ranked(h: Column) -> Column:
         slot, place = _bin(h, bins)
-        level = F.shiftleft(F.call_function("shiftrightunsigned", F.get("levels", slot), place), 60)
+        # Never null: only arrays without nulls are sorted as plain longs.
+        levels = F.coalesce(F.get("levels", slot), F.lit(0).cast("long"))
+        level = F.shiftleft(F.call_function("shiftrightunsigned", levels, place), 60)
         return level.bitwiseOR(F.call_function("shiftrightunsigned", h, F.lit(4)))
 
     def shared(n: str, num: int, den: int) -> str:

@@ -308,6 +308,28 @@ def test_line_dedup_looks_up_and_rates_only_lines_in_question(spark, monkeypatch
     assert "stay" not in names and rated == [2] and collected
 
 
+def test_ranks_of_words_are_sorted_as_plain_longs(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    with common.Scratch(spark) as scratch:
+        levels = scratch.written(line_dedup._levels(docs, "text", 64), "rarity")
+        plan = line_dedup._distinct(line_dedup._lines(docs, "doc_id", "text"), levels, 64, 80, 100)._jdf.queryExecution().analyzed()
+        types = []
+
+        def walk(node):
+            for e in (node.expressions().apply(i) for i in range(node.expressions().size())):
+                stack = [e]
+                while stack:
+                    x = stack.pop()
+                    if x.nodeName() == "SortArray":
+                        types.append(x.dataType().containsNull())
+                    stack += [x.children().apply(i) for i in range(x.children().size())]
+            for i in range(node.children().size()):
+                walk(node.children().apply(i))
+
+        walk(plan)
+    assert types == [False]
+
+
 def test_empty_parts_give_no_keys():
     rng = np.random.default_rng(4)
     join = ngram_join.Join(5, 80, 100)
